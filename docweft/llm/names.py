@@ -53,7 +53,7 @@ NICKNAMES = {
     "jerry": "gerald", "gerry": "gerald", "lupe": "guadalupe", "lupita": "guadalupe", "hank": "henry", "harry": "henry", "hal": "henry", "iggy": "ignacio", "nacho": "ignacio", "jim": "james", "jimmy": "james", "jamie": "james", "jo": "josephine", "josie": "josephine",
     "pepe": "jose", "kate": "katherine", "kathy": "katherine", "katie": "katherine", "kit": "katherine", "kath": "katherine", "larry": "lawrence", "laurie": "lawrence", "maggie": "margaret", "meg": "margaret", "peggy": "margaret", "marge": "margaret",
     "nate": "nathaniel", "nat": "nathaniel", "nathan": "nathaniel", "pat": "patricia", "patty": "patricia", "trish": "patricia", "tricia": "patricia", "phil": "philippa", "pippa": "philippa", "rick": "richard", "dick": "richard", "rich": "richard", "bob": "robert", "bobby": "robert",
-    "rob": "robert", "robbie": "robert", "bert": "robert", "sue": "susannah", "susie": "susannah", "suzy": "susannah", "theo": "theodore", "vicky": "victoria", "vicki": "victoria", "tori": "victoria", "walt": "walter", "wally": "walter", "bill": "william", "billy": "william", "will": "william",
+    "rob": "robert", "robbie": "robert", "bert": "robert", "sukie": "susannah", "sue": "susannah", "susie": "susannah", "suzy": "susannah", "theo": "theodore", "vicky": "victoria", "vicki": "victoria", "tori": "victoria", "walt": "walter", "wally": "walter", "bill": "william", "billy": "william", "will": "william",
     "wendy": "wendell", "zach": "zachary", "zack": "zachary", "quint": "quentin", "joe": "joseph jose", "mike": "michael", "dave": "david", "dan": "daniel", "tom": "thomas", "tony": "anthony", "jen": "jennifer", "becky": "rebecca", "sam": "samuel", "ben": "benjamin", "matt": "matthew", "chris": "christopher",
 }
 
@@ -100,11 +100,12 @@ def tokens_of(name: str) -> list[str]:
 
 def is_body(words: list[str]) -> bool:
     known = [w for w in words if w in LEGAL or w in KINDS or w in EXPAND]
-    return bool(known) and (len(known) >= 2 or known[-1] in LEGAL or len(words) > 2 or known[0] in KINDS)
+    return bool(known) and (len(known) >= 2 or known[-1] == words[-1] or len(words) > 2 or known[0] in KINDS)
 
 
-def parse(name: str, df: dict[str, int]) -> dict | None:
-    """The parts of a name; null for who names nobody. df: in how many names each word stands, for names of two words without a comma."""
+def parse(name: str, given_names: dict[str, int]) -> dict | None:
+    """The parts of a name; null for who names nobody. given_names: how often each word is given less how often family name, where the form of
+    a name tells; it decides on two words without a comma."""
     name = re.sub(r"\s+", " ", name).strip(" ,;")
     if not name or _ROLE.fullmatch(plain(name)):
         return None
@@ -113,7 +114,8 @@ def parse(name: str, df: dict[str, int]) -> dict | None:
     words = tokens_of(name)
     if is_body(words):
         return _body(name)
-    comma = [tokens_of(p) for p in name.split(",")]
+    name = re.sub(r"(?i),?\s+(?:m\.\s?d|ph\.\s?d|r\.\s?n|j\.\s?d|d\.d\.s)\.?(?=\s|,|$)", "", name)
+    comma = [tokens_of(re.sub(r"\b(\w)\.(?=\w)", r"\1 ", p)) for p in name.split(",")]
     clean, suffix = [], ""
     for part in comma:
         keep = []
@@ -125,6 +127,7 @@ def parse(name: str, df: dict[str, int]) -> dict | None:
         if keep:
             clean.append(keep)
     titled = bool(words) and words[0] in TITLES
+    lean = lambda x: given_names.get(x, 0) + (x in NICKNAMES)
     if not clean:
         return None
     if len(clean) > 1:
@@ -135,14 +138,12 @@ def parse(name: str, df: dict[str, int]) -> dict | None:
             if not titled:
                 return {"kind": "P", "core": w[0], "first": "", "middle": "", "suffix": suffix, "sig": ""}
             core, given = w[0], []
-        elif len(w) == 2 and len(w[1]) > 1 and (len(w[0]) > 1 and df.get(w[1], 0) > 2 * df.get(w[0], 0)):
+        elif len(w) == 2 and len(w[1]) > 1 and len(w[0]) > 1 and lean(w[1]) > lean(w[0]):
             core, given = w[0], [w[1]]
         else:
             core, given = w[-1], w[:-1]
             if len(w) == 3 and len(w[2]) == 1:  # Last First M.
                 core, given = w[0], w[1:]
-    if len(given) == 1 and len(given[0]) == 2 and re.search(r"\b[A-Z]\.\s?[A-Z]\.", name):
-        given = list(given[0])  # C.W.
     return {"kind": "P", "core": core, "first": given[0] if given else "", "middle": given[1][0] if len(given) > 1 else "", "suffix": suffix, "sig": ""}
 
 
@@ -174,8 +175,8 @@ FEATURES = "name string, kind string, core string, first string, middle string,
 def _parser(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
-        for name, df in zip(pdf["name"], pdf["df"]):
-            if p := parse(name, dict(df) if df is not None else {}):
+        for name, leaning in zip(pdf["name"], pdf["leaning"]):
+            if p := parse(name, dict(leaning) if leaning is not None else {}):
                 out.append((name, *p.values()))
         yield pd.DataFrame(out, columns=["name", "kind", "core", "first", "middle", "suffix", "sig"])
 
@@ -288,10 +289,13 @@ def spellings(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def features(names: DataFrame) -> DataFrame:
     """The parts of each distinct name, by FEATURES."""
-    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("name"), F.lit(r"(?U)[\w']{2,}"), F.lit(0)))).alias("word")
-    words = cut(names.select("name", word))
-    df = words.groupBy("word").count()
-    of_name = words.join(df, "word").groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("word", "count"))).alias("df"))
+    folded = names.select("name", F.translate(F.lower("name"), "áàâäãåéèêëíìîïóòôöõúùûüñçýćčšžđ", "aaaaaaeeeeiiiiooooouuuuncyccszd").alias("f"))
+    part = lambda pattern, k: F.regexp_extract("f", pattern, k)
+    comma, middle = r"^(\w{2,}), (\w{2,})(?: \w\.?)?$", r"^(\w{2,}) \w\.? (\w{2,})(?:,|$)"
+    roles = F.array(*[F.struct(part(p, k).alias("word"), F.lit(v).alias("v")) for p, k, v in ((comma, 2, 1), (comma, 1, -1), (middle, 1, 1), (middle, 2, -1))])
+    lean = folded.select(F.explode(roles).alias("r")).filter("r.word <> ''").groupBy("r.word").agg(F.sum("r.v").alias("v"))
+    two = folded.filter(F.col("f").rlike(r"^[\w.]+ [\w.]+$")).select("name", F.explode(F.regexp_extract_all("f", F.lit(r"\w{2,}"), F.lit(0))).alias("word"))
+    of_name = two.join(lean, "word").groupBy("name", "word").agg(F.max("v").alias("v")).groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("word", "v"))).alias("leaning"))
     return cut(names.join(of_name, "name", "left").mapInPandas(_parser, FEATURES))
 
 
