@@ -1,11 +1,40 @@
-"""All core queries with their SQL."""
+"""All core queries with their SQL: a query is a function (spark, folder) with the equal SQL beside it."""
 
 from __future__ import annotations
 
+import importlib
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+MODULES = ("text", "tables", "retrieval", "graphs", "metrics", "vectors", "samples", "streams")
 
-def oracle_sql() -> dict:
-    return {}
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name."""
+
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _load() -> None:
+    for m in MODULES:
+        importlib.import_module(f"docweft.plans.{m}")
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_SQL)
