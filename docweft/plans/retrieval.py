@@ -101,7 +101,7 @@ def event_chunks(spark: SparkSession, d: str) -> DataFrame:
     return e.join(c, ["doc_id", "sid"]).select("event_id", "chunk_id").distinct()
 
 
-@query("SELECT DISTINCT n.doc_id, n.entity_id, n.name FROM entities n JOIN (SELECT DISTINCT doc_id FROM ekg_events WHERE event_type = 'TERMINATION') e USING (doc_id)")
+@query("SELECT DISTINCT n.doc_id, n.entity_id, n.name FROM entities n JOIN (SELECT DISTINCT doc_id FROM ekg_events WHERE upper(event_type) = 'TERMINATION') e USING (doc_id)")
 def entities_of_events(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "ekg_events").filter("event_type = 'TERMINATION'").select("doc_id")
+    e = table(spark, d, "ekg_events").filter("upper(event_type) = 'TERMINATION'").select("doc_id")
     return table(spark, d, "entities").join(e, "doc_id", "left_semi").select("doc_id", "entity_id", "name").distinct()
