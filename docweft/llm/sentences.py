@@ -54,25 +54,30 @@ def _words(*lists: str) -> str:
     return "|".join(sorted({w.replace(".", r"\.") for x in lists for w in x.split()}, key=lambda w: (-len(w), w)))
 
 
-#: (pattern, replacement), in this order; DOT stands for the mask of a full stop.
 _DOT = MASKS[0]
+_NOT_WORD = r"(?<![\p{L}\p{M}])"
+#: What stands before and after a full stop that ends nothing. The stop itself comes first in the pattern, so that other characters fail at once.
+_INNER = (
+    (r"[\p{L}\d/_-]", r"[\p{Ll}\d_/-]"),  # decimals, versions, URLs, mail addresses, file names
+    (r"(?<![\p{L}\p{N}\p{M}'’.])\p{L}", r"\s"),  # initials, z. B.
+    (r"\p{Ll}{2}\.\p{Lu}", r"\s"),  # an initial after a missing blank
+    (rf"{_NOT_WORD}(?:{_words(TITLES, REFERENCES)})", r"\s"),
+    (rf"{_NOT_WORD}(?:{_words(MONTHS)})", r"\s+\d"),
+    (rf"{_NOT_WORD}Co", r"\s+(?:KG|OHG)\b"),
+    (rf"{_NOT_WORD}(?:{_words(SUFFIXES)})", r"\s+\p{Lo}"),
+    (r"\p{Lu}\.\p{Lu}", r"\s+[§¶\p{Lo}]"),
+    (r"\b\d{1,2}", rf"\s+(?:{MONTH_NAMES})\b"),
+    (r"\b\d{1,2}", r"\s+\d{1,2}\.\s+\d{4}"),
+    (r"\b\d{1,2}\.\s{1,3}\d{1,2}", r"\s+\d{4}"),
+    (r"\b(?:[Dd](?:er|ie|as|en|em|es)|[AaIi]m|[Vv]om|[Zz]u[mr]|[Bb]eim)\s{1,3}\d{1,3}", r"\s+\p{Lu}\p{Ll}"),
+    (r"\n\s{0,20}\d{1,3}", r"\s+\p{Lu}"),  # a list number opens the line
+    (r"\s", r"\s\."),  # . . .
+    (r"\.\s", r"\s"),
+)
 _MASKING = (
-    (r"(?<=\d)\.(?=\d)", _DOT),  # decimals, versions
-    (r"(?<=[\p{L}\d/_-])\.(?=[\p{Ll}\d_/-])", _DOT),  # URLs, mail addresses, file names
-    (r"(?<![\p{L}\p{N}\p{M}.\u0027’" + _DOT + r"])(\p{L})\.(?=\s)", "$1" + _DOT),  # initials, z. B.
-    (r"(?<=\p{Ll}{2}\.)(\p{Lu})\.(?=\s)", "$1" + _DOT),  # an initial after a missing blank
-    (rf"(?<![\p{{L}}\p{{M}}])({_words(TITLES, REFERENCES)})\.(?=\s)", "$1" + _DOT),
-    (rf"(?<![\p{{L}}\p{{M}}.])({_words(MONTHS)})\.(?=\s+\d)", "$1" + _DOT),
-    (r"(?<![\p{L}])(Co)\.(?=\s+(?:KG|OHG)\b)", "$1" + _DOT),
-    (rf"(?<![\p{{L}}\p{{M}}.])({_words(SUFFIXES)})\.(?=\s+\p{{Lo}})", "$1" + _DOT),
-    (r"((?:\p{Lu}\.)+\p{Lu})\.(?=\s+[§¶\p{Lo}])", "$1" + _DOT),
-    (r"\b(\d{1,2})\.(\s+\d{1,2})\.(\s+\d{4})", "$1" + _DOT + "$2" + _DOT + "$3"),
-    (rf"\b(\d{{1,2}})\.(?=\s+(?:{MONTH_NAMES})\b)", "$1" + _DOT),
-    (r"\b([Dd](?:er|ie|as|en|em|es)|[AaIi]m|[Vv]om|[Zz]um|[Zz]ur|[Bb]eim)(\s+\d{1,3})\.(?=\s+\p{Lu}\p{Ll})", "$1$2" + _DOT),
-    (r"\A(\s*(?:\d{1,3}|[IVXLC]{1,6}))\.(?=\s)", "$1" + _DOT),  # a list number opens the paragraph
-    (r"(\n\s*\d{1,3})\.(?=\s+\p{Lu})", "$1" + _DOT),
-    (r"(?<=\s)\.(?=\s\.)|(?<=\.\s)\.(?=\s)|(?<=" + _DOT + r"\s)\.", _DOT),  # . . .
-)
+    (r"\.(?:" + "|".join(rf"(?<=(?:{before})\.)(?={after})" for before, after in _INNER) + ")", _DOT),
+    (r"\A(\s*(?:\d{1,3}|[IVXLC]{1,6}))\.(?=\s)", "$1" + _DOT),  # or the paragraph
+)
 
 _Q = MASKS[1] + MASKS[2]
 _M = MASKS
@@ -81,55 +86,63 @@ _MARKING = (
     (rf"([{_Q}][{_CLOSE}]+)(?=\s+(?:\p{{Lu}}[\p{{L}}\p{{M}}.{_DOT}'’-]*\s+){{1,4}}(?:{SPEECH})\b)", "$1\ue0fe"),
     # After a quotation a script without case may go on, so only a capital or a digit begins a unit there.
     (rf"([{_M}][{_CLOSE}]+)(?=\s+{_BEGIN.replace(chr(92) + 'p{Lo}', '')})", "$1" + MARK),
-    (rf"((?<=\p{{IsLatin}})[{_M}][{_CLOSE}]+)(?=\s+\p{{Lo}})", "$1" + MARK),
+    (rf"([{_M}](?<=\p{{IsLatin}}.)[{_CLOSE}]+)(?=\s+\p{{Lo}})", "$1" + MARK),
     (rf"([.!?؟…．]+[{_CLOSE}]*)(?=\s+{_BEGIN})", "$1" + MARK),
-    (r"([.!?؟][”»\u0022’]*)(?=\Z)", "$1"),
-    (r"((?<=[\p{Ll}\p{Lo}\d%)”]{2})[.!?])(?=[“«]?\p{Lu}[\p{Ll}.\s’])", "$1" + MARK),  # the blank is missing
+    (r"([.!?](?<=[\p{Ll}\p{Lo}\d%)”]{2}.))(?=[“«]?\p{Lu}[\p{Ll}.\s’])", "$1" + MARK),  # the blank is missing
     (r"([。！？｡]+[”」』）)»]*)", "$1" + MARK),
-    (r"([।॥۔။።፧։។]+[”»’)\u0022]*)", "$1" + MARK),
-    (r"((?<=\p{IsGreek})[;\u037e][”»]*)(?=\s+" + _BEGIN + ")", "$1" + MARK),
-    (rf"((?<=[\u0e00-\u0e7f])\s+)(?=[\u0e00-\u0e7f]|[{_OPEN}]*[\p{{Lu}}\p{{Lo}}&&[^\u0e00-\u0e7f]])", "$1" + MARK),
+    (r"([।॥۔။።፧។։။]+[”»’)\u0022]*)", "$1" + MARK),
+    (r"([;\u037e](?<=\p{IsGreek}.)[”»]*)(?=\s+" + _BEGIN + ")", "$1" + MARK),
 )
+_THAI = (rf"((?<=[\u0e00-\u0e7f])\s+)(?=[\u0e00-\u0e7f]|[{_OPEN}]*[\p{{Lu}}\p{{Lo}}&&[^\u0e00-\u0e7f]])", "$1" + MARK)
 
 
 def _swap(c: Column, masked: bool) -> Column:
     return F.translate(c, MASKS, TERMINATORS) if masked else F.translate(c, TERMINATORS, MASKS)
 
 
-def _paragraph(p: Column) -> Column:
-    """The pieces of one paragraph, still masked; joined they are the paragraph."""
+def _mask(p: Column) -> Column:
     for pattern, to in _MASKING:
         p = F.regexp_replace(p, pattern, to)
+    return p
+
+
+def _quotations(p: Column) -> Column:
+    """The paragraph with all terminators inside quotations and brackets masked."""
     opens = F.lit("^(?s)[„“«「『（(\\[\"].+")
-    p = F.when(
-        p.rlike("[”“»」』）)\\]\"]"),
-        F.array_join(F.transform(F.regexp_extract_all(p, F.lit(_SPANS), F.lit(0)), lambda x: F.when(F.length(x) > 1, F.when(F.regexp_like(x, opens), _swap(x, False)).otherwise(x)).otherwise(x)), ""),
-    ).otherwise(p)
+    spans = F.transform(F.regexp_extract_all(p, F.lit(_SPANS), F.lit(0)), lambda x: F.when(F.regexp_like(x, opens), _swap(x, False)).otherwise(x))
+    return F.when(p.rlike("[”“»」』）)\\]\"]"), F.array_join(spans, "")).otherwise(p)
+
+
+def _mark(p: Column) -> Column:
     for pattern, to in _MARKING:
         p = F.regexp_replace(p, pattern, to)
-    return F.split(F.translate(p, "\ue0fe", ""), MARK)
+    return F.translate(p, "\ue0fe", "")
 
 
 def pieces(text: Column) -> Column:
-    """array<string> that joined gives the text; each piece is one unit with the white space around it."""
+    """array<string> that joined gives the text; each piece is one unit with the white space around it.
+
+    Each step is a transform of its own, so that no step's result is computed twice.
+    """
     t = F.translate(text, MASKS + MARK + "\ue0fe", "\ufffd" * (len(MASKS) + 2))
-    paragraphs = F.split(F.regexp_replace(t, r"(\n[^\S\n]*\n\s*|\x{2029}|\f)", "$1" + MARK), MARK)
-    return F.transform(F.flatten(F.transform(paragraphs, _paragraph)), lambda x: _swap(x, True))
+    p = F.split(F.regexp_replace(t, r"(\n[^\S\n]*\n\s*|\x{2029}|\f)", "$1" + MARK), MARK)
+    for step in (_mask, _quotations, _mark):
+        p = F.transform(p, step)
+    p = F.transform(p, lambda x: F.when(F.regexp_like(x, F.lit(r"[\u0e00-\u0e7f]\s")), F.regexp_replace(x, *_THAI)).otherwise(x))
+    return F.transform(F.flatten(F.transform(p, lambda x: F.split(x, MARK))), lambda x: _swap(x, True))
 
 
 def sentence_units(text: Column) -> Column:
     """array<struct<text string, start_char int, end_char int>>: start from 0, end exclusive, without outer white space."""
     item = F.struct(F.lit("").alias("text"), F.lit(0).alias("start_char"), F.lit(0).alias("end_char"))
     empty = F.struct(F.lit(0).alias("at"), F.filter(F.array(item), lambda x: F.lit(False)).alias("units"))
+    left = F.transform(pieces(text), lambda x: F.struct(F.length(x).alias("n"), F.regexp_replace(x, r"\A(?U:\s)+", "").alias("t")))
+    both = F.transform(left, lambda x: F.struct(x["n"].alias("n"), (x["n"] - F.length(x["t"])).alias("lead"), F.regexp_replace(x["t"], r"(?U:\s)+\z", "").alias("text")))
+    sized = F.transform(both, lambda x: F.struct(x["n"].alias("n"), x["lead"].alias("lead"), x["text"].alias("text"), F.length(x["text"]).alias("m")))
 
     def step(acc: Column, x: Column) -> Column:
-        lead = F.length(x) - F.length(F.regexp_replace(x, r"\A(?U:\s)+", ""))
-        body = F.regexp_replace(x, r"\A(?U:\s)+|(?U:\s)+\z", "")
-        start = acc["at"] + lead
-        unit = F.struct(body.alias("text"), start.alias("start_char"), (start + F.length(body)).alias("end_char"))
-        return F.struct(
-            (acc["at"] + F.length(x)).alias("at"),
-            F.when(F.length(body) > 0, F.concat(acc["units"], F.array(unit))).otherwise(acc["units"]).alias("units"),
-        )
-
-    return F.aggregate(pieces(text), empty, step, lambda acc: acc["units"])
+        start = acc["at"] + x["lead"]
+        unit = F.struct(x["text"].alias("text"), start.alias("start_char"), (start + x["m"]).alias("end_char"))
+        return F.struct((acc["at"] + x["n"]).alias("at"), F.when(x["m"] > 0, F.concat(acc["units"], F.array(unit))).otherwise(acc["units"]).alias("units"))
+
+    return F.aggregate(sized, empty, step, lambda acc: acc["units"])
