@@ -16,16 +16,19 @@ Defined results: null and blank texts are not cut; repeated rows give one result
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweft.session import cut
 
 #: Share of texts, and number, that must share the shape of an ending.
 SHARED, LEAST = 0.003, 3
+#: Characters at the end of a text that its ending is told from.
+TAIL = 300
 #: A field limit: so many texts at a length, this many times the mean of the lengths within WINDOW around it.
 LIMIT_TEXTS, LIMIT_TIMES, WINDOW = 3, 8.0, 20
 # Marks of cutting, remains of escapes, and abbreviations that end no text.
@@ -46,11 +49,14 @@ def _shape(c: Column) -> Column:
     return F.regexp_replace(c, "", "U")
 
 
-def endings(texts: DataFrame, text: str = "text") -> DataFrame:
-    """texts with line (shape of the last line, if short), unit (of what follows its last full stop) and words (shape of the last three words)."""
-    last = F.regexp_extract(text, r"([^\n]*)$", 1)
+def endings(texts: DataFrame, text: str = "tail") -> DataFrame:
+    """texts with line (shape of the last line, if short), unit (of what follows its last full stop) and words (shape of the last three words).
+
+    text holds the last TAIL characters, more than any ending that is looked for.
+    """
+    last = F.substring_index(text, "\n", -1)
     short = F.when((F.length(last) <= 120) & (F.length(last) < F.length(text)), last)
-    unit = F.regexp_extract(F.right(last, F.lit(300)), r"[.!?。！？][”»\"’)]*\s+(\p{Lu}(?:[^.!?]|(?<=\bTel)\.)*|\W+|\[.*)$", 1)
+    unit = F.regexp_extract(last, r"[.!?。！？][”»\"’)]*\s+(\p{Lu}(?:[^.!?]|(?<=\bTel)\.)*|\W+|\[.*)$", 1)
     tail = F.split(_shape(F.right(F.col(text), F.lit(90))), r"\s+")
     words = F.when(F.size(tail) >= 3, F.array_join(F.slice(tail, F.greatest(F.size(tail) - 2, F.lit(1)), 3), " ")).otherwise(F.array_join(tail, " "))
     caps = F.regexp_extract(words, r"(U 0)$", 1)
@@ -65,37 +71,36 @@ def _line(c: Column) -> Column:
 
 
 def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of sorted texts those that the next one extends; the first and last text of the partition with edge set."""
+    """Of sorted texts the digests of those that the next one extends; the first and last text of the partition with edge set."""
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
     held: str | None = None
-    first = True
     for pdf in batches:
-        rows, edges = [], []
+        rows = []
         for t in pdf["text"]:
-            if first:
-                edges.append(t)
-                first = False
-            elif t.startswith(held) and t != held:
-                rows.append(held)
+            if held is None:
+                rows.append((part, 1, t))
+            elif t != held and t.startswith(held):
+                rows.append((part, 0, digest(held)))
             held = t
-        yield pd.DataFrame({"part": part, "edge": [0] * len(rows) + [1] * len(edges), "text": rows + edges})
+        yield pd.DataFrame(rows, columns=["part", "edge", "text"])
     if held is not None:
         yield pd.DataFrame({"part": [part], "edge": [2], "text": [held]})
 
 
 def prefixes(texts: DataFrame) -> DataFrame:
-    """The distinct texts of (text) that are strict prefixes of another."""
-    found = cut(texts.select("text").filter("text <> ''").repartitionByRange("text").sortWithinPartitions("text").mapInPandas(_neighbours, "part int, edge int, text string"))
+    """(digest) of the texts of (text) that are strict prefixes of another; equal texts may lie in several range partitions."""
+    spread = texts.select("text").filter("text <> ''").withColumn("salt", F.rand(1))
+    found = cut(spread.repartitionByRange("text", "salt").sortWithinPartitions("text").select("text").mapInPandas(_neighbours, "part int, edge int, text string"))
     edges = found.filter("edge > 0")
-    # One row per partition: its last text beside the first of the next filled one.
-    lasts = edges.filter("edge = 2").select("part", "text")
-    firsts = edges.filter("edge = 1").select(F.col("part").alias("next"), F.col("text").alias("after"))
-    order = cut(edges.filter("edge = 1").select("part").distinct())
-    following = order.alias("a").join(order.select(F.col("part").alias("b")), F.col("b") > F.col("part")).groupBy("part").agg(F.min("b").alias("next"))
-    joined = lasts.join(following, "part").join(firsts, "next").filter(F.col("after").startswith(F.col("text")) & (F.col("after") != F.col("text")))
-    return found.filter("edge = 0").select("text").unionByName(joined.select("text")).distinct()
+    # Two rows a partition: its last text meets the first of the next filled one.
+    following = F.lead("part").over(Window.orderBy("part"))
+    firsts = edges.filter("edge = 1").select("part", "text")
+    after = firsts.select("part").withColumn("next", following).join(firsts.select(F.col("part").alias("next"), F.col("text").alias("after")), "next")
+    joined = edges.filter("edge = 2").select("part", "text").join(after, "part").filter(F.col("after").startswith(F.col("text")) & (F.col("after") != F.col("text")))
+    return found.filter("edge = 0").select(F.col("text").alias("digest")).unionByName(joined.select(F.md5("text").alias("digest"))).distinct()
 
 
 def _limits(texts: DataFrame, size: str) -> DataFrame:
@@ -108,36 +113,39 @@ def _limits(texts: DataFrame, size: str) -> DataFrame:
 
 
 def truncated_texts(texts: DataFrame) -> DataFrame:
-    """(text, copy, limit, mark, open): the distinct texts of (text) that are cut, and by which evidence."""
-    t = texts.select(F.regexp_replace("text", r"\s+$", "").alias("body"), "text").filter("body <> ''").groupBy("text").agg(F.first("body").alias("body"))
-    t = cut(endings(t, "body").withColumns({
-        "chars": F.length("text"), "bytes": F.octet_length("text"),
-        "ended": F.col("body").rlike(ENDED) & ~F.col("body").rlike(DANGLING) & ~F.col("body").rlike(r"[;:]$"),
-        "mark": F.col("body").rlike(MARKS) & ~F.col("body").rlike(r"[.!?][”\"]?\s*…$"),
-        "tail": F.right("body", F.lit(200)),
-    }).drop("body"))
-    all_texts = F.greatest(F.lit(LEAST), F.ceil(F.lit(SHARED) * F.lit(t.count())))
+    """(digest, copy, limit, mark, open, tail): the distinct texts of (text) that are cut, by MD5, and by which evidence.
+
+    Texts themselves are only sorted for the prefixes; all else goes by digest, sizes and shapes.
+    """
+    body = F.regexp_replace(F.right("text", F.lit(2 * TAIL)), r"\s+$", "")
+    own = texts.filter("text is not null").select(F.md5("text").alias("digest"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.right(body, F.lit(TAIL)).alias("tail")).filter("tail <> ''")
+    t = own.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("chars", "bytes", "tail")])
+    end = F.right("tail", F.lit(60))
+    t = cut(endings(t).withColumns({
+        "ended": end.rlike(ENDED) & ~end.rlike(DANGLING) & ~end.rlike(r"[;:]$"),
+        "mark": end.rlike(MARKS) & ~end.rlike(r"[.!?][”\"]?\s*…$"),
+    }))
+    least = F.greatest(F.lit(LEAST), F.ceil(F.lit(SHARED) * F.lit(t.count())))
     for name in ("line", "words"):
-        shared = t.filter(~F.col("ended") & F.col(name).isNotNull()).groupBy(name).count().filter(F.col("count") >= all_texts).select(name, F.lit(True).alias(f"known_{name}"))
+        shared = t.filter(~F.col("ended") & F.col(name).isNotNull()).groupBy(name).count().filter(F.col("count") >= least).select(name, F.lit(True).alias(f"known_{name}"))
         t = t.join(shared, name, "left")
         if name == "line":  # the same closing may stand on the line of the last sentence
             t = t.join(shared.select(F.col(name).alias("unit"), F.lit(True).alias("known_unit")), "unit", "left")
-    t = cut(t.withColumn("open", ~F.col("ended") & F.coalesce("known_line", "known_unit", "known_words").isNull()))
+    t = cut(t.select("digest", "chars", "bytes", "mark", "tail", (~F.col("ended") & F.coalesce("known_line", "known_unit", "known_words").isNull()).alias("open")))
     for name in ("chars", "bytes"):
         t = t.join(_limits(t, name).withColumn(f"at_{name}", F.lit(True)), name, "left")
-    copies = prefixes(t).withColumn("copy", F.lit(True))
-    t = t.join(copies, "text", "left").select(
-        "text", F.coalesce("copy", F.lit(False)).alias("copy"), F.coalesce("at_chars", "at_bytes", F.lit(False)).alias("limit"), "mark", "open", "ended", "tail"
+    t = t.join(prefixes(texts).withColumn("copy", F.lit(True)), "digest", "left").select(
+        "digest", F.coalesce("copy", F.lit(False)).alias("copy"), F.coalesce("at_chars", "at_bytes", F.lit(False)).alias("limit"), "mark", "open", "tail", "chars"
     )
     return t.filter("copy or limit or mark or open")
 
 
 def truncated_rows(rows: DataFrame, key: str, text: str, source: str) -> tuple[DataFrame, DataFrame]:
     """(rows cut off: key, source, evidence), (report: source, n_keys, n_cut, share); sources in lower case, trimmed."""
-    r = rows.select(key, F.col(text).alias("text"), F.lower(F.trim(F.col(source))).alias("source"))
-    bad = truncated_texts(r.filter(F.col("text").isNotNull()))
+    r = rows.select(key, F.lower(F.trim(F.col(source))).alias("source"), F.md5(F.col(text)).alias("digest"))
+    bad = truncated_texts(rows.select(F.col(text).alias("text")))
     evidence = F.filter(F.array(*[F.when(F.col(k), F.lit(k)) for k in ("copy", "limit", "mark", "open")]), lambda x: x.isNotNull())
-    found = cut(r.join(bad.select("text", evidence.alias("evidence")), "text").groupBy(key, "source").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("evidence")))).alias("evidence")))
+    found = cut(r.join(bad.select("digest", evidence.alias("evidence")), "digest").groupBy(key, "source").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("evidence")))).alias("evidence")))
     hit = found.select(key).distinct().withColumn("hit", F.lit(1))
     report = r.select(key, "source").distinct().join(hit, key, "left").groupBy("source").agg(F.count("*").alias("n_keys"), F.count("hit").alias("n_cut"))
     return found, report.withColumn("share", F.round(F.col("n_cut") / F.col("n_keys"), 6))
