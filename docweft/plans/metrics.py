@@ -123,4 +123,4 @@ def faithfulness(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "ekg_events").filter("trigger_text is not null and evidence_text is not null").select(words.alias("f"), F.lower("evidence_text").alias("e"))
     c = t.select(F.when(F.size("f") == 0, 0.0).otherwise(F.size(F.filter("f", lambda w: F.contains("e", w))) / F.size("f")).alias("c"))
     a = c.agg(F.count("*").alias("n"), F.count_if(F.col("c") >= 0.45).alias("covered"), F.count_if((F.col("c") >= 0.25) & (F.col("c") < 0.45)).alias("partial"))
-    return a.withColumn("score", F.round((F.col("covered") + 0.5 * F.col("partial")) / F.col("n"), 6))
+    return a.withColumn("score", F.round(F.try_divide(F.col("covered") + 0.5 * F.col("partial"), F.col("n")), 6))

@@ -203,7 +203,7 @@ def anti_customers(spark: SparkSession, d: str) -> DataFrame:
 def rollup_nations(spark: SparkSession, d: str) -> DataFrame:
     """Aggregated before the joins: customers per nation are few."""
     c = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.sum("c_acctbal").alias("b"))
-    j = c.join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    j = c.join(table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region").select("r_regionkey", "r_name"), F.col("n_regionkey") == F.col("r_regionkey"))
     return j.rollup("r_name", "n_name").agg(F.sum("n").alias("n"), F.round(F.sum("b"), 2).alias("balance"))
 
 
