@@ -13,7 +13,6 @@ text but white space between pieces; a piece with its overlap never exceeds the
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,35 +28,39 @@ _WORD = re.compile(r"[^\W\d_]{3,}")
 OUT = "piece int, start_char int, end_char int, overlap int, first_line int, last_line int, text string"
 
 
-def valley_depths(sentences: list[str], block: int = BLOCK) -> np.ndarray:
-    """Depth of the similarity valley at each gap between sentences k and k+1."""
-    bags = [Counter(w.lower() for w in _WORD.findall(s)) for s in sentences]
-    n = len(bags) - 1
+def similarities(sentences: list[str], block: int = BLOCK, part: int = 256) -> np.ndarray:
+    """Cosine of the words of the blocks before and after each gap; in parts, so that long texts stay small."""
+    words = [_WORD.findall(s.lower()) for s in sentences]
+    n = len(words) - 1
     sims = np.zeros(max(n, 0))
-    if n <= 0:
-        return sims
-    left: Counter = Counter()
-    right: Counter = Counter()
-    for b in bags[1 : 1 + block]:
-        right.update(b)
-    for k in range(n):
-        left.update(bags[k])
-        if k >= block:
-            left.subtract(bags[k - block])
-        if k:
-            right.subtract(bags[k])
-            if k + block < len(bags):
-                right.update(bags[k + block])
-        dot = sum(c * right.get(w, 0) for w, c in left.items() if c)
-        norm = np.sqrt(sum(c * c for c in left.values()) * sum(c * c for c in right.values()))
-        sims[k] = dot / norm if norm else 0.0
-    peak_l, peak_r = sims.copy(), sims.copy()
+    for lo in range(0, n, part):
+        hi = min(lo + part, n)
+        a, b = max(0, lo + 1 - block), min(len(words), hi + block)
+        ids: dict[str, int] = {}
+        at = [(k + 1 - a, ids.setdefault(w, len(ids))) for k in range(a, b) for w in words[k]]
+        if not at:
+            continue
+        m = np.zeros((b - a + 1, len(ids)), np.float32)
+        np.add.at(m, tuple(np.array(at).T), 1)
+        m = m.cumsum(0)  # row k: counts of the sentences a .. a + k - 1
+        gap = np.arange(lo, hi) + 1 - a
+        left, right = m[gap] - m[np.maximum(gap - block, 0)], m[np.minimum(gap + block, b - a)] - m[gap]
+        norm = np.sqrt((left * left).sum(1) * (right * right).sum(1))
+        sims[lo:hi] = np.divide((left * right).sum(1), norm, out=np.zeros(hi - lo), where=norm > 0)
+    return sims
+
+
+def valley_depths(sentences: list[str], block: int = BLOCK) -> np.ndarray:
+    """Depth of the similarity valley at each gap: the climbs to the nearest peaks on both sides."""
+    sims = similarities(sentences, block).tolist()
+    n = len(sims)
+    left, right = sims[:], sims[:]
     for k in range(1, n):
         if sims[k - 1] >= sims[k]:
-            peak_l[k] = max(sims[k - 1], peak_l[k - 1]) if sims[k - 1] <= peak_l[k - 1] else sims[k - 1]
+            left[k] = left[k - 1]
         if sims[n - k] >= sims[n - 1 - k]:
-            peak_r[n - 1 - k] = max(sims[n - k], peak_r[n - k])
-    return (peak_l - sims) + (peak_r - sims)
+            right[n - 1 - k] = right[n - k]
+    return np.array(left) + np.array(right) - 2 * np.array(sims)
 
 
 def cut_points(text: str, units: list[tuple[int, int]], limit: int, overlap: int) -> list[tuple[int, int, int]]:

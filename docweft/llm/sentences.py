@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 TERMINATORS = ".!?;。！？।॥۔؟။።፧։។．｡…\u037e"
 MASKS = "".join(chr(0xE000 + i) for i in range(len(TERMINATORS)))
 MARK = "\ue0ff"
+_PRIVATE = "[\ue000-\ue0ff]"
 TITLES = (
     "Mr Mrs Ms Dr Prof Lt Messrs Mmes Hon Rev Gen Capt Sgt Col Maj Gov Sen Rep Sr Sra Srta Dra Lic Ing Mgr Pte "
     "гр ул им см д-р проф डॉ सं श्री د άρθρ παρ αρ αριθ EE ዓ.ም RA"
@@ -116,7 +117,7 @@ def _quotations(p: Column) -> Column:
 def _mark(p: Column) -> Column:
     for pattern, to in _MARKING:
         p = F.regexp_replace(p, pattern, to)
-    return F.translate(p, "\ue0fe", "")
+    return F.replace(p, F.lit("\ue0fe"), F.lit(""))
 
 
 def pieces(text: Column) -> Column:
@@ -124,12 +125,12 @@ def pieces(text: Column) -> Column:
 
     Each step is a transform of its own, so that no step's result is computed twice.
     """
-    t = F.translate(text, MASKS + MARK + "\ue0fe", "\ufffd" * (len(MASKS) + 2))
+    t = F.when(text.rlike(_PRIVATE), F.translate(text, MASKS + MARK + "\ue0fe", "\ufffd" * (len(MASKS) + 2))).otherwise(text)
     p = F.split(F.regexp_replace(t, r"(\n[^\S\n]*\n\s*|\x{2029}|\f)", "$1" + MARK), MARK)
     for step in (_mask, _quotations, _mark):
         p = F.transform(p, step)
     p = F.transform(p, lambda x: F.when(F.regexp_like(x, F.lit(r"[\u0e00-\u0e7f]\s")), F.regexp_replace(x, *_THAI)).otherwise(x))
-    return F.transform(F.flatten(F.transform(p, lambda x: F.split(x, MARK))), lambda x: _swap(x, True))
+    return F.transform(F.flatten(F.transform(p, lambda x: F.split(x, MARK))), lambda x: F.when(x.rlike(_PRIVATE), _swap(x, True)).otherwise(x))
 
 
 def sentence_units(text: Column) -> Column:
