@@ -96,7 +96,7 @@ def components(links: DataFrame, a: str, b: str, cell_edges: int = CELL_EDGES) -
     label = settled[-1]
     for earlier in reversed(settled[:-1]):
         up = label.select(F.col("v").alias("rep"), F.col("rep").alias("top"))
-        moved = earlier.join(up, "rep", "left").select("v", F.coalesce("top", "rep").alias("rep"))
+        moved = earlier.join(up, "rep", "left").select("v", F.coalesce("top", "rep").alias("rep")).filter("v <> rep")
         label = cut(label.join(earlier.select("v"), "v", "left_anti").unionByName(moved))
     heads = label.groupBy("rep").agg(F.min("v").alias("least")).withColumn("group_id", F.least("least", "rep"))
     members = label.join(heads.select("rep", "group_id"), "rep").select(F.col("v").alias("member"), "group_id")
