@@ -53,8 +53,8 @@ def best_thresholds(df: DataFrame, score: str, gold: str, *by: str, steps: int =
 
 def fleiss_kappa(ratings: DataFrame, item: list[str], category: str) -> DataFrame:
     """One row (n_items, kappa) over the items with the commonest number of ratings."""
-    n = ratings.groupBy(*item, category).agg(F.count("*").alias("c"))
-    per = n.groupBy(*item).agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1)).alias("same"), F.map_from_entries(F.collect_list(F.struct(category, "c"))).alias("m"))
+    n = ratings.select(F.struct(*item).alias("__i"), F.col(category).alias("__k")).groupBy("__i", "__k").agg(F.count("*").alias("c"))
+    per = n.groupBy("__i").agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1)).alias("same"), F.map_from_entries(F.collect_list(F.struct("__k", "c"))).alias("m"))
     common = per.filter("n > 1").groupBy("n").agg(F.count("*").alias("k")).agg(F.max_by("n", F.struct("k", "n")).alias("common"))
     kept = per.crossJoin(F.broadcast(common)).filter("n = common")
     shares = kept.select(F.explode("m").alias("cat", "c"), "n").groupBy("cat").agg(F.sum("c").alias("c")).agg(F.sum(F.col("c") * F.col("c")).alias("sq"), F.sum("c").alias("all"))
@@ -65,8 +65,8 @@ def fleiss_kappa(ratings: DataFrame, item: list[str], category: str) -> DataFram
 
 def krippendorff_alpha(ratings: DataFrame, unit: list[str], category: str) -> DataFrame:
     """One row (n_units, alpha), nominal; units with one rating are skipped; all alike gives 1."""
-    n = ratings.filter(F.col(category).isNotNull()).groupBy(*unit, category).agg(F.count("*").alias("c"))
-    per = n.groupBy(*unit).agg(F.sum("c").alias("m"), F.collect_list(F.struct(F.col(category).alias("cat"), "c")).alias("l")).filter("m > 1")
+    n = ratings.filter(F.col(category).isNotNull()).select(F.struct(*unit).alias("__i"), F.col(category).alias("__k")).groupBy("__i", "__k").agg(F.count("*").alias("c"))
+    per = n.groupBy("__i").agg(F.sum("c").alias("m"), F.collect_list(F.struct(F.col("__k").alias("cat"), "c")).alias("l")).filter("m > 1")
     inner = F.aggregate("l", F.lit(0).cast("long"), lambda acc, x: acc + x["c"] * (x["c"] - 1))
     agree = per.agg(F.count("*").alias("n_units"), F.sum("m").alias("n"), F.sum(inner / (F.col("m") - 1)).alias("same"))
     cats = per.select(F.explode("l").alias("x")).groupBy("x.cat").agg(F.sum("x.c").alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("chance"))

@@ -27,7 +27,9 @@ def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True)
     """One object a line; a bad line fails the read, or is left out if not strict. Blank lines are skipped either way."""
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    return spark.read.schema(f"{schema}, __bad string").option("columnNameOfCorruptRecord", "__bad").json(path).filter("__bad is null").drop("__bad")
+    lines = spark.read.text(path).filter("trim(value) <> ''")
+    parsed = lines.select(F.from_json("value", f"{schema}, __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}).alias("r"))
+    return parsed.filter("r.__bad is null").select("r.*").drop("__bad")
 
 
 def records(spark: SparkSession, path: str, schema: str) -> DataFrame:
