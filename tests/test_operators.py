@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweft.functions import text as T
-from docweft.operators import adapters, chunking, ekg, graphs, metrics, pairs, ranking, vectors
+from docweft.operators import adapters, chunking, ekg, graphs, linking, metrics, pairs, ranking, vectors
 from docweft.sources import readers, sinks
 from docweft.streaming import windows
 
@@ -116,6 +116,25 @@ def test_jaccard_classes_against_brute_force(spark):
     assert got == want
 
 
+def test_capped_pairs_equal_one_pass(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = sorted({("d", f"v{min(p)}", f"v{max(p)}", rng.randrange(6) / 10) for p in (rng.sample(range(12), 2) for _ in range(40))}, key=lambda r: (-r[3], r[1], r[2]))
+    used, want = {}, set()
+    for _, a, b, s in rows:
+        if used.get(a, 0) < 2 and used.get(b, 0) < 2:
+            want.add((a, b, s))
+            used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
+    got = linking.cap_degrees(spark.createDataFrame(rows, "doc string, a string, b string, similarity double"), "doc", 2).collect()
+    assert {(r.a, r.b, r.similarity) for r in got} == want and len(got) == len(want)
+
+
+def test_anonymise(spark):
+    df = spark.createDataFrame([("Ann Lee met Ann.", ["Ann", "Ann Lee"])], "t string, n array<string>")
+    assert df.select(linking.anonymise(F.col("t"), F.col("n")).alias("x")).first().x == "[NAME_2] met [NAME_1]."
+
+
 GRAPH = {
     "entities": [{"name": "Plaintiff", "kind": "person"}, {"entity_id": "E2", "name": "Acme", "kind": "firm"}],
     "events": [{"event_id": "EV1", "main_verb": " Hired ", "time": {"normalized": "2024-02-01"}, "participants": [{"entity_id": "E1"}], "evidence": {"sentence_ids": ["1"]}}, {"event_id": "EV2", "main_verb": None, "time": {"normalized": "2024-01-01"}}],
