@@ -331,7 +331,10 @@ def name_groups(entities: DataFrame) -> DataFrame:
     lone = parts.filter("kind = 'P' and first = ''")
     people = parts.filter("kind = 'P' and first <> ''").join(group, "name")
     one = people.groupBy("family").agg(F.count_distinct("group").alias("n"), F.min("group").alias("one")).filter("n = 1")
-    own = lone.join(one, "family", "left").select("name", F.coalesce("one", F.concat(F.lit("="), "family")).alias("group"))
+    # Who bears the very same family name comes before those with one like it.
+    same = people.groupBy("core").agg(F.count_distinct("group").alias("n_same"), F.min("group").alias("same"))
+    taker = F.when(F.col("n_same") == 1, F.col("same")).when(F.col("n_same").isNull(), F.col("one"))
+    own = lone.join(one, "family", "left").join(same, "core", "left").select("name", F.coalesce(taker, F.concat(F.lit("="), "family")).alias("group"))
     return group.unionByName(own)
 
 
