@@ -2,14 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweft.functions import text as T
-from docweft.operators import ranking
+from docweft.functions import unions
 from docweft.session import cut
 
 
+#: Edges, counted first, that one task takes at once; beyond it the work is spread.
+ONE_TASK = 500_000
+
+
+def _coded(batches: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted names and the numbers of both ends; an edge table of one partition."""
+    pdf = pd.concat([*batches, pd.DataFrame({"a": [], "b": []}, dtype=object)])
+    names, codes = np.unique(np.concatenate([pdf["a"].to_numpy(object), pdf["b"].to_numpy(object)]).astype(str), return_inverse=True)
+    return names, codes[: len(pdf)], codes[len(pdf) :]
+
+
+def _local_components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names, a, b = _coded(batches)
+    if len(names):
+        yield pd.DataFrame({"id": names, "component": names[unions.roots(a, b, len(names))]})
+
+
+def _local_cycles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names, a, b = _coded(batches)
+    if len(names):
+        keep = unions.core_edges(a, b, len(names))
+        yield pd.DataFrame({"a": names[a[keep]], "b": names[b[keep]]})
+
+
 def match_edges(matches: DataFrame) -> DataFrame:
     """(a, b) distinct with a < b, from confirmed matches; ids in upper case and trimmed."""
     a, b = F.upper(T.strip(F.col("event_a"))), F.upper(T.strip(F.col("event_b")))
@@ -42,13 +70,16 @@ def hops(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that is linked directly or through others.
+def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """(id, component): the smallest id that is linked directly or through others; ids are compared as strings.
 
-    Labels go to neighbours and then jump to the label of the label, so rounds grow with the logarithm of the longest chain.
+    Up to one_task edges are one task's union-find. Beyond, labels go to neighbours and then jump to the label of the label, so rounds grow with the logarithm of the longest chain.
     Partial minima are taken before each shuffle. Each round is written to the shared folder.
     """
-    links = cut(both_ways(edges.filter("a is not null and b is not null")).distinct())
+    known = cut(edges.filter("a is not null and b is not null").select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).distinct())
+    if known.count() <= one_task:
+        return cut(known.coalesce(1).mapInPandas(_local_components, "id string, component string"))
+    links = cut(both_ways(known).distinct())
     labels = cut(links.select(F.col("src").alias("id")).distinct().withColumn("component", F.col("id")))
     while True:
         heard = links.join(labels, F.col("dst") == F.col("id")).groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
@@ -61,10 +92,12 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def on_cycles(edges: DataFrame, most: int = 10_000) -> DataFrame:
+def on_cycles(edges: DataFrame, most: int = 10_000, one_task: int = ONE_TASK) -> DataFrame:
     """(a, b): directed edges that remain after peeling off ids without an edge in or without an edge out; empty for acyclic graphs."""
     left = cut(edges.filter("a is not null and b is not null").distinct())
     n = left.count()
+    if n <= one_task:
+        return cut(left.coalesce(1).mapInPandas(_local_cycles, "a string, b string"))
     for _ in range(most):
         ins, outs = left.select(F.col("b").alias("a")), left.select(F.col("a").alias("b"))
         left = cut(left.join(ins, "a", "left_semi").join(outs, "b", "left_semi").select("a", "b"))

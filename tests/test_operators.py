@@ -66,10 +66,11 @@ def test_balanced_counts(spark):
     assert {r.k: r.take for r in ranking.balanced_counts(df, "k", "n", 9).collect()} == {"a": 1, "b": 4, "c": 4, "d": 0}
 
 
-def test_components_and_cycles(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components_and_cycles(spark, one_task):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("c", "a"), ("q", "q"), (None, "a")], "a string, b string")
-    assert {(r.id, r.component) for r in graphs.components(e).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x"), ("q", "q")}
-    assert {(r.a, r.b) for r in graphs.on_cycles(e).collect()} == {("a", "b"), ("b", "c"), ("c", "a"), ("q", "q")}
+    assert {(r.id, r.component) for r in graphs.components(e, one_task).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x"), ("q", "q")}
+    assert {(r.a, r.b) for r in graphs.on_cycles(e, one_task=one_task).collect()} == {("a", "b"), ("b", "c"), ("c", "a"), ("q", "q")}
     assert graphs.on_cycles(e.filter("a = 'x'")).count() == 0
 
 
