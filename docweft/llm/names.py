@@ -252,17 +252,35 @@ def resolve(profiles: list[Profile]) -> list[Profile]:
             return profiles
 
 
-def _block(pdf: pd.DataFrame) -> pd.DataFrame:
+def _block(rows: list) -> list[tuple[str, str]]:
+    """(spelling, first spelling of its group) for the records of one block."""
     exact: dict[tuple, Profile] = {}
-    for r in pdf.itertuples(index=False):
+    for r in rows:
         p = Profile(r)
         k = (r.kind, r.core, r.sig, " ".join(formals(r.first)) if len(r.first) > 1 else r.first, r.middle if len(r.first) == 1 else "", r.suffix)
         if k in exact and (not exact[k].middles or not p.middles or exact[k].middles & p.middles):
             exact[k].merge(p)
         else:
             exact[k if k not in exact else (*k, r.middle, r.name)] = p
-    groups = resolve(list(exact.values())) if pdf["kind"].iloc[0] == "P" else _bodies(list(exact.values()))
-    return pd.DataFrame([(n, min(p.names)) for p in groups for n in p.names], columns=["a", "b"])
+    groups = resolve(list(exact.values())) if rows[0].kind == "P" else _bodies(list(exact.values()))
+    return [(n, min(p.names)) for p in groups for n in p.names]
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by block, and a block may span batches; blocks are small and many, so none gets a frame of its own."""
+    key, held, out = None, [], []
+    for pdf in batches:
+        for r in pdf.itertuples(index=False):
+            if key != (k := (r.kind, r.family, r.block)):
+                if held:
+                    out += _block(held)
+                key, held = k, []
+            held.append(r)
+        if out:
+            yield pd.DataFrame(out, columns=["a", "b"])
+            out = []
+    if held:
+        yield pd.DataFrame(_block(held), columns=["a", "b"])
 
 
 def _bodies(profiles: list[Profile]) -> list[Profile]:
@@ -319,7 +337,7 @@ def name_groups(entities: DataFrame) -> DataFrame:
     initial = F.transform(F.split(F.coalesce(F.try_element_at(nick, F.col("first")), F.col("first")), " "), lambda x: F.left(x, F.lit(1)))
     persons = parts.filter("kind = 'P' and first <> ''").withColumn("block", F.explode(F.array_distinct(initial)))
     bodies = parts.filter("kind = 'O'").withColumn("block", F.col("sig"))
-    links = cut(persons.unionByName(bodies).groupBy("kind", "family", "block").applyInPandas(lambda pdf: _block(pdf), "a string, b string"))
+    links = cut(persons.unionByName(bodies).repartition("kind", "family", "block").sortWithinPartitions("kind", "family", "block").mapInPandas(_blocks, "a string, b string"))
     # Aliases bridge a name to spellings of the same family: same suffix, and initials that agree.
     side = lambda p: parts.select(*[F.col(c).alias(f"{p}_{c}") for c in ("name", "kind", "family", "first", "suffix", "sig")])
     bridge = aliases.join(side("n"), F.col("name") == F.col("n_name")).join(side("a"), F.col("alias") == F.col("a_name")).filter("n_kind = a_kind and n_family = a_family and n_suffix = a_suffix and n_sig = a_sig")
