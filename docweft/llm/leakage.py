@@ -7,10 +7,11 @@ phrases are searched backwards at once, two rank queries a word; a phrase is the
 item that stands at no more than RARE places of the items. Occurrences are located by walking to a sampled position, merged on their
 diagonals and extended over altered words. An exact check of the extended passage decides.
 
-A passage counts with 12 equal running words, or with a score of 14 where equal words count 1 and a replaced, missing or added word
-costs 2. It must also say more than chance would: the items' own wording, as a chain of word pairs, gives each equal word
-its surprise in bits, and the sum less what altered words cost must exceed the bits that tell all item positions apart by MARGIN. (Twelve
-words of free text carry far more; it sorts out set phrases around two or three nouns.) Words inside a run of 12
+A passage counts with 12 equal running words, whatever they say. One with altered words counts with a score of 14, where equal words
+count 1 and a replaced, missing or added word costs 2, or with 12 words of which at most one in FEW is altered. It must also
+say more than chance would: the items' own wording, as a chain of word pairs, gives each equal word
+its surprise in bits, and the sum less what altered words cost must exceed the bits that tell all item positions apart by MARGIN. (It sorts
+out sentences of one pattern with other nouns.) Words inside a run of 12
 that at least STOCK items share are stock wording and match nothing.
 
 Defined results: null or empty texts and passages hold nothing; repeated items are each reported; an empty
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 RUN = 12
 SCORE = 14
 PENALTY = 2
+#: An altered word in so many of a passage's words.
+FEW = 6
 SEED = 5
 RARE = 3
 STOCK = 3
@@ -262,6 +265,15 @@ def _blocks(index: FMIndex, items: Items) -> np.ndarray:
     return np.column_stack((first[:, 0], first[:, 1], first[:, 2], end - first[:, 1]))
 
 
+def _counts(items: Items, p: int, lo: int, hi: int, words: int, score: int, run: int) -> bool:
+    """Do the words lo to hi of passage p count, equal to so many words of a document but for altered ones?"""
+    if run >= RUN:
+        return True
+    altered = (hi - lo - score) / (1 + PENALTY)
+    long = score >= SCORE or (min(hi - lo, words) >= RUN and altered * FEW <= hi - lo)
+    return long and items.bits[p][hi] - items.bits[p][lo] - 2 * altered * items.altered >= items.needed
+
+
 def _search(stream: np.ndarray, back: np.ndarray, docs: list, ids: list[list[int]], items: Items) -> list[tuple]:
     """(doc, idx, first word, end word, score): passages of one shard.
 
@@ -277,11 +289,8 @@ def _search(stream: np.ndarray, back: np.ndarray, docs: list, ids: list[list[int
         right, r_doc, r_item, r_run = _extend(t, passage, i + n, j + n, 1)
         left, l_doc, l_item, l_run = _extend(t, passage, i - 1, j - 1, -1)
         score = n + left + right
-        if (score >= SCORE or n + l_run + r_run >= RUN) and (best is None or score > best[2]):
-            lo, hi = j - l_item, j + n + r_item
-            altered = (hi - lo - score) / (1 + PENALTY)
-            if items.bits[p][hi] - items.bits[p][lo] - 2 * altered * items.altered >= items.needed:
-                found[(d, items.item[p])] = (i - l_doc, i + n + r_doc, score)
+        if (best is None or score > best[2]) and _counts(items, p, j - l_item, j + n + r_item, l_doc + n + r_doc, score, n + l_run + r_run):
+            found[(d, items.item[p])] = (i - l_doc, i + n + r_doc, score)
     return [(docs[d], idx, lo, hi, score) for (d, idx), (lo, hi, score) in found.items()]
 
 

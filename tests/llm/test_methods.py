@@ -192,6 +192,25 @@ def test_leaks(spark):
     assert leakage.removal_spans(found, "doc", "idx").count() == 4
 
 
+def test_every_run_of_twelve_counts(spark):
+    # Set phrases in equal parts: a run of 12 of them carries few bits, but is nobody else's.
+    rng = random.Random(4)
+    nouns = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(6)]
+    phrase = lambda: f"a {rng.choice(nouns)} held the {rng.choice(nouns)} by"
+    items = [(k, " ".join(phrase() for _ in range(8))) for k in range(30)]
+    other = lambda n: " ".join(rng.choices("qrtuvwx", k=n))
+    free = ["".join(rng.choices("ijklmnop", k=7)) for _ in range(60)]
+    items.append((100, " ".join(free)))
+    plain = items[5][1].split()[6:18]
+    altered = free[:14]
+    altered[7] = "indeed"
+    docs = [(1, f"{other(9)} {' '.join(plain)} {other(9)}"), (2, f"{other(9)} {' '.join(altered)} {other(9)}"), (3, f"{other(9)} {' '.join(free[:11])} {other(9)}")]
+    d, q = spark.createDataFrame(docs, "doc long, text string"), spark.createDataFrame(items, "idx long, a string")
+    found = {(r.doc, r.idx) for r in leakage.leaks(d, q, "doc", "text", "idx", [F.col("a")]).collect()}
+    assert (1, 5) in found
+    assert {x for x in found if x[0] > 1} == {(2, 100)}
+
+
 CLEAN = ["The résumé of José was naïve, “quite” so.", "Le requérant a été licencié après l’été à Orléans, déjà là.", "Суд установил, что истец прав.", "Die Kündigung wäre für Gehälter gültig gewesen, § 5."]
 
 
