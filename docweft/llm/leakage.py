@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RUN = 12
@@ -275,23 +275,37 @@ def _counts(items: Items, p: int, lo: int, hi: int, words: int, score: int, run:
 
 
 def _search(stream: np.ndarray, back: np.ndarray, docs: list, ids: list[list[int]], items: Items) -> list[tuple]:
-    """(doc, idx, first word, end word, score): passages of one shard.
+    """(doc, idx, first word, end word, score): passages of one shard, those of an item in a document that overlap as one.
 
     stream: the stretches, parted by 0; back: for each symbol (document, place in its list of folded words); ids: these lists.
     """
-    found: dict[tuple, tuple] = {}
+    found: dict[tuple, list[tuple]] = defaultdict(list)
+    last: dict[tuple, tuple] = {}
     for p, x, j, n in _blocks(FMIndex(stream), items).tolist():
         d, i = back[x].tolist()
-        t, passage = ids[d], items.passages[p]
-        best = found.get((d, items.item[p]))
-        if best and best[0] <= i < best[1] and best[2] >= 4 * SCORE:
+        # Blocks of a passage come by diagonal, so the next ones mostly lie inside the passage just found.
+        if (s := last.get((d, p))) and s[0] <= i and i + n <= s[1] and s[2] <= j and j + n <= s[3]:
             continue
+        t, passage = ids[d], items.passages[p]
         right, r_doc, r_item, r_run = _extend(t, passage, i + n, j + n, 1)
         left, l_doc, l_item, l_run = _extend(t, passage, i - 1, j - 1, -1)
         score = n + left + right
-        if (best is None or score > best[2]) and _counts(items, p, j - l_item, j + n + r_item, l_doc + n + r_doc, score, n + l_run + r_run):
-            found[(d, items.item[p])] = (i - l_doc, i + n + r_doc, score)
-    return [(docs[d], idx, lo, hi, score) for (d, idx), (lo, hi, score) in found.items()]
+        start, end, lo, hi = i - l_doc, i + n + r_doc, j - l_item, j + n + r_item
+        if _counts(items, p, lo, hi, end - start, score, n + l_run + r_run):
+            last[d, p] = start, end, lo, hi
+            found[d, items.item[p]].append((start, end, score))
+    out = []
+    for (d, idx), spans in found.items():
+        first, end, score = None, -1, 0
+        for a, b, s in sorted(spans):
+            if a < end:
+                end, score = max(end, b), max(score, s)
+                continue
+            if first is not None:
+                out.append((docs[d], idx, first, end, score))
+            first, end, score = a, b, s
+        out.append((docs[d], idx, first, end, score))
+    return out
 
 
 def _shards(items: Items):
@@ -347,9 +361,9 @@ def _shards(items: Items):
 
 
 def leaks(documents: DataFrame, items: DataFrame, key: str, text: str, item: str, passages: list[Column]) -> DataFrame:
-    """(key, item, first_word, end_word, score): the best passage of each item in each document that holds one.
+    """(key, item, first_word, end_word, score): each passage of each item in each document; those of an item don't overlap.
 
-    Word numbers are of the folded words of the document, from 0, the end exclusive.
+    Word numbers are of the folded words of the document, from 0, the end exclusive. The score is the best of what the span was joined from.
     """
     rows = items.select(F.col(item).cast("long"), *passages).filter(F.col(item).isNotNull()).limit(MAX_ITEM_WORDS).collect()
     held = Items([(r[0], list(r[1:])) for r in rows])
@@ -368,17 +382,9 @@ def qa_passages() -> list[Column]:
 
 
 def removal_spans(found: DataFrame, key: str, item: str) -> DataFrame:
-    """(key, first_word, end_word, items): spans of all leaked items of a document, merged where they meet.
-
-    A document has at most a span per item, so a group is bounded by the item set.
-    """
-    step = lambda acc, x: F.when(
-        (F.size(acc) > 0) & (F.element_at(acc, -1)["end_word"] >= x["first_word"]),
-        F.concat(
-            F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-            F.array(F.struct(F.element_at(acc, -1)["first_word"].alias("first_word"), F.greatest(F.element_at(acc, -1)["end_word"], x["end_word"]).alias("end_word"), F.array_union(F.element_at(acc, -1)["items"], x["items"]).alias("items"))),
-        ),
-    ).otherwise(F.concat(acc, F.array(x)))
-    spans = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("first_word", "end_word", F.array(item).alias("items")))).alias("s"))
-    merged = F.aggregate("s", F.filter("s", lambda x: F.lit(False)), step)
-    return spans.select(key, F.explode(merged).alias("x")).select(key, "x.first_word", "x.end_word", F.sort_array("x.items").alias("items"))
+    """(key, first_word, end_word, items): spans of all leaked items of a document, merged where they meet."""
+    so_far = Window.partitionBy(key).orderBy("first_word", "end_word", item)
+    before = F.max("end_word").over(so_far.rowsBetween(Window.unboundedPreceding, -1))
+    spans = found.withColumn("__new", F.when(before >= F.col("first_word"), 0).otherwise(1)).withColumn("__span", F.sum("__new").over(so_far))
+    merged = spans.groupBy(key, "__span").agg(F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.sort_array(F.collect_set(item)).alias("items"))
+    return merged.drop("__span")

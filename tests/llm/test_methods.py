@@ -211,6 +211,17 @@ def test_every_run_of_twelve_counts(spark):
     assert {x for x in found if x[0] > 1} == {(2, 100)}
 
 
+def test_all_passages_of_an_item_are_removed(spark):
+    rng = random.Random(4)
+    other = lambda n: " ".join(rng.choices("qrtuvwx", k=n))
+    t = ["".join(rng.choices("ijklmnop", k=7)) for _ in range(60)]
+    docs = [(1, f"{other(5)} {' '.join(t[:20])} {other(9)} {' '.join(t[30:50])} {other(9)} {' '.join(t[:20])}"), (2, f"{other(5)} {' '.join(t[5:35])} {other(4)}")]
+    d, q = spark.createDataFrame(docs, "doc long, text string"), spark.createDataFrame([(7, " ".join(t[:28]), " ".join(t[20:]))], "idx long, a string, b string")
+    found = leakage.leaks(d, q, "doc", "text", "idx", [F.col("a"), F.col("b")])
+    spans = {(r.doc, r.first_word, r.end_word, tuple(r["items"])) for r in leakage.removal_spans(found, "doc", "idx").collect()}
+    assert spans == {(1, 5, 25, (7,)), (1, 34, 54, (7,)), (1, 63, 83, (7,)), (2, 5, 35, (7,))}
+
+
 CLEAN = ["The résumé of José was naïve, “quite” so.", "Le requérant a été licencié après l’été à Orléans, déjà là.", "Суд установил, что истец прав.", "Die Kündigung wäre für Gehälter gültig gewesen, § 5."]
 
 
