@@ -27,6 +27,11 @@ def norm_text(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
 
 
+def norm_text_any(c: Column) -> Column:
+    """As norm_text, with the white space of all scripts (no-break, ideographic and the like)."""
+    return F.lower(F.trim(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " ")))
+
+
 def missing(c: Column) -> Column:
     """Null for null and blank."""
     return F.nullif(strip(c), F.lit(""))

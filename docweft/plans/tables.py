@@ -127,11 +127,18 @@ def faq_entries(spark: SparkSession, d: str) -> DataFrame:
     SELECT doc_id, case_id, norm_key FROM (SELECT doc_id, case_id, md5(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS norm_key, row_number() OVER (PARTITION BY lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) ORDER BY doc_id) AS k FROM documents WHERE text IS NOT NULL AND length(text) = strlen(text)) WHERE k = 1
 """)
 def first_of_equal_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Exact copies but for case and white space: the first id stays. Keyed by digest, so texts are not shuffled."""
+    """Exact copies but for case and white space, of texts in ASCII only: the first id stays. Keyed by digest, so texts are not shuffled."""
     x = table(spark, d, "documents").filter(F.length("text") == F.octet_length("text")).select("doc_id", "case_id", F.md5(T.norm_text(F.col("text"))).alias("norm_key"))
     return ranking.first(x, ["norm_key"], F.col("doc_id")).select("doc_id", "case_id", "norm_key")
 
 
+@query()
+def first_of_equal_texts_all(spark: SparkSession, d: str) -> DataFrame:
+    """As first_of_equal_texts, of texts in all scripts. No SQL: DuckDB differs in lower case and white space beyond ASCII."""
+    x = table(spark, d, "documents").filter("text is not null").select("doc_id", "case_id", F.md5(T.norm_text_any(F.col("text"))).alias("norm_key"))
+    return ranking.first(x, ["norm_key"], F.col("doc_id")).select("doc_id", "case_id", "norm_key")
+
+
 @query("SELECT source, arg_max(doc_id, (n_chars, -doc_id)) AS doc_id, max(n_chars) AS n_chars FROM documents WHERE source IS NOT NULL AND n_chars IS NOT NULL GROUP BY 1")
 def longest_per_source(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "documents").filter("source is not null and n_chars is not null")

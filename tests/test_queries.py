@@ -52,6 +52,18 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() >= 0
 
 
+def test_equal_texts_of_all_scripts(spark, tmp_path):
+    texts = ["Le salarié a  été licencié.", "LE SALARIÉ A ÉTÉ\u00a0LICENCIÉ. ", "Суд решил", "суд\u3000\nрешил", "“Quote” § 5", "“quote”  § 5", "İstanbul", "ΟΔΟΣ", "οδος", "οδοσ", "plain", " Plain", "", None]
+    rows = [(len(texts) - k, t, f"c{k}") for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, case_id string").write.parquet(f"{tmp_path}/documents.parquet")
+    first = {}
+    for doc, text, case in sorted(rows):
+        if text is not None:
+            first.setdefault(" ".join(text.split()).lower(), (doc, case))
+    got = QUERIES["first_of_equal_texts_all"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.case_id) for r in got) == sorted(first.values())
+
+
 @pytest.fixture(scope="module")
 def empty(tmp_path_factory):
     return empty_tables(tmp_path_factory.mktemp("empty"))
