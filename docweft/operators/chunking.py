@@ -71,5 +71,21 @@ def section_chunks(df: DataFrame, key: str, text: str, most: int, overlap: int)
 
 def facts_section(text: Column) -> Column:
     """From the facts header on; the whole text if there is none."""
-    at = F.regexp_instr(F.lower(text), F.lit("factual background|statement of facts"))
+    at = F.regexp_instr(text, F.lit("(?i)factual background|statement of facts"))
     return F.when(at > 0, F.substring(text, at, F.length(text))).otherwise(text)
+
+
+#: White space of all scripts, and that within a line. A header is sought from the last line break before it, so that runs of blanks cost no time.
+_BLANK, _IN_LINE = r"[\s\x1c-\x1f]", r"[\s\x1c-\x1f&&[^\n]]"
+FACTS_TIERS = (rf"\n{_IN_LINE}*(?:(?:III|II|I)\.{_BLANK}*)?(?:factual )?(?:background|history|facts){_IN_LINE}*\n", rf"\n{_IN_LINE}*relevant facts{_IN_LINE}*\n")
+OPINION_TIERS = tuple(rf"\n{_IN_LINE}*{w}" for w in ("memorandum", "opinion", "decision"))
+DISCUSSION = rf"\n{_IN_LINE}*(?:discussion|analysis){_IN_LINE}*\n"
+
+
+def facts_body(text: Column) -> Column:
+    """What follows the first facts header; else what lies between MEMORANDUM, OPINION or DECISION and DISCUSSION or ANALYSIS; else the whole text."""
+    flags = "(?iU)"
+    strip = lambda c: F.regexp_replace(c, rf"(?U)\A{_BLANK}+|(?<!{_BLANK}){_BLANK}+\z", "")
+    after = lambda p: F.when(text.rlike(flags + p), strip(F.regexp_extract(text, rf"{flags}{p}((?s:.*))", 1)))
+    before = lambda c: strip(F.get(F.split(c, flags + DISCUSSION, 2), F.lit(0)))
+    return F.coalesce(*[after(p) for p in FACTS_TIERS], *[before(after(p)) for p in OPINION_TIERS], text)

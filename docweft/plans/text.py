@@ -216,11 +216,18 @@ def topic_counts(spark: SparkSession, d: str) -> DataFrame:
     FROM courtlistener_recap WHERE document_text IS NOT NULL AND length(document_text) = strlen(document_text)
 """)
 def facts_sections(spark: SparkSession, d: str) -> DataFrame:
-    """The text from the facts header on, else the whole; texts of ASCII only, whose lower case keeps places."""
+    """The text from the facts header on, else the whole; texts of ASCII only, as in the SQL."""
     r = table(spark, d, "courtlistener_recap").filter(F.length("document_text") == F.octet_length("document_text"))
     return r.select("case_id", "fetched_at", F.md5(chunking.facts_section(F.col("document_text"))).alias("facts"))
 
 
+@query()
+def facts_sections_all(spark: SparkSession, d: str) -> DataFrame:
+    """The facts of each case text in any script, by the tiers of headers. No SQL: DuckDB differs in white space and case beyond ASCII."""
+    r = table(spark, d, "courtlistener_recap").filter("document_text is not null")
+    return r.select("case_id", "fetched_at", F.md5(chunking.facts_body(F.col("document_text"))).alias("facts"))
+
+
 @query("""
     WITH p AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS k, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))
     SELECT doc_id, (k - 1) // 5 AS paragraph, count(*) AS n_lines, md5(string_agg(line, ' ' ORDER BY k)) AS digest FROM p GROUP BY 1, 2

@@ -1,12 +1,16 @@
 """Operators, sources and sinks on small cases whose results are known."""
 
+import hashlib
 import json
 import os
+import random
+import re
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from docweft import catalogue
 from docweft.functions import text as T
 from docweft.operators import adapters, chunking, ekg, graphs, linking, metrics, pairs, ranking, vectors
 from docweft.sources import readers, sinks
@@ -224,3 +228,34 @@ def test_stream_windows(spark, tmp_path):
     out = windows.run_to_end(windows.tumbling(s, "ts", "5 minutes", "1 minute", "k"))
     assert {(str(r.window_start)[11:16], r.n) for r in out.collect()} == {("00:00", 1), ("00:05", 2)}
     assert windows.run_to_end(windows.distinct_within(s, "ts", "1 minute", "ts", "k")).count() == 3
+
+
+def facts_by_loops(text):
+    """As the survey's F21 describes it, in plain Python."""
+    for p in (r"(?i)\n\s*(?:I\.|II\.|III\.)?\s*(?:factual )?(?:background|history|facts)\s*\n", r"(?i)\n\s*relevant facts\s*\n"):
+        if m := re.search(p, text):
+            return text[m.end() :].strip()
+    for p in (r"(?i)\n\s*memorandum\s*", r"(?i)\n\s*opinion\s*", r"(?i)\n\s*decision\s*"):
+        if m := re.search(p, text):
+            body = text[m.end() :].strip()
+            cut = re.search(r"(?i)\n\s*(?:discussion|analysis)\s*\n", body)
+            return body[: cut.start()].strip() if cut else body
+    return text
+
+
+def test_facts_body(spark):
+    heads = ["Facts", "II. Factual Background", " \n I.\n history", "RELEVANT FACTS", "MEMORANDUM", "Opinion and order", "DECISION", "Discussion", "Analysis ", " facts ", "Some facts", "İ. İstanbul’da § 5", "Суд решил", "", " ", "background noise"]
+    rng = random.Random(2)
+    texts = ["\n".join(rng.choice(heads) for _ in range(rng.randint(1, 7))) for _ in range(400)]
+    texts += ["Cour d’appel\nFACTS\n\nIl a été licencié.\n", "İİİ\nOPINION\nA “b” c.\nDISCUSSION\nd", "no header é ", "\n" * 20000 + "x" + " " * 20000]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {r.k: r.x for r in df.select("k", chunking.facts_body(F.col("t")).alias("x")).collect()}
+    assert [got[k] for k in range(len(texts))] == [facts_by_loops(t) for t in texts[:-1]] + texts[-1:]
+
+
+def test_facts_of_all_scripts(spark, tmp_path):
+    rows = [("a", 1, "Cour d’appel\nFACTS\nIl a été licencié."), ("b", 2, "Суд решил"), ("c", 3, None)]
+    spark.createDataFrame(rows, "case_id string, fetched_at long, document_text string").write.parquet(f"{tmp_path}/courtlistener_recap.parquet")
+    got = {r.case_id: r.facts for r in catalogue.queries()["facts_sections_all"](spark, str(tmp_path)).collect()}
+    assert got == {k: hashlib.md5(t.encode()).hexdigest() for k, t in (("a", "Il a été licencié."), ("b", "Суд решил"))}
+    assert one(spark, F.substring(chunking.facts_section(F.col("t")), 1, 18), t="İİİ Statement of Facts: é") == "Statement of Facts"
