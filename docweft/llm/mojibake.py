@@ -172,9 +172,10 @@ def _learner(usage: Usage):
         for pdf in batches:
             found = []
             for token, twin in zip(pdf["token"], pdf["twin"]):
-                if usage.mean(twin) >= usage.mean(token) + GAIN / 2:
-                    if fit := [str(k) for k, (w, r) in enumerate(PAIRS) if garble(twin, w, r) == token]:
-                        found.append(",".join(fit))
+                # What UTF-8 makes of a twin tells by itself which of the two is garbled, however common it is.
+                usual = usage.mean(twin) >= usage.mean(token) + GAIN / 2
+                if fit := [str(k) for k, (w, r) in enumerate(PAIRS) if (usual or w == "utf-8") and garble(twin, w, r) == token]:
+                    found.append(",".join(fit))
             yield pd.DataFrame({"fit": pd.Series(found, dtype="object")})
 
     return run
@@ -290,7 +291,9 @@ def candidates(counts: DataFrame) -> tuple[DataFrame, Usage, list[tuple[str, str
     known = counts.select(F.col("token").alias("clean"), F.col("n").alias("n_clean"))
     found = cut(found.join(odd.select("token", "n"), "token").join(known, "clean", "left"))
     word = F.col("token").rlike(r"[A-Za-z].*[A-Za-z]|[^\x00-\x7f]{2}") & (F.col("n_clean") >= 3) & (F.col("n_clean") > F.col("n"))
-    out = found.select("token", "pair", "clean", "gain", F.when((F.col("gain") < GAIN) & (F.col("pair") >= 0), 0.0).when(F.col("sure") | word, 1.0).otherwise(0.5).alias("strength"))
+    # Valid UTF-8 that gives a known word is proof, whatever share of the corpus is garbled alike.
+    proven = F.col("pair").isin([k for k, (w, _) in enumerate(pairs) if w == "utf-8"]) & F.coalesce(F.col("n_clean") >= 3, F.lit(False))
+    out = found.select("token", "pair", "clean", "gain", F.when((F.col("gain") < GAIN) & (F.col("pair") >= 0) & ~proven, 0.0).when(F.col("sure") | word, 1.0).otherwise(0.5).alias("strength"))
     return out, usage, pairs
 
 

@@ -236,6 +236,16 @@ def test_garbling_round_trip(spark, written, read):
     assert np.mean([r.restored == want[r.doc_id] for r in got]) >= 0.5
 
 
+@pytest.mark.parametrize("share", [1, 2])
+def test_common_garbling_is_found(spark, share):
+    # A third, then half of all rows are UTF-8 read as another encoding; the garbled forms are as usual as the clean ones.
+    clean = [CLEAN[0], CLEAN[1], CLEAN[3]]
+    bad = [mojibake.garble(t, "utf-8", "cp1252") for t in clean] * (20 * share)
+    rows = [(k, t) for k, t in enumerate(clean * 40)] + [(1000 + k, t) for k, t in enumerate(bad)]
+    got = mojibake.repair(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.restored for r in got} == {1000 + k: clean[k % 3] for k in range(len(bad))}
+
+
 def test_lost_characters_are_found(spark):
     rows = [(k, "The résumé of José was naïve.") for k in range(40)] + [(99, "The r�sum� of Jos� was long.")]
     got = mojibake.repair(spark.createDataFrame(rows, "doc_id long, text string")).collect()
