@@ -1,4 +1,4 @@
-"""Union-find and peeling over whole arrays, for edge sets that one task can hold."""
+"""Union-find over whole arrays, for edge sets that one task can hold."""
 
 from __future__ import annotations
 
@@ -20,14 +20,3 @@ def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             if (up == parent).all():
                 break
             parent = up
-
-
-def core_edges(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Which directed edges a[i] -> b[i] stay when vertices without an edge in or without an edge out are peeled off."""
-    left = np.ones(len(a), bool)
-    while True:
-        ins, outs = np.bincount(b[left], minlength=n), np.bincount(a[left], minlength=n)
-        keep = left & (ins[a] > 0) & (outs[b] > 0)
-        if keep.sum() == left.sum():
-            return keep
-        left = keep

@@ -14,30 +14,6 @@ from docweft.functions import unions
 from docweft.session import cut
 
 
-#: Edges, counted first, that one task takes at once; beyond it the work is spread.
-ONE_TASK = 500_000
-
-
-def _coded(batches: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted names and the numbers of both ends; an edge table of one partition."""
-    pdf = pd.concat([*batches, pd.DataFrame({"a": [], "b": []}, dtype=object)])
-    names, codes = np.unique(np.concatenate([pdf["a"].to_numpy(object), pdf["b"].to_numpy(object)]).astype(str), return_inverse=True)
-    return names, codes[: len(pdf)], codes[len(pdf) :]
-
-
-def _local_components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names, a, b = _coded(batches)
-    if len(names):
-        yield pd.DataFrame({"id": names, "component": names[unions.roots(a, b, len(names))]})
-
-
-def _local_cycles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names, a, b = _coded(batches)
-    if len(names):
-        keep = unions.core_edges(a, b, len(names))
-        yield pd.DataFrame({"a": names[a[keep]], "b": names[b[keep]]})
-
-
 def match_edges(matches: DataFrame) -> DataFrame:
     """(a, b) distinct with a < b, from confirmed matches; ids in upper case and trimmed."""
     a, b = F.upper(T.strip(F.col("event_a"))), F.upper(T.strip(F.col("event_b")))
@@ -70,41 +46,71 @@ def hops(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+#: Edges that a task unites at once.
+EDGES = 500_000
+
+
+def _unite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each vertex with the smallest one that the edges at hand link it to, for every EDGES edges of a partition."""
+    held: list[pd.DataFrame] = []
+    size = 0
+
+    def flush() -> pd.DataFrame:
+        pdf = pd.concat(held)
+        codes, names = pd.factorize(np.concatenate([pdf["a"].to_numpy(object), pdf["b"].to_numpy(object)]), sort=True)
+        root = unions.roots(codes[: len(pdf)], codes[len(pdf) :], len(names))
+        return pd.DataFrame({"a": names[root], "b": names})
+
+    for pdf in batches:
+        held.append(pdf)
+        size += len(pdf)
+        if size >= EDGES:
+            yield flush()
+            held, size = [], 0
+    if size:
+        yield flush()
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that is linked directly or through others; ids are compared as strings.
 
-    Up to one_task edges are one task's union-find. Beyond, labels go to neighbours and then jump to the label of the label, so rounds grow with the logarithm of the longest chain.
-    Partial minima are taken before each shuffle. Each round is written to the shared folder.
+    Every task first unites the edges that it holds. Labels then go to neighbours and jump to the label of the label, so rounds grow with
+    the logarithm of the longest chain. Partial minima are taken before each shuffle. Each round is written to the shared folder.
     """
-    known = cut(edges.filter("a is not null and b is not null").select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).distinct())
-    if known.count() <= one_task:
-        return cut(known.coalesce(1).mapInPandas(_local_components, "id string, component string"))
-    links = cut(both_ways(known).distinct())
-    labels = cut(links.select(F.col("src").alias("id")).distinct().withColumn("component", F.col("id")))
+    known = edges.filter("a is not null and b is not null").select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
+    links = cut(both_ways(known.distinct().mapInPandas(_unite, "a string, b string")).distinct())
+    labels = cut(links.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("near")).select("id", F.least("id", "near").alias("component")))
     while True:
         heard = links.join(labels, F.col("dst") == F.col("id")).groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
         near = labels.join(heard, "id", "left").select("id", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("old"))
         # Whoever is a label tells its new label to all that carry it; that is the jump.
-        jump = near.select(F.col("id").alias("component"), F.col("component").alias("next"))
+        jump = near.filter("component <> id").select(F.col("id").alias("component"), F.col("component").alias("next"))
         after = cut(near.join(jump, "component", "left").select("id", F.least("component", F.coalesce("next", "component")).alias("component"), (F.least("component", F.coalesce("next", "component")) != F.col("old")).alias("moved")))
         labels = after.select("id", "component")
         if after.filter("moved").isEmpty():
             return labels
 
 
-def on_cycles(edges: DataFrame, most: int = 10_000, one_task: int = ONE_TASK) -> DataFrame:
-    """(a, b): directed edges that remain after peeling off ids without an edge in or without an edge out; empty for acyclic graphs."""
-    left = cut(edges.filter("a is not null and b is not null").distinct())
+#: Levels of ids that one written round of on_cycles peels off.
+LEVELS = 3
+
+
+def on_cycles(edges: DataFrame, most: int = 10_000) -> DataFrame:
+    """(a, b): directed edges that remain after peeling off ids without an edge in or without an edge out; empty for acyclic graphs.
+
+    Raises where more than most rounds would be needed; it never returns edges that are not peeled to the end.
+    """
+    left = cut(edges.filter("a is not null and b is not null").select("a", "b").distinct())
     n = left.count()
-    if n <= one_task:
-        return cut(left.coalesce(1).mapInPandas(_local_cycles, "a string, b string"))
     for _ in range(most):
-        ins, outs = left.select(F.col("b").alias("a")), left.select(F.col("a").alias("b"))
-        left = cut(left.join(ins, "a", "left_semi").join(outs, "b", "left_semi").select("a", "b"))
+        for _ in range(LEVELS):
+            ins, outs = left.select(F.col("b").alias("a")).distinct(), left.select(F.col("a").alias("b")).distinct()
+            left = left.join(ins, "a", "left_semi").join(outs, "b", "left_semi").select("a", "b")
+        left = cut(left)
         if (m := left.count()) in (0, n):
-            break
+            return left
         n = m
-    return left
+    raise ValueError(f"chains of over {most * LEVELS} links lead to or from the cycles")
 
 
 def merge_entities(entities: DataFrame, key: str = "doc_id", name: str = "name", order: str = "entity_id") -> DataFrame:

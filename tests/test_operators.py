@@ -70,12 +70,24 @@ def test_balanced_counts(spark):
     assert {r.k: r.take for r in ranking.balanced_counts(df, "k", "n", 9).collect()} == {"a": 1, "b": 4, "c": 4, "d": 0}
 
 
-@pytest.mark.parametrize("one_task", [0, 1000])
-def test_components_and_cycles(spark, one_task):
+def test_components_and_cycles(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("c", "a"), ("q", "q"), (None, "a")], "a string, b string")
-    assert {(r.id, r.component) for r in graphs.components(e, one_task).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x"), ("q", "q")}
-    assert {(r.a, r.b) for r in graphs.on_cycles(e, one_task=one_task).collect()} == {("a", "b"), ("b", "c"), ("c", "a"), ("q", "q")}
+    assert {(r.id, r.component) for r in graphs.components(e).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x"), ("q", "q")}
+    assert {(r.a, r.b) for r in graphs.on_cycles(e).collect()} == {("a", "b"), ("b", "c"), ("c", "a"), ("q", "q")}
     assert graphs.on_cycles(e.filter("a = 'x'")).count() == 0
+    chain = spark.range(40).selectExpr("concat('n', id) as a", "concat('n', id + 1) as b")
+    assert graphs.on_cycles(chain).count() == 0
+    with pytest.raises(ValueError):
+        graphs.on_cycles(chain, most=3)
+
+
+def test_long_chains_over_many_tasks(spark):
+    chain = spark.range(300).selectExpr("lpad(id, 4, '0') as a", "lpad(id + 1, 4, '0') as b").repartition(4)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert {r.component for r in graphs.components(chain).collect()} == {"0000"}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
 def ratings(spark, units):
