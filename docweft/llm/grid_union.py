@@ -1,14 +1,14 @@
 """Groups from pairwise links: connected components on a two-dimensional grid of blocks.
 
 Vertices are hashed into blocks, so an edge lies in one cell (block of its one end, block of the
-other). In each round every cell runs a union-find of its own edges, and each vertex hears from its
-row and column of cells which representatives they gave it. It takes the smallest as parent; the
-other representatives are linked to that parent and go on, all other vertices leave. So the active
-edges shrink by a factor each round until one cell can hold them; parents are then followed back
-through the rounds.
+other); there are always several cells. In each round every cell runs a union-find of its own edges, and each vertex
+hears from its row and column of cells which representatives they gave it. It takes the smallest as parent; the
+other representatives are linked to that parent and go on, all other vertices leave. Rounds go on until no
+edge is left, that is until the parents are stable; parents are then followed back through the rounds.
 
-A vertex of huge degree lies in one row and one column of the grid, spread over 2 x side cells, and
-is pre-aggregated there to one representative per cell; no task ever holds a whole group.
+The edges of each cell are counted first, and a cell with more than it should hold, as a vertex of huge degree makes it, is
+split by the hash of the edge: any set of edges may be united by itself, as all its vertices hear of it.
+So no task ever holds a whole group or all links of a vertex.
 
 Defined results: links with a null end and self links are ignored, repeats and both directions count
 once, an empty table gives an empty result. The group identifier is the smallest member.
@@ -17,34 +17,19 @@ once, an empty table gives an empty result. The group identifier is the smallest
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docweft.functions import unions
 from docweft.session import cut
 
 #: Edges that one cell should hold; about 200 bytes each in a worker.
 CELL_EDGES = 500_000
-
-
-def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Union-find over whole arrays: the smallest member of each vertex's component."""
-    parent = np.arange(n)
-    while True:
-        ra, rb = parent[a], parent[b]
-        apart = ra != rb
-        if not apart.any():
-            return parent
-        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-        np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
-        while True:
-            up = parent[parent]
-            if (up == parent).all():
-                break
-            parent = up
+#: Blocks a side of the smallest grid.
+LEAST_SIDE = 2
 
 
 def _cell(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -52,17 +37,25 @@ def _cell(pdf: pd.DataFrame) -> pd.DataFrame:
     codes, names = pd.factorize(np.concatenate([pdf["a"].to_numpy(object), pdf["b"].to_numpy(object)]))
     ranks = np.empty(len(names), np.int64)
     ranks[codes] = np.concatenate([pdf["ra"].to_numpy(np.int64), pdf["rb"].to_numpy(np.int64)])
-    order = np.lexsort((names.astype(str), ranks))
+    order = pd.DataFrame({"rank": ranks, "name": names}).sort_values(["rank", "name"]).index.to_numpy()
     place = np.empty(len(names), np.int64)
     place[order] = np.arange(len(names))
     half = len(pdf)
-    root = order[_roots(place[codes[:half]], place[codes[half:]], len(names))[place]]
+    root = order[unions.roots(place[codes[:half]], place[codes[half:]], len(names))[place]]
     return pd.DataFrame({"v": names, "rep": names[root], "rank": ranks[root]})
 
 
-def _single(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    if parts := [p for p in batches if len(p)]:
-        yield _cell(pd.concat(parts))
+def cells(edges: DataFrame, number: int, cell_edges: int = CELL_EDGES, n: int | None = None) -> DataFrame:
+    """edges (a, b) with their cell of the grid (r, c, part) and the ranks of this round (ra, rb)."""
+    n = edges.count() if n is None else n
+    side = max(LEAST_SIDE, math.ceil(math.sqrt(n / cell_edges)) + 1)
+    # Ranks are drawn anew each round: along a chain a third of the vertices leaves, whatever its order.
+    rank = lambda c: F.xxhash64(c, F.lit(number))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
+    placed = edges.withColumns({"ra": rank("a"), "rb": rank("b"), "r": block("a"), "c": block("b")})
+    # One row a cell, side x side in all, so the broadcast is bounded by edges / cell_edges.
+    full = placed.groupBy("r", "c").agg(F.ceil(F.count("*") / cell_edges).alias("parts"))
+    return placed.join(F.broadcast(full), ["r", "c"]).withColumn("part", F.pmod(F.xxhash64("a", "b"), F.col("parts"))).drop("parts")
 
 
 def components(links: DataFrame, a: str, b: str, cell_edges: int = CELL_EDGES) -> DataFrame:
@@ -73,17 +66,9 @@ def components(links: DataFrame, a: str, b: str, cell_edges: int = CELL_EDGES) -
     settled: list[DataFrame] = []
     number = 0
     while (n := edges.count()) > 0:
-        # Ranks are drawn anew each round: along a chain a third of the vertices leaves, whatever its order.
-        rank = lambda c, k=number: F.xxhash64(c, F.lit(k))
-        ranked = edges.withColumns({"ra": rank("a"), "rb": rank("b")})
-        if n <= cell_edges:  # a cell holds all that is left
-            settled.append(cut(ranked.coalesce(1).mapInPandas(_single, heard_as).filter("v <> rep").select("v", "rep")))
-            break
-        side = math.ceil(math.sqrt(n / cell_edges)) + 1
-        block = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
-        cells = ranked.withColumns({"r": block("a"), "c": block("b")}).groupBy("r", "c").applyInPandas(lambda pdf: _cell(pdf), heard_as)
-        # At most 2 x side representatives a vertex, one from each cell of its row and column.
-        heard = cut(cells.groupBy("v").agg(F.min(F.struct("rank", "rep"))["rep"].alias("parent"), F.collect_set("rep").alias("reps")))
+        united = cells(edges, number, cell_edges, n).groupBy("r", "c", "part").applyInPandas(_cell, heard_as)
+        # One representative a vertex from each cell of its row and column.
+        heard = cut(united.groupBy("v").agg(F.min(F.struct("rank", "rep"))["rep"].alias("parent"), F.collect_set("rep").alias("reps")))
         settled.append(heard.filter("v <> parent").select("v", F.col("parent").alias("rep")))
         # What goes on: representatives that share a vertex, and those with a better parent themselves.
         shared = heard.filter(F.size("reps") > 1).select(F.col("parent").alias("a"), F.explode("reps").alias("b"))
@@ -107,12 +92,18 @@ def event_groups(matches: DataFrame, events: DataFrame, cell_edges: int = CELL_E
     """(event_id, group_id): groups of two or more events that confirmed pairs link, directly or through others.
 
     same_event null or false links nothing. Ids of pairs are compared trimmed and in upper case; an end that
-    no event has makes the pair void.
+    no event has makes the pair void. Events whose ids differ in case or outer blanks alone are all linked by a pair that names them.
     """
     clean = lambda c: F.upper(F.regexp_replace(c, r"^\s+|\s+$", ""))
-    known = events.filter(F.col("event_id").isNotNull()).groupBy(clean(F.col("event_id")).alias("k")).agg(F.min("event_id").alias("event_id"))
-    pairs = matches.filter("same_event").select(clean(F.col("event_a")).alias("x"), clean(F.col("event_b")).alias("y")).filter("x <> y").distinct()
-    for side, name in (("x", "a"), ("y", "b")):
-        pairs = pairs.join(known.select(F.col("k").alias(side), F.col("event_id").alias(name)), side)
-    found = components(pairs, "a", "b", cell_edges)
-    return found.select(F.col("member").alias("event_id"), "group_id")
+    known = events.filter(F.col("event_id").isNotNull()).select(clean(F.col("event_id")).alias("k"), "event_id").distinct()
+    keys = known.select("k").distinct()
+    pairs = matches.filter("same_event").select(clean(F.col("event_a")).alias("x"), clean(F.col("event_b")).alias("y")).distinct()
+    for side in ("x", "y"):
+        pairs = pairs.join(keys.withColumnRenamed("k", side), side, "left_semi")
+    pairs = cut(pairs)
+    found = components(pairs, "x", "y", cell_edges)
+    # A pair of an event with itself links those that share its id but for case and blanks.
+    selves = pairs.filter("x = y").select(F.col("x").alias("member"), F.col("x").alias("group_id")).join(found, "member", "left_anti")
+    members = cut(known.join(found.unionByName(selves).withColumnRenamed("member", "k"), "k").select("event_id", F.col("group_id").alias("g")))
+    heads = members.groupBy("g").agg(F.min("event_id").alias("group_id"), F.count("*").alias("n")).filter("n > 1")
+    return members.join(heads.select("g", "group_id"), "g").select("event_id", "group_id")

@@ -74,6 +74,21 @@ def test_components(spark, shape, cell):
     assert len(got) == len({r.member for r in got})
 
 
+def test_grid_always_has_several_cells(spark):
+    # At the default size as well, and an overfull cell is split.
+    edges = spark.createDataFrame([("hub", f"v{k:03d}") for k in range(200)], "a string, b string")
+    assert grid_union.cells(edges, 0).select("r", "c").distinct().count() > 1
+    per_cell = grid_union.cells(edges, 0, 10).groupBy("r", "c", "part").count().agg(F.max("count")).first()[0]
+    assert per_cell < 30
+
+
+def test_ids_that_differ_in_case_are_all_linked(spark):
+    events = spark.createDataFrame([("e1",), ("E1",), ("E2",), ("E3",), ("e3 ",), ("E4",), (None,)], "event_id string")
+    matches = spark.createDataFrame([("e1", " E2", True), ("E3", "E3", True), ("E4", "E4", True), ("E4", "E9", True), ("E4", "E2", None)], "event_a string, event_b string, same_event boolean")
+    got = {tuple(r) for r in grid_union.event_groups(matches, events).collect()}
+    assert got == {("e1", "E1"), ("E1", "E1"), ("E2", "E1"), ("E3", "E3"), ("e3 ", "E3")}
+
+
 def test_consensus_beats_majority(spark):
     rng = np.random.default_rng(3)
     accuracy = np.concatenate([np.full(10, 0.9), np.full(5, 0.55), np.full(4, 0.15)])
