@@ -37,5 +37,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The distinct rows of df, hashed over at least four tasks a core, so that costly rows don't pile up in few tasks.
+
+    A fixed number, as small tables of costly rows would else be coalesced. One shuffle serves both.
+    """
+    spark = df.sparkSession
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *df.columns).distinct()
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
