@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweft.llm import consensus, grid_union, leakage, mojibake, names, packing, segments, sentences, truncation
-from docweft.session import table
+from docweft.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,7 +17,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "sentences").select(F.col("id").alias("record_key"), "text")
     filings = table(spark, d, "processed_filings").select("file", F.posexplode("sections").alias("k", "s"))
     filings = filings.select(F.concat("file", F.lit("#"), F.col("k").cast("string")).alias("record_key"), F.array_join("s.sentences", " ").alias("text"))
-    texts = own.unionByName(filings).filter("record_key is not null and text is not null").distinct()
+    texts = spread(own.unionByName(filings).filter("record_key is not null and text is not null"))
     units = texts.select("record_key", F.explode(sentences.sentence_units(F.col("text"))).alias("u"))
     return units.select("record_key", "u.start_char", "u.end_char").distinct()
 

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweft.llm.sentences import sentence_units
+from docweft.session import spread
 
 #: Sentences in a block, and the share of the limit from which a piece may end.
 BLOCK, EARLIEST = 3, 0.5
@@ -122,7 +123,7 @@ def split_oversized(items: DataFrame, key: str, text: str, limit: int, overlap:
     The overlap is that with the piece before; first_line and last_line count the filled lines from 1.
     """
     units = sentence_units(F.col("text"))
-    big = items.filter(F.length(text) > limit).select(key, *keep, F.col(text).alias("text")).distinct().select(key, *keep, "text", units.alias("u"))
+    big = spread(items.filter(F.length(text) > limit).select(key, *keep, F.col(text).alias("text"))).select(key, *keep, "text", units.alias("u"))
     big = big.select(key, *keep, "text", F.col("u.start_char").alias("starts"), F.col("u.end_char").alias("ends"))
     kinds = dict(items.dtypes)
     schema = ", ".join([f"{c} {kinds[c]}" for c in (key, *keep)] + [OUT])

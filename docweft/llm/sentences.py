@@ -13,6 +13,8 @@ their own units.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,7 +83,7 @@ _MASKING = (
 )
 
 _Q = MASKS[1] + MASKS[2]
-_M = MASKS
+_M = f"{MASKS[0]}-{MASKS[-1]}"
 _MARKING = (
     # Someone says what was quoted: no boundary after the quotation's own mark.
     (rf"([{_Q}][{_CLOSE}]+)(?=\s+(?:\p{{Lu}}[\p{{L}}\p{{M}}.{_DOT}'’-]*\s+){{1,4}}(?:{SPEECH})\b)", "$1\ue0fe"),
@@ -90,8 +92,8 @@ _MARKING = (
     (rf"([{_M}](?<=\p{{IsLatin}}.)[{_CLOSE}]+)(?=\s+\p{{Lo}})", "$1" + MARK),
     (rf"([.!?؟…．]+[{_CLOSE}]*)(?=\s+{_BEGIN})", "$1" + MARK),
     (r"([.!?](?<=[\p{Ll}\p{Lo}\d%)”]{2}.))(?=[“«]?\p{Lu}[\p{Ll}.\s’])", "$1" + MARK),  # the blank is missing
-    (r"([。！？｡]+[”」』）)»]*)", "$1" + MARK),
-    (r"([।॥۔။።፧។։။]+[”»’)\u0022]*)", "$1" + MARK),
+    # Marks that need no blank after them; the range comes first, so that Latin letters fail at once.
+    (r"([\u0589-\uff61&&[。！？｡]]+[”」』）)»]*|[\u0589-\uff61&&[।॥۔။።፧։។]]+[”»’)\u0022]*)", "$1" + MARK),
     (r"([;\u037e](?<=\p{IsGreek}.)[”»]*)(?=\s+" + _BEGIN + ")", "$1" + MARK),
 )
 _THAI = (rf"((?<=[\u0e00-\u0e7f])\s+)(?=[\u0e00-\u0e7f]|[{_OPEN}]*[\p{{Lu}}\p{{Lo}}&&[^\u0e00-\u0e7f]])", "$1" + MARK)
@@ -133,17 +135,36 @@ def pieces(text: Column) -> Column:
     return F.transform(F.flatten(F.transform(p, lambda x: F.split(x, MARK))), lambda x: F.when(x.rlike(_PRIVATE), _swap(x, True)).otherwise(x))
 
 
+#: Pieces whose offsets are summed one by one; blocks of them are summed first, so that no long array is copied for each piece.
+RUN = 64
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def sentence_units(text: Column) -> Column:
     """array<struct<text string, start_char int, end_char int>>: start from 0, end exclusive, without outer white space."""
-    item = F.struct(F.lit("").alias("text"), F.lit(0).alias("start_char"), F.lit(0).alias("end_char"))
-    empty = F.struct(F.lit(0).alias("at"), F.filter(F.array(item), lambda x: F.lit(False)).alias("units"))
     left = F.transform(pieces(text), lambda x: F.struct(F.length(x).alias("n"), F.regexp_replace(x, r"\A(?U:\s)+", "").alias("t")))
     both = F.transform(left, lambda x: F.struct(x["n"].alias("n"), (x["n"] - F.length(x["t"])).alias("lead"), F.regexp_replace(x["t"], r"(?U:\s)+\z", "").alias("text")))
     sized = F.transform(both, lambda x: F.struct(x["n"].alias("n"), x["lead"].alias("lead"), x["text"].alias("text"), F.length(x["text"]).alias("m")))
+    # The start of each block of pieces, then that of each piece in its block.
+    runs = _once(sized, lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / RUN).cast("int")), lambda i: F.slice(a, i * RUN + 1, F.lit(RUN))))
+    added = F.transform(runs, lambda r: F.struct(r.alias("run"), F.aggregate(r, F.lit(0), lambda t, x: t + x["n"]).alias("n")))
+    unit = F.struct(F.lit("").alias("text"), F.lit(0).alias("start_char"), F.lit(0).alias("end_char"))
+    none = F.filter(F.array(unit), lambda x: F.lit(False))
+
+    def place(acc: Column, x: Column) -> Column:
+        return F.struct((acc["at"] + x["n"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["lead"]
         unit = F.struct(x["text"].alias("text"), start.alias("start_char"), (start + x["m"]).alias("end_char"))
         return F.struct((acc["at"] + x["n"]).alias("at"), F.when(x["m"] > 0, F.concat(acc["units"], F.array(unit))).otherwise(acc["units"]).alias("units"))
 
-    return F.aggregate(sized, empty, step, lambda acc: acc["units"])
+    def offsets(a: Column) -> Column:
+        starts = F.aggregate(a, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), place, lambda acc: acc["starts"])
+        return F.zip_with(a, starts, lambda x, at: F.aggregate(x["run"], F.struct(at.alias("at"), none.alias("units")), step, lambda acc: acc["units"]))
+
+    return F.flatten(_once(added, offsets))

@@ -47,6 +47,12 @@ def test_sentences_cover_everything(spark):
         assert "".join("".join(got).split()) == "".join(text.replace("", "x").split())
 
 
+def test_offsets_of_many_units(spark):
+    text = " \n".join(f"The court of Town{k} heard Mr. Smith." for k in range(1000)) + "\n\n \nLast"
+    got = units(spark, text)
+    assert len(got) == 1001 and got[700] == "The court of Town700 heard Mr. Smith." and got[-1] == "Last"
+
+
 def brute_components(edges):
     parent = {}
 
