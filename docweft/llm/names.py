@@ -1,11 +1,14 @@
 """Variant spellings of persons, firms and agencies, by merging and matching again.
 
-Each distinct spelling is one record with the parts of its name. Family names (of bodies: the words of
-their own) that share a form with one letter deleted make families; a family and initial (of bodies: kind of
-body) is a block. In a block records that match merge into a profile with all their spellings, initials
-and suffixes; the richer profiles are matched again until no further merge occurs. First profiles with
-full given names merge, then those with initials only, and names without a given name at all, each only if exactly one
-profile takes them. Aliases bridge spellings in the same way. Work grows with distinct spellings, not with rows.
+Each distinct spelling is one record with the parts of its name, and equal parts are one profile. A profile enters the blocks of all
+its family names (of bodies: the words of their own), each with the forms that it shares with names up to the distance at which two still match, and
+all its initials. In a block each profile names the best one that it surely matches; a profile is merged into that one if it
+stays itself, so merges are stars and the profiles that a merge unites never contradict each other. The united
+profile, with all spellings, given names, initials and suffixes, enters the blocks again, until nothing merges. Where no sure match is left,
+profiles with initials only, or without a suffix that others have, go to the one profile that can take them over all their blocks, if there is
+exactly one, and aliases tell who initials are; then sure matches are sought again. Names without a given name at all come
+last. What blocks say of a profile is only the best, smallest and largest candidate, so it is aggregated before the shuffle, and a block with many profiles is
+compared in cells of a bounded size that meet all others. Work grows with distinct spellings, not with rows.
 
 Defined results: null, blank and role names and placeholders name nobody and are in no pair; repeated rows
 of an entity count once; aliases_json that can't be parsed has no aliases; an alias of another family name is ignored.
@@ -16,12 +19,12 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweft.llm.grid_union import components
 from docweft.session import cut
 
 # Words that are roles or placeholders, titles, suffixes, legal forms, abbreviations and nicknames.
@@ -136,7 +139,7 @@ def parse(name: str, given_names: dict[str, int]) -> dict | None:
         w = clean[0]
         if len(w) == 1:
             if not titled:
-                return {"kind": "P", "core": w[0], "first": "", "middle": "", "suffix": suffix, "sig": ""}
+                return {"kind": "P", "core": w[0], "first": "", "middle": "", "suffix": suffix, "sig": "", "extra": ""}
             core, given = w[0], []
         elif len(w) == 2 and len(w[1]) > 1 and len(w[0]) > 1 and lean(w[1]) > lean(w[0]):
             core, given = w[0], [w[1]]
@@ -144,7 +147,10 @@ def parse(name: str, given_names: dict[str, int]) -> dict | None:
             core, given = w[-1], w[:-1]
             if len(w) == 3 and len(w[2]) == 1:  # Last First M.
                 core, given = w[0], w[1:]
-    return {"kind": "P", "core": core, "first": given[0] if given else "", "middle": given[1][0] if len(given) > 1 else "", "suffix": suffix, "sig": ""}
+    extra = ""
+    if len(given) > 1 and len(given[0]) == 1 < len(given[1]):  # J. Robert: known by the second name
+        extra, given = given[0], given[1:]
+    return {"kind": "P", "core": core, "first": given[0] if given else "", "middle": given[1][0] if len(given) > 1 else "", "suffix": suffix, "sig": "", "extra": extra}
 
 
 def _body(name: str) -> dict | None:
@@ -166,10 +172,10 @@ def _body(name: str) -> dict | None:
         kind.discard("union")
     if not own:
         own, kind = sorted(kind), set()
-    return {"kind": "O", "core": " ".join(own), "first": "", "middle": "", "suffix": "", "sig": " ".join(sorted(kind))} if own else None
+    return {"kind": "O", "core": " ".join(own), "first": "", "middle": "", "suffix": "", "sig": " ".join(sorted(kind)), "extra": ""} if own else None
 
 
-FEATURES = "name string, kind string, core string, first string, middle string, suffix string, sig string"
+FEATURES = "name string, kind string, core string, first string, middle string, suffix string, sig string, extra string"
 
 
 def _parser(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,13 +184,14 @@ def _parser(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for name, leaning in zip(pdf["name"], pdf["leaning"]):
             if p := parse(name, dict(leaning) if leaning is not None else {}):
                 out.append((name, *p.values()))
-        yield pd.DataFrame(out, columns=["name", "kind", "core", "first", "middle", "suffix", "sig"])
+        yield pd.DataFrame(out, columns=["name", "kind", "core", "first", "middle", "suffix", "sig", "extra"])
 
 
 def formals(first: str) -> list[str]:
     return NICKNAMES.get(first, first).split()
 
 
+@lru_cache(200_000)
 def given_match(a: str, b: str) -> bool:
     """May two given names of more than an initial be one?"""
     for x in formals(a):
@@ -197,104 +204,88 @@ def given_match(a: str, b: str) -> bool:
     return False
 
 
+#: Letters from which a family name may have one altered letter, and two.
+ONE, TWO = 5, 8
+
+
+@lru_cache(200_000)
 def core_match(a: str, b: str) -> bool:
     n = min(len(a), len(b))
-    return a == b or (n >= 5 and distance(a, b, 2) <= (2 if n >= 8 else 1))
+    return a == b or (n >= ONE and distance(a, b, 2) <= (2 if n >= TWO else 1))
 
 
 class Profile:
-    def __init__(self, r):
-        self.names, self.cores, self.firsts = [r.name], {r.core}, {r.first} if len(r.first) > 1 else set()
-        self.middles, self.suffixes = {r.middle} - {""}, {r.suffix} - {""}
+    """One person or body as known so far; n is the number of its spellings."""
 
-    def merge(self, o: Profile) -> None:
-        self.names += o.names
-        for k in ("cores", "firsts", "middles", "suffixes"):
-            getattr(self, k).update(getattr(o, k))
+    __slots__ = ("pid", "n", "cores", "firsts", "middles", "suffixes", "rank")
+
+    def __init__(self, r):
+        self.pid, self.n, self.rank = r.pid, r.n, (-r.n, r.pid)
+        self.cores, self.firsts, self.middles, self.suffixes = frozenset(r.cores), frozenset(r.firsts), frozenset(r.middles), frozenset(r.suffixes)
 
     def match(self, o: Profile) -> str:
-        """'' if the two can't be one, 'strong' with given names alike, 'weak' if initials or a suffix leave it open."""
+        """'' if the two can't be one, 'strong' with given names alike, 'weak' if initials or a suffix leave it open. They share an initial by their block."""
         if self.suffixes and o.suffixes and not self.suffixes & o.suffixes or self.middles and o.middles and not self.middles & o.middles:
             return ""
-        if not any(core_match(a, b) for a in self.cores for b in o.cores):
+        if not self.cores & o.cores and not any(core_match(a, b) for a in self.cores for b in o.cores):
             return ""
         if self.firsts and o.firsts:
-            if not any(given_match(a, b) for a in self.firsts for b in o.firsts):
+            if not self.firsts & o.firsts and not any(given_match(a, b) for a in self.firsts for b in o.firsts):
                 return ""
             return "strong" if bool(self.suffixes) == bool(o.suffixes) else "weak"
         return "weak"
 
 
-def resolve(profiles: list[Profile]) -> list[Profile]:
-    """Merge and match again, until nothing merges: sure matches first, open ones only where one profile is left to take them."""
-    while True:
-        merged = False
-        kept: list[Profile] = []
-        for p in sorted(profiles, key=lambda p: (-len(p.names), min(p.names))):
-            if at := next((q for q in kept if q.match(p) == "strong"), None):
-                at.merge(p)
-                merged = True
+#: Profiles that a cell of a block holds of each of its two sides.
+CELL = 500
+PROPOSALS = "pid string, sure_n long, sure string, low string, high string, open_n long, open string"
+
+
+def _proposals(held: list) -> list[tuple]:
+    """Of one cell, for each profile: the best sure match before it (fullest first); without one the smallest and largest
+    profile with given names that could take it, and the best one without that comes before it."""
+    if len(held) < 2:
+        return []
+    person = held[0].kind == "P"
+    all_ = sorted((Profile(r) for r in held), key=lambda p: p.rank)
+    out = []
+    for i, p in enumerate(all_):
+        sure, weak = None, []
+        for q in all_[:i]:
+            if person:
+                m = p.match(q)
             else:
-                kept.append(p)
-        profiles = kept
-        if merged:
-            continue
-        for p in sorted(profiles, key=lambda p: (len(p.firsts), min(p.names))):
-            takers = [q for q in profiles if q is not p and p.match(q) == "weak" and (q.firsts or not p.firsts)]
-            full = [q for q in takers if q.firsts]
-            if len(full) == 1 or (not full and takers):
-                q = full[0] if full else takers[0]
-                q.merge(p)
-                profiles = [x for x in profiles if x is not p]
-                merged = True
+                m = "strong" if p.cores & q.cores or any(core_match(a, b) for a in p.cores for b in q.cores) else ""
+            if m == "strong":
+                sure = q
                 break
-        if not merged:
-            return profiles
-
-
-def _block(rows: list) -> list[tuple[str, str]]:
-    """(spelling, first spelling of its group) for the records of one block."""
-    exact: dict[tuple, Profile] = {}
-    for r in rows:
-        p = Profile(r)
-        k = (r.kind, r.core, r.sig, " ".join(formals(r.first)) if len(r.first) > 1 else r.first, r.middle if len(r.first) == 1 else "", r.suffix)
-        if k in exact and (not exact[k].middles or not p.middles or exact[k].middles & p.middles):
-            exact[k].merge(p)
-        else:
-            exact[k if k not in exact else (*k, r.middle, r.name)] = p
-    groups = resolve(list(exact.values())) if rows[0].kind == "P" else _bodies(list(exact.values()))
-    return [(n, min(p.names)) for p in groups for n in p.names]
-
-
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by block, and a block may span batches; blocks are small and many, so none gets a frame of its own."""
+            if m:
+                weak.append((q, True))
+        if sure is not None:
+            out.append((p.pid, sure.n, sure.pid, None, None, None, None))
+        elif person:
+            weak += [(q, False) for q in all_[i + 1 :] if (q.firsts or not p.firsts) and p.match(q) == "weak"]
+            full = [q.pid for q, _ in weak if q.firsts]
+            first = next((q for q, before in weak if before and not p.firsts and not q.firsts), None)
+            if full or first:
+                out.append((p.pid, None, None, min(full, default=None), max(full, default=None), first.n if first else None, first.pid if first else None))
+    return out
+
+
+def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by cell, and a cell may span batches; cells are small and many, so none gets a frame of its own."""
+    columns = [c.split()[0] for c in PROPOSALS.split(", ")]
     key, held, out = None, [], []
     for pdf in batches:
         for r in pdf.itertuples(index=False):
-            if key != (k := (r.kind, r.family, r.block)):
-                if held:
-                    out += _block(held)
+            if key != (k := (r.key, r.i, r.j)):
+                out += _proposals(held)
                 key, held = k, []
             held.append(r)
         if out:
-            yield pd.DataFrame(out, columns=["a", "b"])
+            yield pd.DataFrame(out, columns=columns)
             out = []
-    if held:
-        yield pd.DataFrame(_block(held), columns=["a", "b"])
-
-
-def _bodies(profiles: list[Profile]) -> list[Profile]:
-    """Bodies of one kind: their own words decide."""
-    while True:
-        kept: list[Profile] = []
-        for p in sorted(profiles, key=lambda p: (-len(p.names), min(p.names))):
-            if at := next((q for q in kept if any(core_match(a, b) for a in p.cores for b in q.cores)), None):
-                at.merge(p)
-            else:
-                kept.append(p)
-        if len(kept) == len(profiles):
-            return kept
-        profiles = kept
+    yield pd.DataFrame(_proposals(held), columns=columns)
 
 
 def spellings(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -317,49 +308,147 @@ def features(names: DataFrame) -> DataFrame:
     return cut(names.join(of_name, "name", "left").mapInPandas(_parser, FEATURES))
 
 
-def families(parts: DataFrame) -> DataFrame:
-    """(core, family): cores linked by a shared form with one letter deleted; the family is only a block."""
+def _holes(c: Column) -> Column:
+    """All forms with one letter left out."""
+    return F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
+
+
+def core_forms(parts: DataFrame) -> DataFrame:
+    """(core, form, near): each core itself, and the forms with one or two letters left out that it shares with others, as far as core_match goes.
+
+    near says that no more than one letter is left out. Forms that the same cores share count once, told by a digest of the set, so that blocks are not compared again.
+    """
     cores = parts.select("core").distinct()
     n = F.length("core")
-    holes = F.when(n >= 6, F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring("core", F.lit(1), i - 1), F.substring("core", i + 1, n)))).otherwise(F.array().cast("array<string>"))
-    forms = cores.select("core", F.explode(F.array_distinct(F.concat(F.array("core"), holes))).alias("form"))
-    links = forms.join(forms.groupBy("form").agg(F.min("core").alias("head")), "form").filter("core <> head").select("core", "head").distinct()
-    found = components(links, "core", "head")
-    return cut(cores.join(found.withColumnRenamed("member", "core"), "core", "left").select("core", F.coalesce("group_id", "core").alias("family")))
+    none = F.array().cast("array<string>")
+    one = F.when(n >= ONE, _holes(F.col("core"))).otherwise(none)
+    two = F.when(n >= TWO, F.flatten(F.transform(_holes(F.col("core")), _holes))).otherwise(none)
+    tagged = lambda a, near: F.transform(F.array_distinct(a), lambda x: F.struct(x.alias("form"), F.lit(near).alias("near")))
+    forms = cores.select("core", F.explode(F.concat(tagged(F.concat(F.array("core"), one), True), tagged(two, False))).alias("f")).select("core", "f.form", "f.near")
+    forms = cut(forms.groupBy("core", "form").agg(F.max("near").alias("near")))
+    hash_ = F.xxhash64("core")
+    sets = forms.groupBy("form").agg(F.count("*").alias("n"), F.bit_xor(hash_).alias("x"), F.min(hash_).alias("lo"), F.max(hash_).alias("hi"), F.min("near").alias("all_near")).filter("n > 1")
+    # Of forms with the same cores the nearest one stays.
+    kept = sets.groupBy("n", "x", "lo", "hi").agg(F.max_by("form", F.struct("all_near", "form")).alias("form")).select("form")
+    shared = forms.join(kept, "form", "left_semi").filter("core <> form")
+    return cut(cores.select("core", F.col("core").alias("form"), F.lit(True).alias("near")).unionByName(shared.select("core", F.concat(F.lit("~"), "form").alias("form"), "near")).unionByName(
+        # A core that is itself the form of others meets them there.
+        forms.join(kept, "form", "left_semi").filter("core = form").select("core", F.concat(F.lit("~"), "form").alias("form"), F.lit(True).alias("near"))))
+
+
+def _united(rows: DataFrame) -> DataFrame:
+    """Profiles from (pid, kind, sig, cores, firsts, initials, middles, suffixes, n), the rows of a pid united."""
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+    return rows.groupBy("pid", "kind", "sig").agg(*[union(c) for c in ("cores", "firsts", "initials", "middles", "suffixes")], F.sum("n").alias("n"))
+
+
+def proposals(profiles: DataFrame, forms: DataFrame) -> DataFrame:
+    """One row (PROPOSALS) for each profile that could merge into another, from all its blocks."""
+    by_core = profiles.select("*", F.explode("cores").alias("core")).join(forms.select("core", "form"), "core")
+    initial = F.explode(F.when(F.col("kind") == "O", F.array(F.lit(""))).otherwise(F.col("initials")))
+    keyed = by_core.withColumn("initial", initial).withColumn("key", F.concat_ws("\u0001", "kind", "sig", "form", "initial"))
+    keyed = keyed.select("key", "pid", "kind", "cores", "firsts", "middles", "suffixes", "n").dropDuplicates(["key", "pid"])
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key", F.ceil(F.col("size") / CELL).cast("int").alias("parts"))
+    placed = keyed.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("pid"), F.col("parts")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+    placed = placed.select("key", "i", "j", "pid", "kind", "cores", "firsts", "middles", "suffixes", "n").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    told = placed.mapInPandas(_cells, PROPOSALS)
+    best = lambda n, p: F.min(F.when(F.col(p).isNotNull(), F.struct((-F.col(n)).alias("n"), F.col(p).alias("pid"))))["pid"]
+    return cut(told.groupBy("pid").agg(best("sure_n", "sure").alias("sure"), F.min("low").alias("low"), F.max("high").alias("high"), best("open_n", "open").alias("open")))
+
+
+def _accepted(moves: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Of (pid, to) those that may be carried out at once: nobody moves into one that moves itself, and what moves into one agrees on middle names and suffixes."""
+    traits = ("middles", "suffixes", "n")
+    of = lambda c, p: profiles.select(F.col("pid").alias(c), *[F.col(t).alias(f"{p}_{t}") for t in traits])
+    # Two that name each other: the less full one moves.
+    back = moves.select(F.col("to").alias("pid"), F.col("pid").alias("to"), F.lit(True).alias("mutual"))
+    m = moves.join(of("pid", "p"), "pid").join(of("to", "q"), "to").join(back, ["pid", "to"], "left")
+    m = m.filter(F.col("mutual").isNull() | (F.struct(-F.col("p_n"), "pid") > F.struct(-F.col("q_n"), "to")))
+    m = cut(m.drop("mutual"))
+    m = m.join(m.select(F.col("pid").alias("to")), "to", "left_anti")
+    for t in ("middles", "suffixes"):
+        told = F.when((F.size(f"p_{t}") > 0) & (F.size(f"q_{t}") == 0), F.struct((-F.col("p_n")).alias("n"), "pid", F.col(f"p_{t}").alias("v")))
+        m = m.join(m.groupBy("to").agg(F.min(told)["v"].alias("lead")), "to").filter(F.col("lead").isNull() | (F.size(f"p_{t}") == 0) | F.arrays_overlap("lead", f"p_{t}")).drop("lead")
+    return cut(m.select("pid", "to"))
 
 
 def name_groups(entities: DataFrame) -> DataFrame:
     """(name, group): the spellings that name the same person or body share a group."""
     names, aliases = spellings(entities)
     parts = features(names)
-    parts = cut(parts.join(families(parts), "core"))
+    forms = core_forms(parts)
     nick = F.create_map(*[F.lit(x) for k, v in NICKNAMES.items() for x in (k, v)])
-    initial = F.transform(F.split(F.coalesce(F.try_element_at(nick, F.col("first")), F.col("first")), " "), lambda x: F.left(x, F.lit(1)))
-    persons = parts.filter("kind = 'P' and first <> ''").withColumn("block", F.explode(F.array_distinct(initial)))
-    bodies = parts.filter("kind = 'O'").withColumn("block", F.col("sig"))
-    links = cut(persons.unionByName(bodies).repartition("kind", "family", "block").sortWithinPartitions("kind", "family", "block").mapInPandas(_blocks, "a string, b string"))
-    # Aliases bridge a name to spellings of the same family: same suffix, and initials that agree.
-    side = lambda p: parts.select(*[F.col(c).alias(f"{p}_{c}") for c in ("name", "kind", "family", "first", "suffix", "sig")])
-    bridge = aliases.join(side("n"), F.col("name") == F.col("n_name")).join(side("a"), F.col("alias") == F.col("a_name")).filter("n_kind = a_kind and n_family = a_family and n_suffix = a_suffix and n_sig = a_sig")
-    short = (F.length("n_first") == 1) | (F.length("a_first") == 1)
-    bridge = bridge.filter("n_first <> '' and a_first <> ''").filter(short & (F.left("n_first", F.lit(1)) == F.left("a_first", F.lit(1))))
-    # A name without a given name joins where its family has one person.
-    merged = components(links.unionByName(bridge.select(F.col("name").alias("a"), F.col("alias").alias("b"))), "a", "b")
-    group = cut(links.select(F.col("a").alias("name")).distinct().join(merged.withColumnRenamed("member", "name"), "name", "left").select("name", F.coalesce("group_id", "name").alias("group")))
-    lone = parts.filter("kind = 'P' and first = ''")
-    people = parts.filter("kind = 'P' and first <> ''").join(group, "name")
-    one = people.groupBy("family").agg(F.count_distinct("group").alias("n"), F.min("group").alias("one")).filter("n = 1")
-    # Who bears the very same family name comes before those with one like it.
-    same = people.groupBy("core").agg(F.count_distinct("group").alias("n_same"), F.min("group").alias("same"))
-    taker = F.when(F.col("n_same") == 1, F.col("same")).when(F.col("n_same").isNull(), F.col("one"))
-    own = lone.join(one, "family", "left").join(same, "core", "left").select("name", F.coalesce(taker, F.concat(F.lit("="), "family")).alias("group"))
-    return group.unionByName(own)
-
-
-def entity_pairs(entities: DataFrame) -> DataFrame:
-    """(entity_id_a, entity_id_b), smaller first: all pairs of entities of one group, as the result is defined."""
+    formal = F.coalesce(F.try_element_at(nick, F.col("first")), F.col("first"))
+    filled = lambda c: F.filter(F.array(c), lambda x: x != "")
+    initials = F.filter(F.array_distinct(F.concat(F.transform(F.split(formal, " "), lambda x: F.left(x, F.lit(1))), F.array("extra"))), lambda x: x != "")
+    parts = parts.withColumn("formal", formal).withColumn("pid", F.sha2(F.to_json(F.struct("kind", "core", "sig", "formal", "middle", "suffix", "extra")), 256))
+    parts = cut(parts.withColumns({"initials": initials, "long": F.length("first") > 1}))
+    own = parts.select("pid", "kind", "sig", F.array("core").alias("cores"), F.when(F.col("long"), F.array("first")).otherwise(filled(F.lit(""))).alias("firsts"), "initials", filled(F.col("middle")).alias("middles"), filled(F.col("suffix")).alias("suffixes"), F.lit(1).alias("n"))
+    profiles = cut(_united(own))
+    # Who initials are, by aliases: of the same kind, suffix and initial, and of a family name that matches.
+    side = lambda p: parts.select(*[F.col(c).alias(f"{p}_{c}") for c in ("name", "pid", "kind", "core", "first", "suffix", "sig")])
+    told = aliases.join(side("n"), F.col("name") == F.col("n_name")).join(side("a"), F.col("alias") == F.col("a_name"))
+    told = told.filter("n_pid <> a_pid and n_kind = a_kind and n_suffix = a_suffix and n_sig = a_sig and n_first <> '' and a_first <> ''")
+    told = told.filter(((F.length("n_first") == 1) | (F.length("a_first") == 1)) & (F.left("n_first", F.lit(1)) == F.left("a_first", F.lit(1))))
+    near = forms.select(F.col("core").alias("n_core"), "form").join(forms.select(F.col("core").alias("a_core"), "form"), "form").select("n_core", "a_core").distinct()
+    told = cut(told.join(near, ["n_core", "a_core"], "left_semi").select("n_pid", "a_pid").distinct())
+    group = cut(parts.select("pid").distinct().withColumn("to", F.col("pid")))  # first profile, and what it is in now
+    while True:
+        found = proposals(profiles, forms)
+        sure = found.filter("sure is not null").select("pid", F.col("sure").alias("to"))
+        moves = _accepted(sure, profiles)
+        if moves.isEmpty():
+            now = lambda c, p: group.select(F.col("pid").alias(c), F.col("to").alias(p))
+            bridge = told.join(now("n_pid", "x"), "n_pid").join(now("a_pid", "y"), "a_pid").filter("x <> y").select("x", "y")
+            bridge = bridge.unionByName(bridge.select(F.col("y").alias("x"), F.col("x").alias("y"))).join(profiles.filter("size(firsts) = 0").select(F.col("pid").alias("x")), "x", "left_semi")
+            bridge = bridge.groupBy(F.col("x").alias("pid")).agg(F.min("y").alias("alias"), F.max("y").alias("alias_high")).filter("alias = alias_high").select("pid", "alias")
+            to = F.coalesce("alias", F.when(F.col("low") == F.col("high"), F.col("low")).when(F.col("low").isNull(), F.col("open")))
+            moves = _accepted(found.join(bridge, "pid", "full").select("pid", to.alias("to")).filter("to is not null"), profiles)
+            if moves.isEmpty():
+                break
+        step = moves.withColumnsRenamed({"pid": "was", "to": "then"})
+        group = cut(group.join(step, F.col("to") == F.col("was"), "left").select("pid", F.coalesce("then", "to").alias("to")))
+        profiles = cut(_united(profiles.join(step, F.col("pid") == F.col("was"), "left").withColumn("pid", F.coalesce("then", "pid")).drop("was", "then")))
+    named = cut(parts.join(group, "pid").select("name", "kind", "core", "first", F.col("to").alias("group")))
+    return named.filter("kind = 'O' or first <> ''").select("name", "group").unionByName(_lone(named, forms))
+
+
+def _lone(named: DataFrame, forms: DataFrame) -> DataFrame:
+    """(name, group) of names without a given name: the one person who bears the family name, else the one who bears one like it; else those alike stay together."""
+    people = named.filter("kind = 'P' and first <> ''").groupBy("core").agg(F.min("group").alias("lo"), F.max("group").alias("hi"))
+    lone = named.filter("kind = 'P' and first = ''").select("name", "core")
+    near = forms.filter("near")
+    by_form = near.join(people, "core").groupBy("form").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    like = near.join(lone.select("core").distinct(), "core", "left_semi").join(by_form, "form").groupBy("core").agg(F.min("lo").alias("near_lo"), F.max("hi").alias("near_hi"))
+    # Alone in their family: told apart by the smallest core that shares a form.
+    heads = near.join(lone.select("core").distinct(), "core", "left_semi")
+    heads = heads.join(heads.groupBy("form").agg(F.min("core").alias("head")), "form").groupBy("core").agg(F.min("head").alias("head"))
+    taker = F.when(F.col("lo") == F.col("hi"), F.col("lo")).when(F.col("lo").isNull() & (F.col("near_lo") == F.col("near_hi")), F.col("near_lo"))
+    return lone.join(people, "core", "left").join(like, "core", "left").join(heads, "core").select("name", F.coalesce(taker, F.concat(F.lit("="), "head")).alias("group"))
+
+
+def entity_groups(entities: DataFrame) -> DataFrame:
+    """(entity_id, group_id): one row for each entity that is somebody, with the smallest entity_id of its group."""
     squeeze = F.trim(F.regexp_replace("name", r"\s+", " "))
     ids = entities.filter("entity_id is not null").select("entity_id", squeeze.alias("name")).distinct()
     grouped = cut(ids.join(name_groups(entities), "name").select("entity_id", "group").distinct())
-    a, b = grouped.select(F.col("entity_id").alias("entity_id_a"), "group"), grouped.select(F.col("entity_id").alias("entity_id_b"), "group")
-    return a.join(b, "group").filter("entity_id_a < entity_id_b").select("entity_id_a", "entity_id_b").distinct()
+    heads = grouped.groupBy("group").agg(F.min("entity_id").alias("group_id"))
+    return grouped.join(heads, "group").select("entity_id", "group_id").distinct()
+
+
+#: Members of a group that one task pairs with all others.
+SLICE = 1000
+
+
+def entity_pairs(entities: DataFrame) -> DataFrame:
+    """(entity_id_a, entity_id_b), smaller first: all pairs of entities of one group, as the result is defined; entity_groups has the same in one row each.
+
+    Large groups are paired in slices, so no task holds all pairs of a group.
+    """
+    grouped = cut(entity_groups(entities))
+    slices = grouped.groupBy("group_id").agg(F.count("*").alias("n")).filter("n > 1").select("group_id", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
+    sized = grouped.join(slices, "group_id")
+    a = sized.select(F.col("entity_id").alias("entity_id_a"), "group_id", F.pmod(F.xxhash64("entity_id"), F.col("slices")).cast("int").alias("slice"))
+    b = sized.select(F.col("entity_id").alias("entity_id_b"), "group_id", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    return a.join(b, ["group_id", "slice"]).filter("entity_id_a < entity_id_b").select("entity_id_a", "entity_id_b").distinct()
