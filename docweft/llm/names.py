@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweft.session import cut
+from docweft.session import cut, spread
 
 # Words that are roles or placeholders, titles, suffixes, legal forms, abbreviations and nicknames.
 ROLES = (
@@ -318,22 +318,20 @@ def core_forms(parts: DataFrame) -> DataFrame:
 
     near says that no more than one letter is left out. Forms that the same cores share count once, told by a digest of the set, so that blocks are not compared again.
     """
-    cores = parts.select("core").distinct()
+    cores = spread(parts.select("core"))
     n = F.length("core")
     none = F.array().cast("array<string>")
-    one = F.when(n >= ONE, _holes(F.col("core"))).otherwise(none)
+    one = F.array_append(F.when(n >= ONE, _holes(F.col("core"))).otherwise(none), F.col("core"))
     two = F.when(n >= TWO, F.flatten(F.transform(_holes(F.col("core")), _holes))).otherwise(none)
-    tagged = lambda a, near: F.transform(F.array_distinct(a), lambda x: F.struct(x.alias("form"), F.lit(near).alias("near")))
-    forms = cores.select("core", F.explode(F.concat(tagged(F.concat(F.array("core"), one), True), tagged(two, False))).alias("f")).select("core", "f.form", "f.near")
-    forms = cut(forms.groupBy("core", "form").agg(F.max("near").alias("near")))
-    hash_ = F.xxhash64("core")
-    sets = forms.groupBy("form").agg(F.count("*").alias("n"), F.bit_xor(hash_).alias("x"), F.min(hash_).alias("lo"), F.max(hash_).alias("hi"), F.min("near").alias("all_near")).filter("n > 1")
+    # Forms go by their hash; a clash only gives a pair to compare more.
+    hashed = lambda a, near: F.transform(a, lambda x: F.struct(F.xxhash64(x).alias("form"), F.lit(near).alias("near")))
+    forms = cores.select("core", one.alias("one"), two.alias("two")).select("core", F.explode(F.concat(hashed(F.array_distinct("one"), True), hashed(F.array_except("two", "one"), False))).alias("f"))
+    forms = cut(forms.select("core", F.xxhash64("core").alias("hash"), "f.form", "f.near"))
+    sets = forms.groupBy("form").agg(F.count("*").alias("n"), F.bit_xor("hash").alias("x"), F.min("hash").alias("lo"), F.max("hash").alias("hi"), F.min("near").alias("all_near")).filter("n > 1")
     # Of forms with the same cores the nearest one stays.
     kept = sets.groupBy("n", "x", "lo", "hi").agg(F.max_by("form", F.struct("all_near", "form")).alias("form")).select("form")
-    shared = forms.join(kept, "form", "left_semi").filter("core <> form")
-    return cut(cores.select("core", F.col("core").alias("form"), F.lit(True).alias("near")).unionByName(shared.select("core", F.concat(F.lit("~"), "form").alias("form"), "near")).unionByName(
-        # A core that is itself the form of others meets them there.
-        forms.join(kept, "form", "left_semi").filter("core = form").select("core", F.concat(F.lit("~"), "form").alias("form"), F.lit(True).alias("near"))))
+    shared = forms.join(kept, "form", "left_semi").select("core", F.concat(F.lit("~"), "form").alias("form"), "near")
+    return cut(shared.unionByName(cores.select("core", F.col("core").alias("form"), F.lit(True).alias("near"))))
 
 
 def _united(rows: DataFrame) -> DataFrame:

@@ -68,6 +68,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return names.entity_pairs(table(spark, d, "entities"))
 
 
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The same as one row for each entity, with the smallest entity_id of its group."""
+    return names.entity_groups(table(spark, d, "entities"))
+
+
 def p7_bins(spark: SparkSession, d: str) -> DataFrame:
     """The container of every document, and of each partition the bound it is certified by."""
     return packing.pack(table(spark, d, "documents").filter("text is not null"), "doc_id", packing.byte_tokens(F.col("text")), 4096)
@@ -98,7 +103,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_annotators, p3_items, p4_found, p4_courts, p5_found, p5_pieces, p6_found, p7_found, p7_bins, p8_found, p8_spans, p9_found, p9_restored)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_annotators, p3_items, p4_found, p4_courts, p5_found, p5_pieces, p6_found, p6_groups, p7_found, p7_bins, p8_found, p8_spans, p9_found, p9_restored)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -290,6 +290,39 @@ def test_aliases_bridge(spark):
     assert got == {("1", "2")}
 
 
+def linked(spark, *same):
+    rows = [(f"E{i}{k}", n, None) for i, g in enumerate(same) for k, n in enumerate(g)]
+    got = {(r.entity_id_a, r.entity_id_b) for r in names.entity_pairs(spark.createDataFrame(rows, "entity_id string, name string, aliases_json string")).collect()}
+    ids = [[f"E{i}{k}" for k in range(len(g))] for i, g in enumerate(same)]
+    return got, {(a, b) for g in ids for a in g for b in g if a < b}
+
+
+def test_merged_profiles_enter_blocks_again(spark):
+    # J. Zolpinder only meets the others by the initial that Robert Zolpinder got from J. Robert; the typos chain over two rounds.
+    got, want = linked(spark, ["J. Robert Zolpinder", "Robert Zolpinder", "Robert Zolpnider", "J. Zolpinder"], ["Carla Smith", "Carla Smiht"], ["Dora Vandrelkonas", "Dora Vanbrelkomas"], ["Dora Vindrilkunes Jr."], ["Ann Lee", "ANN LEE"], ["Ann Lea"])
+    assert got == want
+
+
+def test_conflicting_names_are_not_chained(spark):
+    # The one without a middle name goes to one of the two, who stay apart.
+    rows = [("1", "John A. Bolfilder", None), ("2", "John B. Bolfilder", None), ("3", "John Bolfilder", None)]
+    got = {(r.entity_id_a, r.entity_id_b) for r in names.entity_pairs(spark.createDataFrame(rows, "entity_id string, name string, aliases_json string")).collect()}
+    assert len(got) == 1 and ("1", "2") not in got
+
+
+def test_blocks_in_cells(spark, monkeypatch):
+    rows = [names.pd.Series({"key": "k", "i": 0, "j": 0, "pid": f"p{k}", "kind": "P", "cores": ["bolfilder"], "firsts": [f"anna{'' if k < 3 else k}"], "middles": [], "suffixes": [], "n": 3 - k % 3}) for k in range(3)]
+    assert {r[0]: r[2] for r in names._proposals(rows)} == {"p1": "p0", "p2": "p0"}
+
+
+def test_pairs_of_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(names, "SLICE", 3)
+    rows = [(f"{k:03d}", "Ann Zolpinder", "[]") for k in range(20)] + [(None, "Ann Zolpinder", None), ("x", None, None)]
+    df = spark.createDataFrame(rows, "entity_id string, name string, aliases_json string")
+    assert names.entity_pairs(df).count() == 190
+    assert {(r.group_id, r["count"]) for r in names.entity_groups(df).groupBy("group_id").count().collect()} == {("000", 20)}
+
+
 def test_distance():
     assert names.distance("abcd", "abdc", 2) == 1 and names.distance("abc", "xyz", 2) == 3 and names.distance("abc", "ab", 1) == 1
     assert pd.notna(names.parse("Smith, John", {}))
