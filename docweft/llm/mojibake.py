@@ -6,11 +6,12 @@ taken out ("rsum" of a garbled and of a right "résumé"). The steps:
 
 1. Count each distinct token over all documents, digits folded. Count how often each non-ASCII character
    stands between which classes of neighbours: that tells usual text from unusual.
-2. Join unusual tokens with the commonest tokens of the same ASCII remainder and align the two character
-   by character: pairs of encodings (written in, read in) that turn one into the other are learned, with the
-   number of twins as their support.
-3. Apply learned pairs to all unusual tokens, again to the results (text garbled twice); a result counts
-   if its characters stand where they usually stand.
+2. Join unusual tokens with usual ones that are equal but for their runs of non-ASCII characters (and, for scripts without blanks, such a run
+   between two ASCII characters with the same one) and align the two run by run and character by character. Each pair of aligned characters tells
+   which encodings (written in, read in) turn one into the other; the fewest encodings that explain the pairs are learned. Aligned
+   pairs that no encoding explains are learned as they are, a table of characters, if enough different tokens agree.
+3. Apply learned encodings and the table to all unusual tokens, again to the results (text garbled twice); a result counts
+   if its characters stand where they usually stand. Encodings that were learned, but not with each other, are tried on long runs.
 4. A document is garbled by the pair that explains most of it. Strong evidence is a word that becomes a known word, a
    valid multi-byte sequence or a long run; a lone sign could be another by chance, so two of them must agree.
 
@@ -28,10 +29,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweft.session import cut
+from docweft.session import cut, spread
 
 # Encodings that text is written in, and that it is read in by mistake.
 WRITTEN = ("utf-8", "cp1252", "cp1251", "koi8-r", "mac_roman", "cp437", "cp850", "cp866", "cp1253", "iso8859-7", "iso8859-15", "cp1250", "gbk", "big5", "shift_jis", "euc_jp", "euc_kr", "mac_cyrillic")
@@ -41,12 +42,16 @@ PAIRS = [(w, r) for w in WRITTEN for r in READ if w != r]
 SUPPORT = 2
 #: Gain in mean log frequency per character that a restored token must show; 2 is a factor of 7.
 GAIN = 2.0
-#: Multi-byte encodings whose long runs prove themselves: one wrong byte would break them. Twins are rare among scripts without blanks.
-SELF_PROVING = [(w, r) for w in ("gbk", "big5", "shift_jis", "euc_jp", "euc_kr") for r in ("latin-1", "cp1252", "mac_roman", "cp437", "cp850", "cp1251")] + [("utf-8", r) for r in ("gbk", "big5", "shift_jis", "euc_jp", "euc_kr", "koi8-r")]
+#: Multi-byte encodings; a wrong byte would break a long run of them, so a long run may prove encodings that twins taught apart from each other.
+MULTIBYTE = ("utf-8", "gbk", "big5", "shift_jis", "euc_jp", "euc_kr")
 LONG = 8
-#: A token whose rarest character stands in a context at least this frequent (mean log) is usual.
+#: Different tokens that must agree on a pair of characters that no encoding explains.
+AGREE = 4
+#: A token whose rarest character stands in a context at least this frequent (log, less two deviations) is usual.
 USUAL = -9.0
-FEW = 5
+#: ASCII letters and digits that a token needs for a twin; others have no anchors, and twins are told by which characters repeat, in words of at
+#: least so many characters of which so many repeat an earlier one.
+ANCHORS, PATTERN, REPEATS = 2, 7, 2
 #: The context table holds characters x neighbour classes; it can't outgrow Unicode, but is checked.
 MAX_CONTEXTS = 5_000_000
 TOKEN = r"(?<![^\s])[\x21-\x7e]*+(?:[^\x00-\x7f]|(?<=[a-z])\?(?=[a-z]))[^\x00-\x20]*"
@@ -92,21 +97,24 @@ class Usage:
         self.all = math.log(sum(counts.values()) + 1)
         self.log = {c: math.log(n) for c, n in counts.items()}
         self.never = math.log(0.3)
-        # In small tables a context seen up to FEW times is unusual, whatever its share.
-        self.usual = max(USUAL, math.log(FEW + 0.5) - self.all)
+        # What the counts show for sure: two deviations less, so that a few sightings prove nothing in a table of any size.
+        self.sure = {c: math.log(n - 2 * math.sqrt(n)) for c, n in counts.items() if n > 4}
 
     def mean(self, token: str) -> float:
         c = contexts(token)
         return sum(self.log.get(x, self.never) for x in c) / len(c) - self.all if c else 0.0
 
     def worst(self, token: str) -> float:
-        return min((self.log.get(x, self.never) for x in contexts(token)), default=self.all) - self.all
+        return min((self.sure.get(x, self.never) for x in contexts(token)), default=self.all) - self.all
+
+    def usual(self, token: str) -> bool:
+        return self.worst(token) >= USUAL
 
 
 @lru_cache(None)
 def _table(codec: str) -> tuple[dict[str, int], list[str]] | None:
     """Of a single-byte encoding: character to byte, and byte to character; undefined bytes stand for themselves."""
-    if codec in ("utf-8", "gbk", "big5", "shift_jis", "euc_jp", "euc_kr"):
+    if codec in MULTIBYTE:
         return None
     chars = []
     for b in range(256):
@@ -149,10 +157,24 @@ def _sequences() -> re.Pattern:
     return re.compile("|".join(found))
 
 
+#: Stands for the encoding of a table of aligned characters, which is then named in the place of the other one: garbled, clean, garbled, ..
+ALIGNED = "aligned"
+
+
+@lru_cache(4)
+def _aligned_table(text: str) -> tuple[re.Pattern, dict[str, str]]:
+    parts = text.split("\n")
+    table = dict(zip(parts[::2], parts[1::2]))
+    return re.compile("|".join(re.escape(g) for g in sorted(table, key=lambda g: (-len(g), g)))), table
+
+
 def undo(token: str, written: str, read: str) -> str | None:
     """The token as it was before text written in one encoding was read in another; null where that can't be."""
-    data = encode(token, read)
-    out = None if data is None else decode(data, written)
+    if written == ALIGNED:
+        out = _aligned_table(read)[0].sub(lambda m: _aligned_table(read)[1][m.group(0)], token)
+    else:
+        data = encode(token, read)
+        out = None if data is None else decode(data, written)
     return None if out is None or out == token or not out.strip("?") else out
 
 
@@ -165,25 +187,66 @@ _RUN = re.compile(r"[^\x00-\x7f]+")
 _LOST = re.compile("[�\x80-\x84\x86-\x9f]")
 
 
-def _learner(usage: Usage):
-    """For rows (token, twin): the pairs of encodings that turn the twin into the token, as one string."""
+_SLOT = re.compile(r"(?:[^\x21-\x7e]|\?)+")
+SKELETON = r"(?:[^\x21-\x7e]|\?)+"
+
+
+def aligned(token: str, twin: str) -> list[tuple[str, str]]:
+    """Pairs (garbled, clean) of two tokens that are equal but for their runs of non-ASCII characters: characters where
+    the lengths of the runs allow it, else runs."""
+    out = []
+    for g, c in zip(_SLOT.findall(token), _SLOT.findall(twin)):
+        if g != c:
+            width, rest = divmod(len(g), len(c))
+            out += [(g, c)] if rest or not width else [(g[k * width : (k + 1) * width], x) for k, x in enumerate(c)]
+    return [(g, c) for g, c in out if g != c]
+
+
+def pattern(token: str) -> str | None:
+    """The token with each non-ASCII character as the number of its first like, which a wrong single-byte encoding leaves as it is;
+    null where too few characters repeat to tell words apart."""
+    first: dict[str, int] = {}
+    out = [c if "!" <= c <= "~" and c != "?" else chr(0xE000 + first.setdefault(c, len(first))) for c in token]
+    n = sum(c >= "\ue000" for c in out)
+    return "".join(out) if n >= PATTERN and n - len(first) >= REPEATS else None
+
+
+def _aligner(usage: Usage):
+    """For rows (token, twin, n, whole): aligned pairs (garbled, clean, clear); twins of tokens with lost characters have garbled null.
+
+    clear: the twin is so much more usual that it must be the clean one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = []
-            for token, twin in zip(pdf["token"], pdf["twin"]):
-                # What UTF-8 makes of a twin tells by itself which of the two is garbled, however common it is.
-                usual = usage.mean(twin) >= usage.mean(token) + GAIN / 2
-                if fit := [str(k) for k, (w, r) in enumerate(PAIRS) if (usual or w == "utf-8") and garble(twin, w, r) == token]:
-                    found.append(",".join(fit))
-            yield pd.DataFrame({"fit": pd.Series(found, dtype="object")})
+            out = []
+            for token, twin, n, whole in zip(pdf["token"], pdf["twin"], pdf["n"], pdf["whole"]):
+                if not whole and (_LOST.search(token) or "?" in token) and _lossy(token, twin):
+                    out.append((token, None, twin, True, n))
+                else:
+                    clear = usage.mean(twin) >= usage.mean(token) + GAIN / 2
+                    # Without anchors only whole words tell anything.
+                    both = zip(_SLOT.findall(token), _SLOT.findall(twin)) if whole else aligned(token, twin)
+                    out += [(token, g, c, clear, n) for g, c in both if g != c and not _LOST.search(c)]
+            yield pd.DataFrame(out, columns=["token", "garbled", "clean", "clear", "n"])
 
     return run
 
 
+def _explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For rows (garbled, clean, clear, n): the pairs of encodings that turn clean into garbled, as one string.
+
+    What UTF-8 makes of a twin tells by itself which of the two is garbled, however common it is."""
+    for pdf in batches:
+        fits = [
+            ",".join(str(k) for k, (w, r) in enumerate(PAIRS) if (clear or w == "utf-8") and garble(c, w, r) == g)
+            for g, c, clear in zip(pdf["garbled"], pdf["clean"], pdf["clear"])
+        ]
+        yield pdf[["garbled", "clean", "clear", "n"]].assign(fit=fits)
+
+
 def _cover(fits: dict[str, int]) -> list[tuple[str, str]]:
-    """The fewest pairs that explain the twins, the best supported first."""
-    left = {tuple(map(int, k.split(","))): n for k, n in fits.items()}
+    """The fewest pairs that explain the aligned characters, the best supported first."""
+    left = {tuple(map(int, k.split(","))): n for k, n in fits.items() if k}
     out = []
     while left:
         votes: dict[int, int] = {}
@@ -209,11 +272,12 @@ def _runs(token: str, written: str, read: str) -> str | None:
     return None if out == token else out
 
 
-def restore(token: str, usage: Usage, pairs: list[tuple[str, str]], proving: bool = True) -> list[tuple[int, str, float]]:
-    """(pair, clean, gain): for each pair the most usual result after up to three rounds, if more usual than the token."""
+def restore(token: str, usage: Usage, pairs: list[tuple[str, str]], learned: int) -> list[tuple[int, str, float]]:
+    """(pair, clean, gain): for each pair the most usual result after up to three rounds, if more usual than the token.
+
+    The first pairs, learned in number, were taught by twins; the others need a long run."""
     base, results = usage.mean(token), []
     long = sum(c > "\x7f" for c in token) >= LONG
-    learned = len(pairs) - len(SELF_PROVING) if proving else len(pairs)  # those that prove themselves come last
     for k, (w, r) in enumerate(pairs):
         if k >= learned and not long:
             break
@@ -239,25 +303,33 @@ def _lossy(token: str, twin: str) -> bool:
     return bool(re.fullmatch(pattern, twin))
 
 
-def _judge(usage: Usage, pairs: list[tuple[str, str]]):
+def _judge(usage: Usage, pairs: list[tuple[str, str]], learned: int):
     """Candidates of each token: (token, pair, clean, gain, sure); pair -1 is damage that no pair explains."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for token, twins in zip(pdf["token"], pdf["twins"]):
-                found = restore(token, usage, pairs)
+            for token, twin in zip(pdf["token"], pdf["twin"]):
+                found = restore(token, usage, pairs, learned)
                 long = sum(c > "\x7f" for c in token) >= 6
                 out += [(token, k, clean, gain, long or pairs[k][0] == "utf-8") for k, clean, gain in found]
-                if _LOST.search(token) or (not found and re.search(r"[a-z]\?[a-z]", token)):
-                    twin = next((t for t in twins if t != token and usage.worst(t) >= usage.usual and "?" not in t and not _sequences().search(t) and _lossy(token, t)), None) if twins is not None else None
-                    if twin is not None or _LOST.search(token):
-                        out.append((token, -1, twin, 0.0, True))
+                if _LOST.search(token) or (not found and twin is not None and re.search(r"[a-z]\?[a-z]", token)):
+                    out.append((token, -1, twin, 0.0, True))
             yield pd.DataFrame(out, columns=["token", "pair", "clean", "gain", "sure"])
 
     return run
 
 
+def _twin_units(tokens_: DataFrame) -> DataFrame:
+    """(token, n, skeleton): tokens that have anchors, and the runs of longer ones between two ASCII characters, each with what is left of it without its runs."""
+    inner = F.regexp_extract_all("token", F.lit(r"(?=([\x21-\x3e\x40-\x7e](?:[^\x21-\x7e]|\?)+[\x21-\x3e\x40-\x7e]))"), F.lit(1))
+    units = tokens_.select(F.explode(F.array_distinct(F.array_append(inner, F.col("token")))).alias("token"), "n").groupBy("token").agg(F.sum("n").alias("n"))
+    skeleton = F.regexp_replace("token", SKELETON, "\u0001")
+    anchored = units.withColumn("skeleton", skeleton).filter((F.length(F.regexp_replace("skeleton", "[^A-Za-z0-9]", "")) >= ANCHORS) & F.col("skeleton").contains("\u0001"))
+    bare = tokens_.filter("pattern is not null").select("token", "n", F.col("pattern").alias("skeleton"))
+    return anchored.select("token", "n", "skeleton", F.lit(False).alias("whole")).unionByName(bare.join(anchored, "token", "left_anti").withColumn("whole", F.lit(True)))
+
+
 def candidates(counts: DataFrame) -> tuple[DataFrame, Usage, list[tuple[str, str]]]:
     """Candidates, what is usual, and the pairs of encodings by number. Candidates are (token, pair, clean, gain, strength) of tokens that may be garbled among (token, n), a row for each pair that explains one.
 
@@ -268,26 +340,31 @@ def candidates(counts: DataFrame) -> tuple[DataFrame, Usage, list[tuple[str, str
         raise ValueError(f"more than {MAX_CONTEXTS} contexts of characters")
     usage = Usage(dict(zip(table["context"], table["n"])))
 
-    def unusual(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf[[usage.worst(t) < usage.usual or "\ufffd" in t or "?" in t or bool(_sequences().search(t)) for t in pdf["token"]]]
-
-    key = F.regexp_replace("token", r"[^\x21-\x7e]|\?", "")
-    odd = cut(counts.mapInPandas(unusual, "token string, n long").withColumn("key", key))
-    # The five commonest tokens of each remainder stand for the clean ones; a group is never listed in pairs.
-    top = (
-        counts.withColumn("key", key)
-        .join(odd.filter("key <> ''").select("key").distinct(), "key")
-        .withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "token")))
-        .filter("k <= 5")
-        .groupBy("key")
-        .agg(F.sort_array(F.collect_list(F.struct("k", "token"))).alias("t"))
-    )
-    odd = cut(odd.join(top.select("key", F.col("t.token").alias("twins")), "key", "left").select("token", "n", "twins"))
-    twins = odd.select("token", F.explode("twins").alias("twin")).filter("token <> twin")
-    fits = twins.mapInPandas(_learner(usage), "fit string").groupBy("fit").count().collect()  # sets of pairs of encodings
-    pairs = _cover({r["fit"]: r["count"] for r in fits}) + SELF_PROVING
-    found = odd.repartition("token").mapInPandas(_judge(usage, pairs), "token string, pair int, clean string, gain double, sure boolean")
+            yield pdf.assign(pattern=[pattern(t) for t in pdf["token"]], odd=[not usage.usual(t) or "\ufffd" in t or "?" in t or bool(_sequences().search(t)) for t in pdf["token"]])
+
+    # Few rows, but each costs time: a fixed number of tasks.
+    marked = cut(spread(counts.select("token", "n")).mapInPandas(parted, "token string, n long, pattern string, odd boolean"))
+    odd = marked.filter("odd")
+    clean = _twin_units(marked.filter("not odd")).filter(~F.col("token").contains("?"))
+    twins = _twin_units(odd).select("token", "skeleton").join(clean.select(F.col("token").alias("twin"), "n", "skeleton", "whole"), "skeleton")
+    pairs_of = cut(twins.select("token", "twin", "n", "whole").mapInPandas(_aligner(usage), "token string, garbled string, clean string, clear boolean, n long"))
+    alike = pairs_of.filter("garbled is not null").groupBy("garbled", "clean", "clear").agg(F.count_distinct("token").alias("n"))
+    explained = cut(alike.mapInPandas(_explain, "garbled string, clean string, clear boolean, n long, fit string"))
+    fits = explained.groupBy("fit").count().collect()  # sets of pairs of encodings
+    pairs = _cover({r["fit"]: r["count"] for r in fits})
+    # What no encoding explains: signs that mostly meet one and the same character, and that no learned encoding reads.
+    meets = explained.filter("clear").groupBy("garbled").agg(F.max_by(F.struct("clean", "n", "fit"), F.struct("n", "clean")).alias("x"), F.sum("n").alias("all"))
+    raw = meets.filter((F.col("x.fit") == "") & (F.col("x.n") >= AGREE) & (F.col("x.n") * 3 >= F.col("all") * 2) & (F.length("x.clean") == 1) & F.col("garbled").rlike(r"^[^\p{L}\p{M}\p{N}\p{P}\x00-\x7f]$|^[^\x00-\x7f]{2,4}$"))
+    raw = raw.select("garbled", "x.clean").limit(MAX_CONTEXTS).collect()
+    if raw := [r for r in raw if not any(undo(r[0], *p) for p in pairs)]:
+        pairs.append((ALIGNED, "\n".join(x for r in sorted(raw) for x in r)))
+    learned = len(pairs)
+    taught = [p for p in pairs if p[0] != ALIGNED]
+    pairs += [(w, r) for w in MULTIBYTE for r in READ if w != r and (w, r) not in taught and any(w == a for a, _ in taught) and any(r == b for _, b in taught)]
+    lossy = pairs_of.filter("garbled is null").groupBy("token").agg(F.max_by("clean", F.struct("n", "clean")).alias("twin"))
+    found = spread(odd.select("token").join(lossy, "token", "left")).mapInPandas(_judge(usage, pairs, learned), "token string, pair int, clean string, gain double, sure boolean")
     known = counts.select(F.col("token").alias("clean"), F.col("n").alias("n_clean"))
     found = cut(found.join(odd.select("token", "n"), "token").join(known, "clean", "left"))
     word = F.col("token").rlike(r"[A-Za-z].*[A-Za-z]|[^\x00-\x7f]{2}") & (F.col("n_clean") >= 3) & (F.col("n_clean") > F.col("n"))
@@ -302,7 +379,7 @@ def _apply(usage: Usage, pairs: list[tuple[str, str]]):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(t, p, found[0][1]) for t, p in zip(pdf["token"], pdf["best"]) if (found := restore(t, usage, [pairs[p]], False))]
+            out = [(t, p, found[0][1]) for t, p in zip(pdf["token"], pdf["best"]) if (found := restore(t, usage, [pairs[p]], 1))]
             yield pd.DataFrame(out, columns=["token", "best", "clean"])
 
     return run

@@ -267,6 +267,23 @@ def test_common_garbling_is_found(spark, share):
     assert {r.doc_id: r.restored for r in got} == {1000 + k: clean[k % 3] for k in range(len(bad))}
 
 
+def test_alignment():
+    assert mojibake.aligned("rÃ©sumÃ©,", "résumé,") == [("Ã©", "é"), ("Ã©", "é")]
+    assert mojibake.aligned("0å¹´0", "0年0") == [("å¹´", "年")]
+    assert mojibake.pattern("Ответили") == mojibake.pattern("ЋвўҐвЁ«Ё") and mojibake.pattern("été") is None
+
+
+def test_an_encoding_that_no_list_has_is_learned(spark):
+    # Signs instead of accents, by no known encoding: the aligned twins alone teach them, also for words that have no twin.
+    table = str.maketrans({"é": "␣", "è": "␤", "à": "␥", "ç": "␦"})
+    words = "résumé clérical pénalité décision générosité mère père critère règlement voilà déjà reçu leçon façade répété célèbre".split()
+    # Damage is rare: one text of a thousand teaches, another one is restored with it.
+    rows = [(k, " ".join(words)) for k in range(1200)]
+    rows += [(5000, " ".join(words[:9]).translate(table)), (6000, "un inédité très réglé".translate(table))]
+    got = {r.doc_id: r.restored for r in mojibake.repair(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {5000: " ".join(words[:9]), 6000: "un inédité très réglé"}
+
+
 def test_lost_characters_are_found(spark):
     rows = [(k, "The résumé of José was naïve.") for k in range(40)] + [(99, "The r�sum� of Jos� was long.")]
     got = mojibake.repair(spark.createDataFrame(rows, "doc_id long, text string")).collect()
