@@ -6,10 +6,10 @@ taken out ("rsum" of a garbled and of a right "résumé"). The steps:
 
 1. Count each distinct token over all documents, digits folded. Count how often each non-ASCII character
    stands between which classes of neighbours: that tells usual text from unusual.
-2. Join unusual tokens with usual ones that are equal but for their runs of non-ASCII characters (and, for scripts without blanks, such a run
-   between two ASCII characters with the same one) and align the two run by run and character by character. Each pair of aligned characters tells
-   which encodings (written in, read in) turn one into the other; the fewest encodings that explain the pairs are learned. Aligned
-   pairs that no encoding explains are learned as they are, a table of characters, if enough different tokens agree.
+2. Join unusual tokens with usual ones that are equal around a run of non-ASCII characters, up to three ASCII characters on both sides, so that a run
+   is aligned with the one clean character in its place; words without ASCII characters are joined by which of their characters repeat, and aligned one by
+   one. Each pair of aligned characters tells which encodings (written in, read in) turn one into the other; the fewest encodings that explain the pairs are
+   learned. Aligned pairs that no encoding explains are learned as they are, a table of characters, if enough different tokens agree.
 3. Apply learned encodings and the table to all unusual tokens, again to the results (text garbled twice); a result counts
    if its characters stand where they usually stand. Encodings that were learned, but not with each other, are tried on long runs.
 4. A document is garbled by the pair that explains most of it. Strong evidence is a word that becomes a known word, a
@@ -38,20 +38,23 @@ from docweft.session import cut, spread
 WRITTEN = ("utf-8", "cp1252", "cp1251", "koi8-r", "mac_roman", "cp437", "cp850", "cp866", "cp1253", "iso8859-7", "iso8859-15", "cp1250", "gbk", "big5", "shift_jis", "euc_jp", "euc_kr", "mac_cyrillic")
 READ = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "koi8-r", "cp866", "cp1253", "cp1250", "iso8859-15", "gbk", "big5", "shift_jis", "euc_jp", "euc_kr", "iso8859-5", "mac_cyrillic")
 PAIRS = [(w, r) for w in WRITTEN for r in READ if w != r]
-#: Twins that must agree on a pair of encodings before it is applied elsewhere.
+#: Garbled characters, each of another aligned pair or of one that became several, that must agree on a pair of encodings.
 SUPPORT = 2
 #: Gain in mean log frequency per character that a restored token must show; 2 is a factor of 7.
 GAIN = 2.0
 #: Multi-byte encodings; a wrong byte would break a long run of them, so a long run may prove encodings that twins taught apart from each other.
 MULTIBYTE = ("utf-8", "gbk", "big5", "shift_jis", "euc_jp", "euc_kr")
 LONG = 8
-#: Different tokens that must agree on a pair of characters that no encoding explains.
+#: Different places that must agree on a pair of characters that no encoding explains.
 AGREE = 4
 #: A token whose rarest character stands in a context at least this frequent (log, less two deviations) is usual.
 USUAL = -9.0
-#: ASCII letters and digits that a token needs for a twin; others have no anchors, and twins are told by which characters repeat, in words of at
+#: ASCII letters and digits that a run needs next to it for a twin; words without any have twins told by which characters repeat, in words of at
 #: least so many characters of which so many repeat an earlier one.
 ANCHORS, PATTERN, REPEATS = 2, 7, 2
+#: Characters that one garbled character may have become.
+WIDEST = 4
+SKELETON = r"(?:[^\x21-\x7e]|\?)+"
 #: The context table holds characters x neighbour classes; it can't outgrow Unicode, but is checked.
 MAX_CONTEXTS = 5_000_000
 TOKEN = r"(?<![^\s])[\x21-\x7e]*+(?:[^\x00-\x7f]|(?<=[a-z])\?(?=[a-z]))[^\x00-\x20]*"
@@ -187,19 +190,26 @@ _RUN = re.compile(r"[^\x00-\x7f]+")
 _LOST = re.compile("[�\x80-\x84\x86-\x9f]")
 
 
-_SLOT = re.compile(r"(?:[^\x21-\x7e]|\?)+")
-SKELETON = r"(?:[^\x21-\x7e]|\?)+"
-
-
-def aligned(token: str, twin: str) -> list[tuple[str, str]]:
-    """Pairs (garbled, clean) of two tokens that are equal but for their runs of non-ASCII characters: characters where
-    the lengths of the runs allow it, else runs."""
+def windows(token: str, longest: int) -> list[tuple[str, str]]:
+    """(skeleton, run) of each run of at most so many non-ASCII characters with ANCHORS letters or digits next to it: the ASCII characters
+    around the run, up to three on a side, with the ends of the token. Of longer runs, as scripts without blanks have them, the beginnings
+    and ends of such lengths, if there are as many anchors on that side."""
     out = []
-    for g, c in zip(_SLOT.findall(token), _SLOT.findall(twin)):
-        if g != c:
-            width, rest = divmod(len(g), len(c))
-            out += [(g, c)] if rest or not width else [(g[k * width : (k + 1) * width], x) for k, x in enumerate(c)]
-    return [(g, c) for g, c in out if g != c]
+    anchored = lambda *sides: sum(c.isalnum() for s in sides for c in s) >= ANCHORS
+    for m in _RUN.finditer(token):
+        run = m.group()
+        before = re.search("[\x21-\x7e]*$", token[max(0, m.start() - 3) : m.start()]).group()
+        after = re.match("[\x21-\x7e]*", token[m.end() : m.end() + 3]).group()
+        if len(run) <= longest:
+            if anchored(before, after):
+                out.append((("^" if m.start() <= len(before) else "") + f"{before}\x01{after}" + ("$" if m.end() + len(after) == len(token) else ""), run))
+            continue
+        for k in range(1, longest + 1):
+            if anchored(before):
+                out.append((f"{before}\x01>", run[:k]))
+            if anchored(after):
+                out.append((f"<\x01{after}", run[-k:]))
+    return out
 
 
 def pattern(token: str) -> str | None:
@@ -211,37 +221,66 @@ def pattern(token: str) -> str | None:
     return "".join(out) if n >= PATTERN and n - len(first) >= REPEATS else None
 
 
-def _aligner(usage: Usage):
-    """For rows (token, twin, n, whole): aligned pairs (garbled, clean, clear); twins of tokens with lost characters have garbled null.
+@lru_cache(500_000)
+def explains(garbled: str, clean: str) -> frozenset[int]:
+    """The pairs of encodings, by number, that turn clean into garbled."""
+    return frozenset(k for k, (w, r) in enumerate(PAIRS) if garble(clean, w, r) == garbled)
 
-    clear: the twin is so much more usual that it must be the clean one."""
+
+def _units(usage: Usage):
+    """For rows (token, n): whether the token is odd, and units (skeleton, run, odd) that twins are told by; run is the whole token where characters repeat."""
+
+    def is_odd(text: str) -> bool:
+        return not usage.usual(text) or "\ufffd" in text or "?" in text or bool(_sequences().search(text))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for token, twin, n, whole in zip(pdf["token"], pdf["twin"], pdf["n"], pdf["whole"]):
-                if not whole and (_LOST.search(token) or "?" in token) and _lossy(token, twin):
-                    out.append((token, None, twin, True, n))
-                else:
-                    clear = usage.mean(twin) >= usage.mean(token) + GAIN / 2
-                    # Without anchors only whole words tell anything.
-                    both = zip(_SLOT.findall(token), _SLOT.findall(twin)) if whole else aligned(token, twin)
-                    out += [(token, g, c, clear, n) for g, c in both if g != c and not _LOST.search(c)]
-            yield pd.DataFrame(out, columns=["token", "garbled", "clean", "clear", "n"])
+            for token in pdf["token"]:
+                odd = is_odd(token)
+                units = [(s, r, odd and is_odd(s.strip("^$<>").replace("\x01", r))) for s, r in windows(token, WIDEST)]
+                # Clean is one character; it may also begin or end a run.
+                units = [u for u in units if u[2] or len(u[1]) == 1]
+                if not any("!" <= c <= "~" and c.isalnum() for c in token) and (p := pattern(token)):
+                    units.append((p, token, odd))
+                out.append((odd, [{"skeleton": s, "run": r, "odd": o} for s, r, o in units]))
+            yield pdf.assign(odd=[x[0] for x in out], units=[x[1] for x in out])
 
     return run
 
 
-def _explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For rows (garbled, clean, clear, n): the pairs of encodings that turn clean into garbled, as one string.
+def _aligner(usage: Usage):
+    """For rows (skeleton, run, twin): aligned pairs (garbled, clean, fit), fit being the numbers of the encodings that explain the pair.
 
-    What UTF-8 makes of a twin tells by itself which of the two is garbled, however common it is."""
-    for pdf in batches:
-        fits = [
-            ",".join(str(k) for k, (w, r) in enumerate(PAIRS) if (clear or w == "utf-8") and garble(c, w, r) == g)
-            for g, c, clear in zip(pdf["garbled"], pdf["clean"], pdf["clear"])
-        ]
-        yield pdf[["garbled", "clean", "clear", "n"]].assign(fit=fits)
+    The twin must be so much more usual that it is the clean one, but what UTF-8 makes of a twin tells that by itself, however common it is."""
+    utf = frozenset(k for k, (w, _) in enumerate(PAIRS) if w == "utf-8")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for skeleton, g, c in zip(pdf["skeleton"], pdf["run"], pdf["twin"]):
+                if "\x01" not in skeleton:  # whole words, character by character
+                    fit = None
+                    for x, y in zip(g, c):
+                        if x != y:
+                            fit = explains(x, y) if fit is None else fit & explains(x, y)
+                            if not fit:
+                                break
+                    if not fit or usage.mean(c) < usage.mean(g) + GAIN / 2:
+                        continue
+                elif "\ufffd" in g:
+                    continue
+                else:
+                    fit = explains(g, c)
+                    place = skeleton.strip("^$<>")
+                    if usage.mean(place.replace("\x01", c)) < usage.mean(place.replace("\x01", g)) + GAIN / 2:
+                        fit = fit & utf
+                        if not fit:
+                            continue
+                out.append((g, c, ",".join(map(str, sorted(fit)))))
+            yield pd.DataFrame(out, columns=["garbled", "clean", "fit"])
+
+    return run
 
 
 def _cover(fits: dict[str, int]) -> list[tuple[str, str]]:
@@ -313,6 +352,7 @@ def _judge(usage: Usage, pairs: list[tuple[str, str]], learned: int):
                 found = restore(token, usage, pairs, learned)
                 long = sum(c > "\x7f" for c in token) >= 6
                 out += [(token, k, clean, gain, long or pairs[k][0] == "utf-8") for k, clean, gain in found]
+                twin = twin if twin is not None and _lossy(token, twin) else None
                 if _LOST.search(token) or (not found and twin is not None and re.search(r"[a-z]\?[a-z]", token)):
                     out.append((token, -1, twin, 0.0, True))
             yield pd.DataFrame(out, columns=["token", "pair", "clean", "gain", "sure"])
@@ -320,16 +360,6 @@ def _judge(usage: Usage, pairs: list[tuple[str, str]], learned: int):
     return run
 
 
-def _twin_units(tokens_: DataFrame) -> DataFrame:
-    """(token, n, skeleton): tokens that have anchors, and the runs of longer ones between two ASCII characters, each with what is left of it without its runs."""
-    inner = F.regexp_extract_all("token", F.lit(r"(?=([\x21-\x3e\x40-\x7e](?:[^\x21-\x7e]|\?)+[\x21-\x3e\x40-\x7e]))"), F.lit(1))
-    units = tokens_.select(F.explode(F.array_distinct(F.array_append(inner, F.col("token")))).alias("token"), "n").groupBy("token").agg(F.sum("n").alias("n"))
-    skeleton = F.regexp_replace("token", SKELETON, "\u0001")
-    anchored = units.withColumn("skeleton", skeleton).filter((F.length(F.regexp_replace("skeleton", "[^A-Za-z0-9]", "")) >= ANCHORS) & F.col("skeleton").contains("\u0001"))
-    bare = tokens_.filter("pattern is not null").select("token", "n", F.col("pattern").alias("skeleton"))
-    return anchored.select("token", "n", "skeleton", F.lit(False).alias("whole")).unionByName(bare.join(anchored, "token", "left_anti").withColumn("whole", F.lit(True)))
-
-
 def candidates(counts: DataFrame) -> tuple[DataFrame, Usage, list[tuple[str, str]]]:
     """Candidates, what is usual, and the pairs of encodings by number. Candidates are (token, pair, clean, gain, strength) of tokens that may be garbled among (token, n), a row for each pair that explains one.
 
@@ -340,30 +370,34 @@ def candidates(counts: DataFrame) -> tuple[DataFrame, Usage, list[tuple[str, str
         raise ValueError(f"more than {MAX_CONTEXTS} contexts of characters")
     usage = Usage(dict(zip(table["context"], table["n"])))
 
-    def parted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(pattern=[pattern(t) for t in pdf["token"]], odd=[not usage.usual(t) or "\ufffd" in t or "?" in t or bool(_sequences().search(t)) for t in pdf["token"]])
-
     # Few rows, but each costs time: a fixed number of tasks.
-    marked = cut(spread(counts.select("token", "n")).mapInPandas(parted, "token string, n long, pattern string, odd boolean"))
-    odd = marked.filter("odd")
-    clean = _twin_units(marked.filter("not odd")).filter(~F.col("token").contains("?"))
-    twins = _twin_units(odd).select("token", "skeleton").join(clean.select(F.col("token").alias("twin"), "n", "skeleton", "whole"), "skeleton")
-    pairs_of = cut(twins.select("token", "twin", "n", "whole").mapInPandas(_aligner(usage), "token string, garbled string, clean string, clear boolean, n long"))
-    alike = pairs_of.filter("garbled is not null").groupBy("garbled", "clean", "clear").agg(F.count_distinct("token").alias("n"))
-    explained = cut(alike.mapInPandas(_explain, "garbled string, clean string, clear boolean, n long, fit string"))
-    fits = explained.groupBy("fit").count().collect()  # sets of pairs of encodings
-    pairs = _cover({r["fit"]: r["count"] for r in fits})
+    marked = cut(spread(counts.select("token", "n")).mapInPandas(_units(usage), "token string, n long, odd boolean, units array<struct<skeleton string, run string, odd boolean>>"))
+    odd = marked.filter("odd").select("token", "n")
+    # Windows are of few characters, so there are not many more of them than kinds of signs, however long the table.
+    units = marked.select(F.explode("units").alias("u")).select("u.*").distinct()
+    twins = units.filter("odd").join(units.filter("not odd").select("skeleton", F.col("run").alias("twin")), "skeleton").filter("run <> twin")
+    alike = twins.select("skeleton", "run", "twin").repartition(max(4 * counts.sparkSession.sparkContext.defaultParallelism, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    alike = cut(alike.mapInPandas(_aligner(usage), "garbled string, clean string, fit string").groupBy("garbled", "clean", "fit").agg(F.count("*").alias("n")))
+    # Of what may stand in the place of a sign, only what does so about as often as the most common.
+    most = alike.groupBy("garbled").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
+    alike = cut(alike.join(most, "garbled").filter("n * 2 >= most"))
+    # A character that became several is as good as several that became one each.
+    fits = alike.groupBy("fit").agg(F.sum(F.length("garbled")).alias("weight")).collect()  # sets of pairs of encodings
+    pairs = _cover({r["fit"]: r["weight"] for r in fits})
     # What no encoding explains: signs that mostly meet one and the same character, and that no learned encoding reads.
-    meets = explained.filter("clear").groupBy("garbled").agg(F.max_by(F.struct("clean", "n", "fit"), F.struct("n", "clean")).alias("x"), F.sum("n").alias("all"))
-    raw = meets.filter((F.col("x.fit") == "") & (F.col("x.n") >= AGREE) & (F.col("x.n") * 3 >= F.col("all") * 2) & (F.length("x.clean") == 1) & F.col("garbled").rlike(r"^[^\p{L}\p{M}\p{N}\p{P}\x00-\x7f]$|^[^\x00-\x7f]{2,4}$"))
-    raw = raw.select("garbled", "x.clean").limit(MAX_CONTEXTS).collect()
+    raw = alike.filter((F.col("fit") == "") & (F.col("n") >= AGREE) & (F.col("n") * 3 >= F.col("all") * 2) & F.col("garbled").rlike(r"^[^\p{L}\p{M}\p{N}\p{P}\x00-\x7f]$|^[^\x00-\x7f]{2,4}$"))
+    raw = raw.groupBy("garbled").agg(F.min("clean").alias("clean")).limit(MAX_CONTEXTS).collect()
     if raw := [r for r in raw if not any(undo(r[0], *p) for p in pairs)]:
         pairs.append((ALIGNED, "\n".join(x for r in sorted(raw) for x in r)))
     learned = len(pairs)
     taught = [p for p in pairs if p[0] != ALIGNED]
     pairs += [(w, r) for w in MULTIBYTE for r in READ if w != r and (w, r) not in taught and any(w == a for a, _ in taught) and any(r == b for _, b in taught)]
-    lossy = pairs_of.filter("garbled is null").groupBy("token").agg(F.max_by("clean", F.struct("n", "clean")).alias("twin"))
+    # The clean form of what lost characters is the commonest token that is equal but for its non-ASCII characters.
+    skeleton = F.regexp_replace("token", SKELETON, "\u0001")
+    lost = odd.select("token", skeleton.alias("skeleton")).filter(F.col("token").rlike(r"\x{FFFD}|\?|[\x80-\x9f]"))
+    usual = marked.filter((~F.col("odd")) & ~F.col("token").contains("?")).select("token", "n", skeleton.alias("skeleton"))
+    usual = usual.groupBy("skeleton").agg(F.max_by("token", F.struct("n", "token")).alias("twin"))
+    lossy = lost.join(usual, "skeleton").select("token", "twin")
     found = spread(odd.select("token").join(lossy, "token", "left")).mapInPandas(_judge(usage, pairs, learned), "token string, pair int, clean string, gain double, sure boolean")
     known = counts.select(F.col("token").alias("clean"), F.col("n").alias("n_clean"))
     found = cut(found.join(odd.select("token", "n"), "token").join(known, "clean", "left"))
