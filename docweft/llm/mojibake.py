@@ -49,9 +49,9 @@ LONG = 8
 AGREE = 4
 #: A token whose rarest character stands in a context at least this frequent (log, less two deviations) is usual.
 USUAL = -9.0
-#: ASCII letters and digits that a run needs next to it for a twin; words without any have twins told by which characters repeat, in words of at
-#: least so many characters of which so many repeat an earlier one.
-ANCHORS, PATTERN, REPEATS = 2, 7, 2
+#: ASCII letters and digits that a run needs next to it for a twin; words without any have twins told by which characters repeat, if so many
+#: do, counted with the length of the word: 7 characters with two repeats, or 10 with one, tell words well apart.
+ANCHORS, PATTERN, REPEATS = 2, 7, 10
 #: Characters that one garbled character may have become.
 WIDEST = 4
 SKELETON = r"(?:[^\x21-\x7e]|\?)+"
@@ -218,7 +218,7 @@ def pattern(token: str) -> str | None:
     first: dict[str, int] = {}
     out = [c if "!" <= c <= "~" and c != "?" else chr(0xE000 + first.setdefault(c, len(first))) for c in token]
     n = sum(c >= "\ue000" for c in out)
-    return "".join(out) if n >= PATTERN and n - len(first) >= REPEATS else None
+    return "".join(out) if n >= PATTERN and n * (n - len(first)) >= REPEATS else None
 
 
 @lru_cache(500_000)
@@ -228,22 +228,28 @@ def explains(garbled: str, clean: str) -> frozenset[int]:
 
 
 def _units(usage: Usage):
-    """For rows (token, n): whether the token is odd, and units (skeleton, run, odd) that twins are told by; run is the whole token where characters repeat."""
+    """For rows (token, n): whether the token is odd, and units (skeleton, run, odd, clean) that twins are told by; run is the whole token where characters repeat.
+
+    A unit may be both odd and clean: usual, but with a sequence that UTF-8 would also leave."""
 
     def is_odd(text: str) -> bool:
         return not usage.usual(text) or "\ufffd" in text or "?" in text or bool(_sequences().search(text))
 
+    def is_clean(text: str) -> bool:
+        return usage.usual(text) and "\ufffd" not in text and "?" not in text
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for token in pdf["token"]:
-                odd = is_odd(token)
-                units = [(s, r, odd and is_odd(s.strip("^$<>").replace("\x01", r))) for s, r in windows(token, WIDEST)]
-                # Clean is one character; it may also begin or end a run.
-                units = [u for u in units if u[2] or len(u[1]) == 1]
+                odd, units = is_odd(token), []
+                for s, r in windows(token, WIDEST):
+                    place = s.strip("^$<>").replace("\x01", r)
+                    # Clean is one character; it may also begin or end a run.
+                    units.append((s, r, odd and is_odd(place), len(r) == 1 and is_clean(place)))
                 if not any("!" <= c <= "~" and c.isalnum() for c in token) and (p := pattern(token)):
-                    units.append((p, token, odd))
-                out.append((odd, [{"skeleton": s, "run": r, "odd": o} for s, r, o in units]))
+                    units.append((p, token, odd, is_clean(token)))
+                out.append((odd, [{"skeleton": s, "run": r, "odd": o, "clean": c} for s, r, o, c in units if o or c]))
             yield pdf.assign(odd=[x[0] for x in out], units=[x[1] for x in out])
 
     return run
@@ -371,11 +377,11 @@ def candidates(counts: DataFrame) -> tuple[DataFrame, Usage, list[tuple[str, str
     usage = Usage(dict(zip(table["context"], table["n"])))
 
     # Few rows, but each costs time: a fixed number of tasks.
-    marked = cut(spread(counts.select("token", "n")).mapInPandas(_units(usage), "token string, n long, odd boolean, units array<struct<skeleton string, run string, odd boolean>>"))
+    marked = cut(spread(counts.select("token", "n")).mapInPandas(_units(usage), "token string, n long, odd boolean, units array<struct<skeleton string, run string, odd boolean, clean boolean>>"))
     odd = marked.filter("odd").select("token", "n")
     # Windows are of few characters, so there are not many more of them than kinds of signs, however long the table.
     units = marked.select(F.explode("units").alias("u")).select("u.*").distinct()
-    twins = units.filter("odd").join(units.filter("not odd").select("skeleton", F.col("run").alias("twin")), "skeleton").filter("run <> twin")
+    twins = units.filter("odd").join(units.filter("clean").select("skeleton", F.col("run").alias("twin")), "skeleton").filter("run <> twin")
     alike = twins.select("skeleton", "run", "twin").repartition(max(4 * counts.sparkSession.sparkContext.defaultParallelism, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     alike = cut(alike.mapInPandas(_aligner(usage), "garbled string, clean string, fit string").groupBy("garbled", "clean", "fit").agg(F.count("*").alias("n")))
     # Of what may stand in the place of a sign, only what does so about as often as the most common.
