@@ -2,9 +2,7 @@
 
 Four kinds of evidence, each over all rows:
 
-copy    the text is a strict prefix of a longer text elsewhere. Distinct texts are sorted by range
-        partitions; all extensions of a text follow it directly, so one look at the next value is enough. The first and last
-        value of each partition meet in a second look. No pairs are formed, and a shared opening, however common, is harmless.
+copy    the text is a strict prefix of a longer text elsewhere, by a self-join on hashed prefixes of fixed lengths.
 limit   its length in characters or bytes is one at which far more texts end than at the lengths around it, most of
         them without an ending.
 mark    it ends with a mark of cutting or in the middle of an escape sequence, entity or character.
@@ -16,11 +14,7 @@ Defined results: null and blank texts are not cut; repeated rows give one result
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweft.session import cut
@@ -70,37 +64,33 @@ def _line(c: Column) -> Column:
     return F.when(label != "", label).otherwise(shape)
 
 
-def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of sorted texts the digests of those that the next one extends; the first and last text of the partition with edge set."""
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
-    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
-    held: str | None = None
-    for pdf in batches:
-        rows = []
-        for t in pdf["text"]:
-            if held is None:
-                rows.append((part, 1, t))
-            elif t != held and t.startswith(held):
-                rows.append((part, 0, digest(held)))
-            held = t
-        yield pd.DataFrame(rows, columns=["part", "edge", "text"])
-    if held is not None:
-        yield pd.DataFrame({"part": [part], "edge": [2], "text": [held]})
+#: Texts are bucketed by their prefixes of 1, 4, 16, 64, .. characters; up to this level the prefixes are short enough to be shipped in place of the texts.
+LOW = 4
 
 
 def prefixes(texts: DataFrame) -> DataFrame:
-    """(digest) of the texts of (text) that are strict prefixes of another; equal texts may lie in several range partitions."""
-    spread = texts.select("text").filter("text <> ''").withColumn("salt", F.rand(1))
-    found = cut(spread.repartitionByRange("text", "salt").sortWithinPartitions("text").select("text").mapInPandas(_neighbours, "part int, edge int, text string"))
-    edges = found.filter("edge > 0")
-    # Two rows a partition: its last text meets the first of the next filled one.
-    following = F.lead("part").over(Window.orderBy("part"))
-    firsts = edges.filter("edge = 1").select("part", "text")
-    after = firsts.select("part").withColumn("next", following).join(firsts.select(F.col("part").alias("next"), F.col("text").alias("after")), "next")
-    joined = edges.filter("edge = 2").select("part", "text").join(after, "part").filter(F.col("after").startswith(F.col("text")) & (F.col("after") != F.col("text")))
-    return found.filter("edge = 0").select(F.col("text").alias("digest")).unionByName(joined.select(F.md5("text").alias("digest"))).distinct()
+    """(digest) of the texts of (text) that are strict prefixes of another.
+
+    A text of 4^k to 4^(k+1) characters can only continue in texts of its bucket, those with the same hash of the first 4^k characters. Buckets with such a
+    text and another one hand the lengths of these texts to all longer texts, which hash their beginnings of just these lengths; a
+    beginning with the digest of a text is its continuation. A bucket has at most 3 * 4^k such lengths, however many texts; no pair of texts is ever formed, and
+    copies count once, before the shuffle.
+    """
+    t = texts.filter("text <> ''").select("text", F.md5("text").alias("digest"), F.length("text").alias("n"))
+    own = F.floor((F.length(F.bin("n")) - 1) / 2).cast("int")
+    starts = F.transform(F.sequence(F.lit(0), own), lambda k: F.xxhash64(F.left(F.col("text"), F.pow(F.lit(4), k).cast("int"))))
+    keys = cut(t.select("digest", "n", own.alias("own"), F.posexplode(starts).alias("level", "bucket")).distinct())
+    wanted = keys.groupBy("level", "bucket").agg(F.max(F.col("level") == F.col("own")).alias("has"), F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("has and lo <> hi").select("level", "bucket")
+    short = cut(keys.filter("level = own").join(wanted, ["level", "bucket"]).select("level", "bucket", "n", "digest"))
+    lengths = short.groupBy("level", "bucket").agg(F.collect_set("n").alias("lengths"))
+    ask = keys.join(lengths, ["level", "bucket"]).select("digest", "level", F.explode("lengths").alias("length"), "n").filter("length < n")
+    ask = cut(ask.groupBy("digest", (F.col("level") <= LOW).alias("low")).agg(F.collect_set("length").alias("lengths")))
+    found = None
+    for low, value in ((True, F.left("text", F.lit(4 ** (LOW + 1)))), (False, F.col("text"))):
+        asked = ask.filter(F.col("low") == low).select("digest", "lengths").join(t.select("digest", value.alias("text")), "digest")
+        begun = asked.select(F.explode(F.transform("lengths", lambda k: F.md5(F.left(F.col("text"), k)))).alias("digest")).distinct()
+        found = begun if found is None else found.unionByName(begun)
+    return short.select("digest").join(found, "digest", "left_semi").distinct()
 
 
 def _limits(texts: DataFrame, size: str) -> DataFrame:
@@ -115,7 +105,7 @@ def _limits(texts: DataFrame, size: str) -> DataFrame:
 def truncated_texts(texts: DataFrame) -> DataFrame:
     """(digest, copy, limit, mark, open, tail): the distinct texts of (text) that are cut, by MD5, and by which evidence.
 
-    Texts themselves are only sorted for the prefixes; all else goes by digest, sizes and shapes.
+    Whole texts are read for the prefixes, digests and sizes; endings are by definition in the last TAIL characters.
     """
     body = F.regexp_replace(F.right("text", F.lit(2 * TAIL)), r"\s+$", "")
     own = texts.filter("text is not null").select(F.md5("text").alias("digest"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.right(body, F.lit(TAIL)).alias("tail")).filter("tail <> ''")
