@@ -6,9 +6,10 @@ a_i^2 = c_ij c_ik / c_jk. Triplets are pooled by least squares, each weighted by
 is that of the agreement with all others, and few votes are shrunk towards the mean of all annotators.
 The label is the sign of the sum of votes weighted by log-odds of accuracy and of the prior of facts.
 
-Votes per item are turned into pair counts inside blocks of items by matrix products, summed per
-partition before the shuffle: no pair of votes is ever a row. The pair table has a row for two people who
-met, so it grows with the people, not with the items.
+Votes per item are turned into pair counts inside a task, summed there before the shuffle: no pair of votes is ever a row, and an item
+with very many votes is counted in cells of a bounded size. The pair table has a row for two people who
+met, so it grows with the people, not with the items. Triplets are found from the one of the three who met the fewest, so
+that a person who met everybody is no burden: nobody has more than the root of twice the pairs to look through.
 
 Defined results: of one person's labels for an item the latest by updated_at counts (ties: created_at, id); a null
 user_id is a person of its own for each row, with the mean reliability; a latest label that means neither fact nor non-fact
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweft.session import cut
@@ -30,8 +31,8 @@ from docweft.session import cut
 # Spellings, after lower case and with everything but letters dropped.
 FACT = ("fact", "facts", "fac", "f", "isfact", "factual", "yes", "true")
 NONFACT = ("nonfact", "nonfacts", "nonfac", "nf", "notafact", "notfact", "nofact", "nonfactual", "no", "false")
-#: Cells of one dense block of items x people.
-BLOCK_CELLS = 4_000_000
+#: Pairs of people that a task sums up before it hands them on, and votes of an item in one part of it.
+HELD_PAIRS, CELL_VOTES = 500_000, 1000
 #: Votes of the mean annotator that are added to each one's own.
 SHRINK = 8.0
 
@@ -52,60 +53,100 @@ def latest_votes(annotations: DataFrame) -> DataFrame:
     return last.select("dataset_id", "item_index", "user_id", "person", F.col("x.vote").alias("vote")).filter("vote is not null")
 
 
+def _counted(p: np.ndarray, q: np.ndarray, same: np.ndarray) -> pd.DataFrame:
+    x = pd.DataFrame({"i": np.minimum(p, q), "j": np.maximum(p, q), "n": 1.0, "d": same})
+    return x.groupby(["i", "j"], sort=False, as_index=False).sum()
+
+
 def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pair counts of the items of a partition; rows come sorted by item, an item may span batches."""
-    total: dict[tuple[str, str], np.ndarray] = {}
-
-    def block(pdf: pd.DataFrame) -> None:
-        rows, _ = pd.factorize(pdf["item"])
-        cols, people = pd.factorize(pdf["user_id"])
-        step = max(1, BLOCK_CELLS // max(1, len(people)))
-        for lo in range(0, int(rows.max()) + 1, step):
-            at = (rows >= lo) & (rows < lo + step)
-            x = np.zeros((min(step, int(rows.max()) + 1 - lo), len(people)), np.float32)
-            x[rows[at] - lo, cols[at]] = pdf["vote"].to_numpy()[at]
-            both, same = np.abs(x).T @ np.abs(x), x.T @ x
-            i, j = np.nonzero(np.triu(both, 1))
-            for p, q, n, d in zip(i, j, both[i, j], same[i, j]):
-                key = (people[p], people[q]) if people[p] < people[q] else (people[q], people[p])
-                if key in total:
-                    total[key] += (n, d)
-                else:
-                    total[key] = np.array((n, d), np.float64)
+    """Pair counts of the votes of a partition. Rows come sorted by cell (item, x, y), and a cell may span batches; where x and y differ, only pairs of
+    the two parts count."""
+    people: dict[str, int] = {}
+    total = pd.DataFrame({"i": [], "j": [], "n": [], "d": []})
+    held: list[pd.DataFrame] = []
+    size = 0
+
+    def told() -> pd.DataFrame:
+        names = np.array(list(people), object)
+        i, j = names[total["i"].to_numpy(np.int64)], names[total["j"].to_numpy(np.int64)]
+        first = np.array([a < b for a, b in zip(i, j)], bool)
+        return pd.DataFrame({"i": np.where(first, i, j), "j": np.where(first, j, i), "n": total["n"], "d": total["d"]})
+
+    def take(pdf: pd.DataFrame) -> None:
+        nonlocal held, size, total
+        codes = np.array([people.setdefault(u, len(people)) for u in pdf["user_id"]], np.int64)
+        votes, part, mixed = pdf["vote"].to_numpy(np.float64), pdf["part"].to_numpy(), (pdf["x"] != pdf["y"]).to_numpy()
+        cell = pdf.groupby(["item", "x", "y"], sort=False).ngroup().to_numpy()
+        lag = 1
+        while lag < len(cell):
+            at = np.nonzero(cell[lag:] == cell[:-lag])[0]
+            if not len(at):  # cells lie together, so no longer distance has any
+                break
+            at = at[~mixed[at] | (part[at] != part[at + lag])]
+            held.append(_counted(codes[at], codes[at + lag], votes[at] * votes[at + lag]))
+            size += len(held[-1])
+            lag += 1
+            if size > HELD_PAIRS:
+                total = pd.concat([total, *held]).groupby(["i", "j"], sort=False, as_index=False).sum()
+                held, size = [], 0
 
     rest = None
     for pdf in batches:
         rest = pdf if rest is None else pd.concat([rest, pdf])
-        if len(rest) >= 50_000 and (last := rest["item"].iloc[-1]) != rest["item"].iloc[0]:
-            block(rest[rest["item"] != last])
-            rest = rest[rest["item"] == last]
+        if len(rest):
+            last = rest.iloc[-1]
+            open_ = ((rest["item"] == last["item"]) & (rest["x"] == last["x"]) & (rest["y"] == last["y"])).to_numpy()
+            take(rest[~open_])
+            rest = rest[open_]
+        if len(total) > HELD_PAIRS:
+            total = pd.concat([total, *held]).groupby(["i", "j"], sort=False, as_index=False).sum()
+            yield told()
+            held, size = [], 0
+            total, people = total.iloc[:0], {}
     if rest is not None and len(rest):
-        block(rest)
-    if total:
-        keys = list(total)
-        yield pd.DataFrame({"i": [k[0] for k in keys], "j": [k[1] for k in keys], "n": [float(total[k][0]) for k in keys], "d": [float(total[k][1]) for k in keys]})
+        take(rest)
+    total = pd.concat([total, *held]).groupby(["i", "j"], sort=False, as_index=False).sum()
+    yield told()
 
 
 def agreement(votes: DataFrame) -> DataFrame:
-    """(i, j, n, c) for two people who labelled n items in common, both directions; c is 2 P(agree) - 1."""
-    v = votes.filter("user_id is not null").select(F.struct("dataset_id", "item_index").alias("k"), "user_id", "vote")
-    v = v.select(F.xxhash64("k").alias("item"), "user_id", "vote").repartition("item").sortWithinPartitions("item")
+    """(i, j, n, c) for two people i < j who labelled n items in common; c is 2 P(agree) - 1."""
+    v = votes.filter("user_id is not null").select(F.xxhash64("dataset_id", "item_index").alias("item"), "user_id", "vote")
+    parts = v.groupBy("item").agg(F.count("*").alias("m")).filter("m > 1").select("item", F.ceil(F.col("m") / CELL_VOTES).cast("int").alias("parts"))
+    v = v.join(parts, "item").withColumn("part", F.pmod(F.xxhash64("user_id"), F.col("parts")).cast("int"))
+    v = v.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"x": F.least("part", "other"), "y": F.greatest("part", "other")})
+    v = v.select("item", "x", "y", "part", "user_id", "vote").repartition("item", "x", "y").sortWithinPartitions("item", "x", "y")
     pairs = v.mapInPandas(_grams, "i string, j string, n double, d double").groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
-    pairs = cut(pairs.withColumn("c", F.col("d") / F.col("n")))
-    return pairs.select("i", "j", "n", "c").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "n", "c"))
+    return cut(pairs.select("i", "j", "n", (F.col("d") / F.col("n")).alias("c")))
+
+
+def triplets(pairs: DataFrame) -> DataFrame:
+    """(a, b, e, n_ab, c_ab, n_ae, c_ae, n_be, c_be): each three people of whom all met, once; a met the fewest."""
+    ends = pairs.select("i").unionByName(pairs.select(F.col("j").alias("i"))).groupBy("i").agg(F.count("*").alias("met"))
+    one = pairs.join(ends.withColumnRenamed("met", "mi"), "i").join(ends.select(F.col("i").alias("j"), F.col("met").alias("mj")), "j")
+    ranked = lambda m, k: F.struct(F.col(m).alias("met"), F.col(k).alias("who"))
+    low, high = F.least(ranked("mi", "i"), ranked("mj", "j")), F.greatest(ranked("mi", "i"), ranked("mj", "j"))
+    out = cut(one.select(low["who"].alias("a"), high["who"].alias("b"), high.alias("o"), "n", "c"))
+    side = lambda k: out.select("a", F.col("b").alias(k), F.col("o").alias(f"o_{k}"), F.col("n").alias(f"n_a{k}"), F.col("c").alias(f"c_a{k}"))
+    wedges = side("b").join(side("e"), "a").filter("o_b < o_e").drop("o_b", "o_e")
+    return wedges.join(out.select(F.col("a").alias("b"), F.col("b").alias("e"), F.col("n").alias("n_be"), F.col("c").alias("c_be")), ["b", "e"])
 
 
 def reliabilities(votes: DataFrame) -> DataFrame:
     """(user_id, n_votes, n_compared, accuracy): the estimate for each annotator; see the module."""
-    p = agreement(votes)
-    with_j = p.select("i", "j", F.col("n").alias("n1"), F.col("c").alias("c1"))
-    with_k = p.select("i", F.col("j").alias("k"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    between = p.select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("n").alias("n3"), F.col("c").alias("c3"))
-    triplets = with_j.join(with_k, "i").filter("j < k").join(between.filter("n3 > 1"), ["j", "k"])
+    pairs = agreement(votes)
+    p = pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "n", "c"))
     # Least squares of c_ij c_ik = a_i^2 c_jk, weighted by the harmonic mean of the three counts. The square of c_jk
-    # is taken without the noise of few votes, else all would look less reliable than they are.
-    w = 3 / (1 / F.col("n1") + 1 / F.col("n2") + 1 / F.col("n3"))
-    square = triplets.groupBy("i").agg((F.sum(w * F.col("c1") * F.col("c2") * F.col("c3")).alias("up")), F.sum(w * (F.col("n3") * F.col("c3") * F.col("c3") - 1) / (F.col("n3") - 1)).alias("down"))
+    # is taken without the noise of few votes, else all would look less reliable than they are. Each triplet tells of all its three.
+    w = 3 / (1 / F.col("n_ab") + 1 / F.col("n_ae") + 1 / F.col("n_be"))
+    product = w * F.col("c_ab") * F.col("c_ae") * F.col("c_be")
+
+    def of(i: str, n: str, c: str) -> Column:
+        n_, c_ = F.col(n), F.col(c)
+        return F.when(n_ > 1, F.struct(F.col(i).alias("i"), product.alias("up"), (w * (n_ * c_ * c_ - 1) / (n_ - 1)).alias("down")))
+
+    told = triplets(pairs).select(F.explode(F.array(of("a", "n_be", "c_be"), of("b", "n_ae", "c_ae"), of("e", "n_ab", "c_ab"))).alias("t")).filter("t is not null")
+    square = told.groupBy("t.i").agg(F.sum("t.up").alias("up"), F.sum("t.down").alias("down"))
     side = p.groupBy("i").agg(F.sum(F.col("n") * F.col("c")).alias("lean"), F.sum("n").alias("n_compared"))
     counts = votes.filter("user_id is not null").groupBy(F.col("user_id").alias("i")).agg(F.count("*").alias("n_votes"))
     raw = counts.join(side, "i", "left").join(square, "i", "left")
