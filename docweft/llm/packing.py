@@ -3,9 +3,9 @@
 Items are spread over partitions that each hold a bounded number of them, evenly by size class, so
 that a partition sees the size mix of the whole. Each partition packs its items by best-fit decreasing and
 compares the bin count with a lower bound from dual feasible functions. Full enough containers of
-certified partitions are final; partitions with a gap give the items of their least full containers
-back, and these items of all partitions meet again in fewer partitions and are packed anew, as long
-as that saves containers.
+certified partitions are final; partitions with a gap give the items of their containers that are not full
+back, and these items of all partitions meet again in other partitions and are packed anew. That goes on as long
+as it saves containers; a packing that saves none is dropped. There are always two partitions at least, so that items can be exchanged.
 
 An item larger than the capacity is split into pieces of the capacity and a rest; the rest is packed
 like an item. Items of null size are left out, items of size 0 take no room but get a container.
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from docweft.session import cut
 
 #: Items a partition packs at once.
-PART_ITEMS = 20_000
-ROUNDS = 3
+PART_ITEMS = 4_000
+#: Share of a container from which it counts as full.
+FULL = 0.99
 OUT = "item long, piece int, size long, part long, bin long, filled long, lower_bound long, round int"
 
 
@@ -91,38 +92,56 @@ def _oversized(items: DataFrame, capacity: int) -> DataFrame:
     )
 
 
-def pack(items: DataFrame, item: str, size: Column, capacity: int, part_items: int = PART_ITEMS, rounds: int = ROUNDS) -> DataFrame:
+def pack(items: DataFrame, item: str, size: Column, capacity: int, part_items: int = PART_ITEMS) -> DataFrame:
     """(item, piece, size, part, bin, filled, lower_bound, round): the container (round, part, bin) of every item.
 
     piece counts the parts of an item that exceeds the capacity, 0 for others. lower_bound is of the partition.
     """
-    pieces = cut(_oversized(items.select(F.col(item).cast("long").alias("item"), size.alias("size")).filter("item is not null and size is not null"), capacity))
-    n = pieces.count()
-    done: list[DataFrame] = []
-    left = pieces
-    for number in range(rounds):
-        parts = max(1, -(-n // part_items))
+    left = cut(_oversized(items.select(F.col(item).cast("long").alias("item"), size.alias("size")).filter("item is not null and size is not null"), capacity))
+
+    def packed(rows: DataFrame, n: int, number: int, least: int) -> DataFrame:
         # Sizes are spread evenly: equal sizes go round by the hash of their ids.
-        packed = cut(
-            left.withColumn("part", F.pmod(F.xxhash64("item", "piece", F.lit(number)), F.lit(parts)).cast("long"))
-            .groupBy("part")
-            .applyInPandas(_packer(capacity, number), OUT)
-        )
-        if parts == 1 or number == rounds - 1:
-            done.append(packed)
-            break
-        # A partition at its bound is certified; of the others, containers less full than 99 % go on.
-        gap = packed.groupBy("part").agg((F.max("bin") + 1 > F.max("lower_bound")).alias("open"))
-        state = packed.join(gap, "part").withColumn("again", F.col("open") & (F.col("filled") < int(capacity * 0.99)))
-        done.append(state.filter("not again").drop("open", "again"))
-        left = state.filter("again").select("item", "piece", "size")
-        n = left.count()
-        if not n:
+        part = F.pmod(F.xxhash64("item", "piece", F.lit(number)), F.lit(max(least, -(-n // part_items)))).cast("long")
+        return cut(rows.withColumn("part", part).groupBy("part").applyInPandas(_packer(capacity, number), OUT))
+
+    def bins(rows: DataFrame) -> int:
+        return rows.groupBy("part", "bin").agg(F.lit(1)).count()
+
+    state, done, number = packed(left, left.count(), 0, 2), [], 0
+    while True:
+        # A partition at its bound is certified; of the others, containers that are not full go on.
+        gap = state.groupBy("part").agg((F.max("bin") + 1 > F.max("lower_bound")).alias("open"))
+        marked = state.join(gap, "part").withColumn("again", F.col("open") & (F.col("filled") < int(capacity * FULL)))
+        again = cut(marked.filter("again").drop("open", "again"))
+        number += 1
+        anew = packed(again.select("item", "piece", "size"), again.count(), number, 1)
+        if bins(anew) >= bins(again):
+            done.append(state)
             break
+        done.append(marked.filter("not again").drop("open", "again"))
+        state = anew
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out
+    return out.select(*[c.split()[0] for c in OUT.split(", ")])
+
+
+def summary(packed: DataFrame, capacity: int) -> DataFrame:
+    """One row (items, containers, tokens, bound, unused): how many containers any packing needs at least, by the dual feasible functions over all pieces,
+    and the share of the containers' room that is unused. All by sums, whatever the number of pieces."""
+    size = F.col("size")
+    sums = [F.sum(size).alias("s0")]
+    for k in range(1, 21):
+        up = size * (k + 1)
+        sums.append((F.sum(F.when(up % capacity == 0, size * k).otherwise(F.floor(up / capacity) * capacity)) / k).alias(f"u{k}"))
+    for k in range(1, 21):
+        e = capacity * k // 40
+        sums.append(F.sum(F.when(size > capacity - e, F.lit(capacity)).when(size < e, 0).otherwise(size)).alias(f"e{k}"))
+    total = packed.agg(F.count_distinct("item").alias("items"), *sums)
+    used = packed.select("round", "part", "bin").distinct().agg(F.count("*").alias("containers"))
+    bound = F.ceil(F.greatest(*[F.col(c) for c in total.columns[1:]]) / capacity - 1e-9)
+    both = total.crossJoin(F.broadcast(used)).filter("containers > 0")
+    return both.select("items", "containers", F.col("s0").alias("tokens"), bound.cast("long").alias("bound"), F.round(1 - F.col("s0") / (F.col("containers") * capacity), 6).alias("unused"))
 
 
 def oversized(packed: DataFrame) -> DataFrame:

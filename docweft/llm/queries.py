@@ -78,6 +78,11 @@ def p7_bins(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents").filter("text is not null"), "doc_id", packing.byte_tokens(F.col("text")), 4096)
 
 
+def p7_unused(spark: SparkSession, d: str) -> DataFrame:
+    """How many containers there are, how many any packing needs, and the share of room that is unused."""
+    return packing.summary(p7_bins(spark, d), 4096)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return packing.oversized(p7_bins(spark, d)).select(F.col("item").alias("doc_id"))
 
@@ -103,7 +108,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_annotators, p3_items, p4_found, p4_courts, p5_found, p5_pieces, p6_found, p6_groups, p7_found, p7_bins, p8_found, p8_spans, p9_found, p9_restored)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_annotators, p3_items, p4_found, p4_courts, p5_found, p5_pieces, p6_found, p6_groups, p7_found, p7_bins, p7_unused, p8_found, p8_spans, p9_found, p9_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
