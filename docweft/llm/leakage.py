@@ -21,6 +21,7 @@ corpus or item table gives an empty result.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -42,6 +43,8 @@ MARGIN = 25.0
 MAX_ITEM_WORDS = 1_000_000
 #: Symbols of one index; a shard beyond that gets several.
 SHARD_SYMBOLS = 2_000_000
+#: Words of the documents that an index has stretches of, held to extend and check what it finds; with more the index is searched at once.
+HELD_WORDS = 4_000_000
 SAMPLE = 8
 
 WORD = re.compile(r"[^\W_]+(?:-\s*[^\W_]+)*")
@@ -312,7 +315,7 @@ def _shards(items: Items):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary, get = Vocabulary(items.words), None
         get = vocabulary.__getitem__
-        streams, backs, docs, ids, size = [], [], [], [], 0
+        streams, backs, docs, ids, size, words = [], [], [], [], 0, 0
 
         def flush() -> pd.DataFrame:
             rows = _search(np.concatenate(streams).astype(np.int64), np.concatenate(backs).astype(np.int64), docs, ids, items) if streams else []
@@ -350,11 +353,12 @@ def _shards(items: Items):
             backs.append(np.column_stack((new[owner], place - base[owner])))
             for k in keep.tolist():
                 docs.append(keys[k])
-                ids.append(lists[k])
+                ids.append(array("i", lists[k]))
+                words += len(lists[k])
             size += len(place)
-            if size > SHARD_SYMBOLS:
+            if size > SHARD_SYMBOLS or words > HELD_WORDS:
                 yield flush()
-                streams, backs, docs, ids, size = [], [], [], [], 0
+                streams, backs, docs, ids, size, words = [], [], [], [], 0, 0
         yield flush()
 
     return run
@@ -365,9 +369,12 @@ def leaks(documents: DataFrame, items: DataFrame, key: str, text: str, item: str
 
     Word numbers are of the folded words of the document, from 0, the end exclusive. The score is the best of what the span was joined from.
     """
-    rows = items.select(F.col(item).cast("long"), *passages).filter(F.col(item).isNotNull()).limit(MAX_ITEM_WORDS).collect()
+    rows = items.select(F.col(item).cast("long"), *[c.alias(f"__p{k}") for k, c in enumerate(passages)])
+    rows = rows.filter(F.col(rows.columns[0]).isNotNull())
+    # One row more than may come, so that none is left out unseen.
+    rows = rows.filter(F.length(F.concat_ws("", *[F.col(c) for c in rows.columns[1:]])) > 0).limit(MAX_ITEM_WORDS + 1).collect()
     held = Items([(r[0], list(r[1:])) for r in rows])
-    if sum(map(len, held.passages)) > MAX_ITEM_WORDS:
+    if len(rows) > MAX_ITEM_WORDS or sum(map(len, held.passages)) > MAX_ITEM_WORDS:
         raise ValueError(f"the items have over {MAX_ITEM_WORDS} words; search them in several runs")
     if not held.phrases:
         return documents.sparkSession.createDataFrame([], f"{key} long, {item} long, first_word int, end_word int, score int")

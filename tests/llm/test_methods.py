@@ -113,6 +113,28 @@ def test_consensus_beats_majority(spark):
     assert np.mean([abs(people[f"u{k}"] - x) for k, x in enumerate(accuracy)]) < 0.06
 
 
+def test_agreement_and_triplets_against_brute_force(spark, monkeypatch):
+    # Small cells: items with many votes are counted in parts.
+    monkeypatch.setattr(consensus, "CELL_VOTES", 4)
+    rng = random.Random(5)
+    votes = [("d", i, f"u{p}", rng.choice((1, -1))) for i in range(30) for p in rng.sample(range(14), rng.randrange(0, 14))]
+    votes += [("d", 99, None, 1), ("d", 98, "lonely", 1)]
+    df = spark.createDataFrame(votes, "dataset_id string, item_index int, user_id string, vote int")
+    want = {}
+    for d, i, u, x in votes:
+        for e, k, w, y in votes:
+            if u and w and (d, i) == (e, k) and u < w:
+                n, s = want.get((u, w), (0, 0))
+                want[u, w] = (n + 1, s + x * y)
+    pairs = consensus.agreement(df)
+    assert {(r.i, r.j): (r.n, round(r.c * r.n)) for r in pairs.collect()} == want
+    met = {frozenset(k) for k in want}
+    people = sorted({u for k in want for u in k})
+    three = {frozenset((a, b, c)) for a in people for b in people for c in people if len({a, b, c}) == 3 and {frozenset((a, b)), frozenset((a, c)), frozenset((b, c))} <= met}
+    got = [frozenset((r.a, r.b, r.e)) for r in consensus.triplets(pairs).collect()]
+    assert len(got) == len(set(got)) and set(got) == three
+
+
 def test_latest_label_counts(spark):
     rows = [("1", "d", 0, "fact", "u", "1", "1"), ("2", "d", 0, "NON-FACT", "u", "1", "2"), ("3", "d", 1, "skip", "u", "1", "1"), ("4", "d", 2, "fact", None, "1", "1")]
     a = spark.createDataFrame(rows, "id string, dataset_id string, item_index int, label string, user_id string, created_at string, updated_at string")
@@ -132,6 +154,25 @@ def test_packing(spark, part_items):
     assert (p.groupby(["round", "part"])["bin"].nunique() >= 0).all()
 
 
+def test_packing_goes_on_while_it_saves(spark):
+    rng = random.Random(6)
+    rows = spark.createDataFrame([(k, rng.choice([34, 35, 51, 26])) for k in range(600)], "id long, s long")
+    p = packing.pack(rows, "id", F.col("s"), 100, 20)
+    one = packing.pack(rows, "id", F.col("s"), 100, 10_000)
+    assert p.agg(F.max("round")).first()[0] >= 1 and one.select("part").distinct().count() >= 2
+    s = packing.summary(p, 100).first()
+    assert s.items == 600 and s.bound <= s.containers <= s.bound * 1.1 + 3
+
+
+def test_too_many_item_words_raise(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "MAX_ITEM_WORDS", 3)
+    d = spark.createDataFrame([(1, "a")], "doc long, text string")
+    q = spark.createDataFrame([(k, "" if k < 5 else "word") for k in range(9)], "idx long, a string")
+    with pytest.raises(ValueError):
+        leakage.leaks(d, q, "doc", "text", "idx", [F.col("a")])
+    assert leakage.leaks(d, q.filter("idx < 6"), "doc", "text", "idx", [F.col("a")]).count() == 0
+
+
 def test_lower_bound_holds():
     rng = np.random.default_rng(2)
     for _ in range(50):
