@@ -4,7 +4,7 @@ Items are spread over partitions that each hold a bounded number of them, evenly
 that a partition sees the size mix of the whole. Each partition packs its items by best-fit decreasing and
 compares the bin count with a lower bound from dual feasible functions. Full enough containers of
 certified partitions are final; partitions with a gap give the items of their containers that are not full
-back, and these items of all partitions meet again in other partitions and are packed anew. That goes on as long
+back, and these items of all partitions meet again in fewer and larger partitions and are packed anew. That goes on as long
 as it saves containers; a packing that saves none is dropped. There are always two partitions at least, so that items can be exchanged.
 
 An item larger than the capacity is split into pieces of the capacity and a rest; the rest is packed
@@ -25,6 +25,8 @@ from docweft.session import cut
 
 #: Items a partition packs at once.
 PART_ITEMS = 4_000
+#: Times as many meet in a partition of what is packed anew.
+MEET = 4
 #: Share of a container from which it counts as full.
 FULL = 0.99
 OUT = "item long, piece int, size long, part long, bin long, filled long, lower_bound long, round int"
@@ -99,22 +101,22 @@ def pack(items: DataFrame, item: str, size: Column, capacity: int, part_items: i
     """
     left = cut(_oversized(items.select(F.col(item).cast("long").alias("item"), size.alias("size")).filter("item is not null and size is not null"), capacity))
 
-    def packed(rows: DataFrame, n: int, number: int, least: int) -> DataFrame:
+    def packed(rows: DataFrame, number: int, parts: int) -> DataFrame:
         # Sizes are spread evenly: equal sizes go round by the hash of their ids.
-        part = F.pmod(F.xxhash64("item", "piece", F.lit(number)), F.lit(max(least, -(-n // part_items)))).cast("long")
+        part = F.pmod(F.xxhash64("item", "piece", F.lit(number)), F.lit(parts)).cast("long")
         return cut(rows.withColumn("part", part).groupBy("part").applyInPandas(_packer(capacity, number), OUT))
 
     def bins(rows: DataFrame) -> int:
         return rows.groupBy("part", "bin").agg(F.lit(1)).count()
 
-    state, done, number = packed(left, left.count(), 0, 2), [], 0
+    state, done, number = packed(left, 0, max(2, -(-left.count() // part_items))), [], 0
     while True:
         # A partition at its bound is certified; of the others, containers that are not full go on.
         gap = state.groupBy("part").agg((F.max("bin") + 1 > F.max("lower_bound")).alias("open"))
         marked = state.join(gap, "part").withColumn("again", F.col("open") & (F.col("filled") < int(capacity * FULL)))
         again = cut(marked.filter("again").drop("open", "again"))
         number += 1
-        anew = packed(again.select("item", "piece", "size"), again.count(), number, 1)
+        anew = packed(again.select("item", "piece", "size"), number, max(1, -(-again.count() // (MEET * part_items))))
         if bins(anew) >= bins(again):
             done.append(state)
             break

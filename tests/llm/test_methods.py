@@ -156,8 +156,8 @@ def test_packing(spark, part_items):
 
 def test_packing_goes_on_while_it_saves(spark):
     rng = random.Random(6)
-    rows = spark.createDataFrame([(k, rng.choice([34, 35, 51, 26])) for k in range(600)], "id long, s long")
-    p = packing.pack(rows, "id", F.col("s"), 100, 20)
+    rows = spark.createDataFrame([(k, rng.randrange(20, 70)) for k in range(600)], "id long, s long")
+    p = packing.pack(rows, "id", F.col("s"), 100, 8)
     one = packing.pack(rows, "id", F.col("s"), 100, 10_000)
     assert p.agg(F.max("round")).first()[0] >= 1 and one.select("part").distinct().count() >= 2
     s = packing.summary(p, 100).first()
