@@ -10,11 +10,7 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 STOPWORDS = "a an and are as at be by for from has have he in is it its of on or she that the their they this to was were will with".split()
-LIGHT_VERBS = ("is", "are", "was", "were", "be", "been", "being", "has", "have", "had")
-ACTION_VERBS = ("said", "told", "paid", "sent", "met", "gave", "took", "made", "left", "wrote", "found", "held", "went", "began", "brought")
 NOT_DISTRICT = ("ca", "uscfc", "usca", "arb", "neb", "nysb")
-TOPICS = {"wage": r"wage|overtime|salary|pay stub", "discrimination": r"discriminat|harass|retaliat", "termination": r"fired|terminat|dismiss", "safety": r"safety|injur|accident", "contract": r"contract|breach|agreement"}
-ROLE_LADDER = (("plaintiff", "PLAINTIFF"), ("claimant", "PLAINTIFF"), ("defendant", "DEFENDANT"), ("employer", "EMPLOYER"), ("supervisor", "SUPERVISOR"), ("manager", "SUPERVISOR"), ("agency", "AGENCY"), ("court", "COURT"), ("judge", "COURT"))
 
 
 def strip(c: Column) -> Column:
@@ -82,13 +78,14 @@ def docket_number_id(number: Column, url: Column) -> Column:
 
 
 def caption_parties(c: Column) -> Column:
-    """Both sides of a caption parted at v. or v, in this order of preference; one element if it has no two sides."""
-    out = F.array(strip(c))
-    for sep in (" V ", " V. ", " v ", " v. "):
+    """Both sides of a caption parted at v. or v, the first of these marks that parts it; one element if it has no two sides."""
+
+    def sides(sep: str) -> Column:
         at = F.instr(c, sep)
         left, right = strip(F.substring(c, F.lit(1), at - 1)), strip(F.substring(c, at + len(sep), F.length(c)))
-        out = F.when((at > 0) & (left != "") & (right != ""), F.array(left, right)).otherwise(out)
-    return out
+        return F.when((at > 0) & (left != "") & (right != ""), F.array(left, right))
+
+    return F.coalesce(sides(" v. "), sides(" v "), sides(" V. "), sides(" V "), F.array(strip(c)))
 
 
 def is_district_court(court_id: Column) -> Column:
@@ -118,21 +115,6 @@ def section_label(name: Column) -> Column:
     return F.when(n.rlike("fact"), 1).when(n.rlike("jurisdiction|venue|parties|relief|prayer"), 0)
 
 
-def is_junk_line(line: Column) -> Column:
-    """Page furniture: blank, bare numbers, page counts, docket stamps, rules."""
-    s = strip(line)
-    return (s == "") | s.rlike(r"^(?:[0-9]+|(?i:page [0-9]+( of [0-9]+)?)|-+ ?[0-9]* ?-+|[_*= ]{3,}|[0-9]+:[0-9]{2}-cv-[0-9]+.*|(?i:case [0-9:]+.*filed.*)|(?i:exhibit [0-9a-z]+))$")
-
-
-def is_section_header(line: Column) -> Column:
-    """Known names, counts, or nine tenths capitals among at least four letters."""
-    s = strip(line)
-    letters = F.length(F.regexp_replace(s, "[^A-Za-z]", ""))
-    caps = F.length(F.regexp_replace(s, "[^A-Z]", ""))
-    known = F.lower(s).rlike(r"^(parties|jurisdiction( and venue)?|venue|facts|factual background|background|procedural history|discussion|prayer for relief|count [ivx0-9]+)$")
-    return (F.length(s) <= 80) & (known | ((letters >= 4) & (caps >= letters * 0.9)) & ~s.rlike(r"[.;:,]$"))
-
-
 def clean_line(line: Column) -> Column:
     """Without a list number and then a list letter in front."""
     return strip(F.regexp_replace(F.regexp_replace(strip(line), r"^[0-9]+\.\s+", ""), r"^[A-Z]\.\s+", ""))
@@ -163,24 +145,6 @@ def sentence_map(c: Column) -> Column:
     return F.map_from_entries(F.transform(keep, lambda x: F.struct(x.getField("k").cast("int"), strip(F.regexp_replace(x.getField("v"), r"\s+", " ")))))
 
 
-def has_action_verb(c: Column) -> Column:
-    words = F.filter(token_set(c, "[a-z]+"), lambda w: F.length(w) >= 3)
-    return F.exists(words, lambda w: ~w.isin(*LIGHT_VERBS) & (w.rlike("(ed|ing)$") | w.isin(*ACTION_VERBS)))
-
-
-def topics(c: Column) -> Column:
-    """Topics whose pattern occurs, sorted; other_general_civil if none."""
-    found = F.array_compact(F.array(*[F.when(F.lower(c).rlike(p), F.lit(k)) for k, p in sorted(TOPICS.items())]))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("other_general_civil")))
-
-
-def role_label(c: Column) -> Column:
-    out = F.when(missing(c).isNull(), F.lit("UNKNOWN"))
-    for word, label in ROLE_LADDER:
-        out = out.when(F.lower(c).contains(word), F.lit(label))
-    return out.otherwise("UNKNOWN")
-
-
 def temporal_relation(c: Column) -> Column:
     """The relation's canonical name: BEFORE and AFTER are NEXT (AFTER with ends swapped), the simultaneous ones OVERLAP."""
     r = F.upper(strip(c))

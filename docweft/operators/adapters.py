@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweft.functions import rules as R
+
 Client = Callable[[list[str]], list[str]]
 
 
@@ -86,6 +88,6 @@ def refine(classified: DataFrame, key: str, prompt: str, label: str, confidence:
 
 def uncovered_sentences(sentences: DataFrame, covered: DataFrame, doc: str, number: str) -> DataFrame:
     """Sentences with an action verb that no event has as evidence."""
-    from docweft.functions import text as T
+    from docweft.functions import rules as R
 
-    return sentences.filter(T.has_action_verb(F.col("text"))).join(covered.select(doc, number).distinct(), [doc, number], "left_anti")
+    return sentences.filter(R.has_action_verb(F.col("text"))).join(covered.select(doc, number).distinct(), [doc, number], "left_anti")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweft.functions import rules as R
 from docweft.functions import text as T
 
 
@@ -51,18 +52,18 @@ def section_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     Lines before the first header belong to it; a text without headers has null sections.
     """
     lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("k", "raw")).select(key, (F.col("k") + 1).alias("line_no"), T.strip(F.col("raw")).alias("line"))
-    lines = lines.withColumn("head", T.is_section_header(F.col("line")))
+    lines = lines.withColumn("head", R.is_section_header(F.col("line")))
     so_far = Window.partitionBy(key).orderBy("line_no")
     header = F.when(F.col("head"), F.col("line"))
     lines = lines.withColumn("section", F.last(header, ignorenulls=True).over(so_far))
     first = F.first(header, ignorenulls=True).over(so_far.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return lines.withColumn("section", F.coalesce("section", first)).filter(~F.col("head") & ~T.is_junk_line(F.col("line"))).drop("head")
+    return lines.withColumn("section", F.coalesce("section", first)).filter(~F.col("head") & ~R.is_junk_line(F.col("line"))).drop("head")
 
 
 def section_chunks(df: DataFrame, key: str, text: str, most: int, overlap: int) -> DataFrame:
     """(key, section_no, section, start_char, end_char, chunk): sections in order of their headers, PREAMBLE before the first."""
     lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("k", "line"))
-    lines = lines.withColumn("head", T.is_section_header(F.col("line")))
+    lines = lines.withColumn("head", R.is_section_header(F.col("line")))
     no = F.sum(F.col("head").cast("int")).over(Window.partitionBy(key).orderBy("k"))
     lines = lines.withColumn("section_no", no)
     body = lines.groupBy(key, "section_no").agg(F.max(F.when(F.col("head"), F.left(F.col("line"), F.lit(50)))).alias("section"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("body"))

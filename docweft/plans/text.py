@@ -109,25 +109,6 @@ def line_classes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-HEADER_SQL = """length(s) <= 80 AND (regexp_matches(lower(s), '^(parties|jurisdiction( and venue)?|venue|facts|factual background|background|procedural history|discussion|prayer for relief|count [ivx0-9]+)$')
-      OR (length(regexp_replace(s, '[^A-Za-z]', '', 'g')) >= 4 AND length(regexp_replace(s, '[^A-Z]', '', 'g')) >= length(regexp_replace(s, '[^A-Za-z]', '', 'g')) * 0.9 AND NOT regexp_matches(s, '[.;:,]$')))"""
-JUNK_SQL = """s = '' OR regexp_matches(s, '^(?:[0-9]+|(?i:page [0-9]+( of [0-9]+)?)|-+ ?[0-9]* ?-+|[_*= ]{3,}|[0-9]+:[0-9]{2}-cv-[0-9]+.*|(?i:case [0-9:]+.*filed.*)|(?i:exhibit [0-9a-z]+))$')"""
-
-
-@query(f"""
-    WITH c AS (SELECT case_id, arg_max(document_text, fetched_at) AS t FROM courtlistener_recap WHERE document_text IS NOT NULL AND case_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT document_text) = 1),
-    r AS (SELECT case_id, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS k, unnest(string_split(t, chr(10))) AS line FROM c),
-    s AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS s FROM r), h AS (SELECT *, ({HEADER_SQL}) AS head FROM s),
-    m AS (SELECT *, last_value(CASE WHEN head THEN s END IGNORE NULLS) OVER (PARTITION BY case_id ORDER BY k) AS section, min(CASE WHEN head THEN k END) OVER (PARTITION BY case_id) AS first_k FROM h),
-    f AS (SELECT a.*, coalesce(section, (SELECT s FROM h b WHERE b.case_id = a.case_id AND b.k = a.first_k)) AS name FROM m a)
-    SELECT case_id, lower(name) AS section, count(*) AS n_lines, min(k) AS first_line FROM f WHERE NOT head AND NOT ({JUNK_SQL}) GROUP BY 1, 2
-""")
-def section_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Lines under the last header before them; lines before the first header go to it; repeated headers pool."""
-    c = table(spark, d, "courtlistener_recap").filter("document_text is not null and case_id is not null").groupBy("case_id").agg(F.max_by("document_text", "fetched_at").alias("t"), F.count_distinct("document_text").alias("n")).filter("n = 1")
-    return chunking.section_lines(c, "case_id", "t").groupBy("case_id", F.lower("section").alias("section")).agg(F.count("*").alias("n_lines"), F.min("line_no").cast("long").alias("first_line"))
-
-
 @query("""
     SELECT file, section_no, CASE WHEN regexp_matches(lower(name), 'fact') THEN 1 WHEN regexp_matches(lower(name), 'jurisdiction|venue|parties|relief|prayer') THEN 0 END AS label, n_sentences FROM (
       SELECT DISTINCT file, i AS section_no, sections[i].name AS name, len(sections[i].sentences) AS n_sentences FROM (SELECT file, sections, unnest(range(1, len(sections) + 1)) AS i FROM processed_filings))
@@ -175,15 +156,6 @@ def clips_and_keys(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").select("doc_id", "chunk_id", "start_sentence_id", "text", F.md5(T.clip(F.col("text"), 200)).alias("clipped"), T.content_key(F.col("text")).alias("key"))
 
 
-@query("""
-    SELECT entity_id, doc_id, CASE WHEN canonical_role IS NULL OR trim(canonical_role) = '' THEN 'UNKNOWN' WHEN contains(lower(canonical_role), 'plaintiff') OR contains(lower(canonical_role), 'claimant') THEN 'PLAINTIFF'
-      WHEN contains(lower(canonical_role), 'defendant') THEN 'DEFENDANT' WHEN contains(lower(canonical_role), 'employer') THEN 'EMPLOYER' WHEN contains(lower(canonical_role), 'supervisor') OR contains(lower(canonical_role), 'manager') THEN 'SUPERVISOR'
-      WHEN contains(lower(canonical_role), 'agency') THEN 'AGENCY' WHEN contains(lower(canonical_role), 'court') OR contains(lower(canonical_role), 'judge') THEN 'COURT' ELSE 'UNKNOWN' END AS role FROM entities
-""")
-def role_labels(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "entities").select("entity_id", "doc_id", T.role_label(F.col("canonical_role")).alias("role"))
-
-
 @query("""
     SELECT event_id, doc_id, created_at, list_sort(list_distinct(list_filter(list_transform(coalesce(TRY_CAST(evidence_sentence_ids_json AS JSON)->>'$[*]', []), lambda x: TRY_CAST(nullif(regexp_extract(x, '^[sS]?(\\d+)$', 1), '') AS INTEGER)), lambda x: x IS NOT NULL))) AS ids
     FROM ekg_events WHERE evidence_sentence_ids_json IS NULL OR json_valid(evidence_sentence_ids_json)
@@ -193,24 +165,6 @@ def evidence_numbers(spark: SparkSession, d: str) -> DataFrame:
     return e.filter(F.col("evidence_sentence_ids_json").isNull() | F.try_parse_json("evidence_sentence_ids_json").isNotNull()).select("event_id", "doc_id", "created_at", T.sentence_numbers(F.col("evidence_sentence_ids_json")).alias("ids"))
 
 
-@query("""
-    SELECT event_id, doc_id, created_at, len(list_filter(list_distinct(regexp_extract_all(lower(evidence_text), '[a-z]+')), lambda w: length(w) >= 3 AND NOT list_contains(['is','are','was','were','be','been','being','has','have','had'], w)
-      AND (regexp_matches(w, '(ed|ing)$') OR list_contains(['said','told','paid','sent','met','gave','took','made','left','wrote','found','held','went','began','brought'], w)))) > 0 AS acts FROM ekg_events
-""")
-def action_verbs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "ekg_events").select("event_id", "doc_id", "created_at", T.has_action_verb(F.col("evidence_text")).alias("acts"))
-
-
-@query("""
-    WITH t AS (SELECT doc_id, lower(text) AS t FROM documents), x AS (
-      SELECT doc_id, list_filter([CASE WHEN regexp_matches(t, 'contract|breach|agreement') THEN 'contract' END, CASE WHEN regexp_matches(t, 'discriminat|harass|retaliat') THEN 'discrimination' END, CASE WHEN regexp_matches(t, 'safety|injur|accident') THEN 'safety' END,
-        CASE WHEN regexp_matches(t, 'fired|terminat|dismiss') THEN 'termination' END, CASE WHEN regexp_matches(t, 'wage|overtime|salary|pay stub') THEN 'wage' END], lambda v: v IS NOT NULL) AS l FROM t)
-    SELECT unnest(CASE WHEN len(l) > 0 THEN l ELSE ['other_general_civil'] END) AS topic, count(*) AS n FROM x GROUP BY 1
-""")
-def topic_counts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.explode(T.topics(F.col("text"))).alias("topic")).groupBy("topic").agg(F.count("*").alias("n"))
-
-
 @query("""
     SELECT case_id, fetched_at, CASE WHEN regexp_matches(document_text, '(?i)factual background|statement of facts') THEN md5(substr(document_text, instr(lower(document_text), regexp_extract(lower(document_text), 'factual background|statement of facts')))) ELSE md5(document_text) END AS facts
     FROM courtlistener_recap WHERE document_text IS NOT NULL AND length(document_text) = strlen(document_text)

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweft import catalogue
+from docweft.functions import rules as R
 from docweft.functions import text as T
 from docweft.operators import adapters, chunking, ekg, graphs, linking, metrics, pairs, ranking, vectors
 from docweft.sources import readers, sinks
@@ -27,9 +28,9 @@ def one(spark, column, **values):
     [
         (lambda v: T.norm_text(v), "  A \n b ", "a b"), (lambda v: T.norm_text(v), None, None), (lambda v: T.missing(v), " \n", None), (lambda v: T.slugify(v), "A b--C", "a_b_c"), (lambda v: T.clip(v, 4), "abcdefgh", "ab...gh"),
         (lambda v: T.caption_parties(v), "Doe v. Acme v Roe", ["Doe", "Acme v Roe"]), (lambda v: T.caption_parties(v), "In re Doe", ["In re Doe"]), (lambda v: T.is_district_court(v), "ca9", False), (lambda v: T.is_district_court(v), None, False), (lambda v: T.is_district_court(v), "nysd", True),
-        (lambda v: T.sentence_label(v), " FAC ", 1), (lambda v: T.sentence_label(v), "Non-Fact", 0), (lambda v: T.sentence_label(v), "x", None), (lambda v: T.role_label(v), "the Plaintiff", "PLAINTIFF"), (lambda v: T.role_label(v), "", "UNKNOWN"),
+        (lambda v: T.sentence_label(v), " FAC ", 1), (lambda v: T.sentence_label(v), "Non-Fact", 0), (lambda v: T.sentence_label(v), "x", None), (lambda v: R.role_label(v), "the Plaintiff", "Plaintiff"), (lambda v: R.role_label(v), "", ""), (lambda v: R.role_label(v), "CEO of Acme, Inc.", "Institution"), (lambda v: R.role_label(v), "HR", "HR"),
         (lambda v: T.strip_html(v), "<script>var t='</p>'</script><b>a&amp;b</b>", "a&b"), (lambda v: T.sentence_numbers(v), '["S3", 2, "x", "2"]', [2, 3]), (lambda v: T.sentence_numbers(v), "not json", []), (lambda v: T.temporal_relation(v), "same_time", "OVERLAP"),
-        (lambda v: T.clean_line(v), "12. A. Text", "Text"), (lambda v: T.is_section_header(v), "FACTUAL BACKGROUND", True), (lambda v: T.is_section_header(v), "He left.", False), (lambda v: T.is_junk_line(v), "Page 3 of 9", True), (lambda v: T.has_action_verb(v), "She was walking", True), (lambda v: T.has_action_verb(v), "The sky", False),
+        (lambda v: T.clean_line(v), "12. A. Text", "Text"), (lambda v: R.is_section_header(v), "FACTUAL BACKGROUND", True), (lambda v: R.is_section_header(v), "He left.", False), (lambda v: R.is_junk_line(v), "Page 3 of 9", True), (lambda v: R.has_action_verb(v), "She was walking", True), (lambda v: R.has_action_verb(v), "The sky", False),
         (lambda v: T.sentence_map(v), "[S1] a b\n[S2] c\n[S1] d", {2: "c", 1: "d"}),
     ],
 )
