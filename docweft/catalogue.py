@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("text", "rules", "tables", "retrieval", "graphs", "metrics", "vectors", "samples", "streams", "more")
+MODULES = ("text", "rules", "tables", "retrieval", "graphs", "metrics", "vectors", "samples", "streams", "more", "pieces")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

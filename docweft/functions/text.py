@@ -164,3 +164,37 @@ def sentence_numbers(c: Column) -> Column:
     """Sorted distinct numbers from a JSON array of ids such as 12, "12" and "S12"."""
     n = F.transform(json_strings(c), lambda x: F.regexp_extract(x, r"^[sS]?(\d+)$", 1).try_cast("int"))
     return F.array_sort(F.array_distinct(F.array_compact(n)))
+
+
+def url_page(url: Column, page: Column) -> Column:
+    """The URL without its fragment, with the parameter page set."""
+    bare = F.regexp_replace(url, "#.*$", "")
+    kept = F.regexp_replace(F.regexp_replace(bare, r"([?&])page=[^&]*(&|$)", "$1"), "[?&]$", "")
+    return F.concat(kept, F.when(kept.contains("?"), "&page=").otherwise("?page="), page.cast("string"))
+
+
+def url_path(url: Column) -> Column:
+    """The path of an absolute or relative URL, without parameters and fragment."""
+    return F.regexp_replace(F.regexp_replace(url, "[?#].*$", ""), "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*", "")
+
+
+def case_docket(c: Column) -> Column:
+    """Number and year around the mark cv of a docket or document id: 2:19-cv-01234 gives 19-cv-01234; null if there is none."""
+    return F.nullif(F.regexp_replace(F.regexp_extract(F.lower(c), "([0-9]+[-_]cv[-_][0-9]+)", 1), "_", "-"), F.lit(""))
+
+
+def signed_confidence(belongs: Column, confidence: Column) -> Column:
+    """The confidence of a yes, and one less it of a no; null if either is."""
+    return F.when(belongs, confidence).when(~belongs, 1 - confidence)
+
+
+def time_key(c: Column) -> Column:
+    """The first value in a scalar or nested JSON text, in lower case and trimmed; null if there is none."""
+    inside = F.regexp_extract(c, r'(?:^\s*|[\[{:,]\s*)(?:"([^"]*[^"\s][^"]*)"(?!\s*:)|(-?\d[^\s,\]}]*))', 0)
+    value = F.regexp_replace(inside, r'^[\s\[{:,"]+|["\s]+$', "")
+    return missing(F.lower(F.when(c.rlike(r"^\s*[\[{]"), value).otherwise(c)))
+
+
+def multi_hot(labels: Column, vocabulary: Column) -> Column:
+    """1 for each word of the vocabulary among the labels, else 0; unknown labels are ignored, null labels are none."""
+    return F.transform(vocabulary, lambda v: F.coalesce(F.array_contains(labels, v), F.lit(False)).cast("int"))

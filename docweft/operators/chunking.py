@@ -70,6 +70,33 @@ def section_chunks(df: DataFrame, key: str, text: str, most: int, overlap: int)
     return char_chunks(body.withColumn("section", F.coalesce("section", F.lit("PREAMBLE"))).filter(F.length("body") > 0), "body", most, overlap)
 
 
+def chunk(df: DataFrame, strategy: str, key: str, text: str, most: int = 12_000, overlap: int = 200, sentences: str | None = None, sentence_width: int = 50, sentence_overlap: int = 5) -> DataFrame:
+    """The chunks of a strategy: char, paragraph, sentence (of the array column sentences) or section; another one is a ValueError."""
+    if strategy == "char":
+        return char_chunks(df, text, most, overlap)
+    if strategy == "paragraph":
+        return paragraph_chunks(df, text, most)
+    if strategy == "sentence":
+        if sentences is None:
+            raise ValueError("the strategy sentence needs the column of sentences")
+        return sentence_chunks(df, sentences, sentence_width, sentence_overlap)
+    if strategy == "section":
+        return section_chunks(df, key, text, most, overlap)
+    raise ValueError(f"no such strategy: {strategy}; there are char, paragraph, sentence and section")
+
+
+def merge_sections(sections: DataFrame, key: str, least: int = 10) -> DataFrame:
+    """(key, form, name, sentences) from (key, section_no, name, sentence_no, sentence): sections of the same normal name as one, under the first name seen, with
+    each sentence of at least so many characters once, in order; sections without any are left out. Null names pool under the empty form.
+    """
+    at = F.struct("section_no", "sentence_no", "sentence")
+    rows = sections.withColumns({"form": F.coalesce(T.norm_text(F.col("name")), F.lit("")), "same": T.norm_text(F.col("sentence"))})
+    names = rows.groupBy(key, "form").agg(F.min_by("name", F.struct("section_no", "name")).alias("name"))
+    once = rows.filter(F.length("same") >= least).groupBy(key, "form", "same").agg(F.min(at).alias("at"))
+    kept = once.groupBy(key, "form").agg(F.transform(F.sort_array(F.collect_list("at")), lambda x: x["sentence"]).alias("sentences"))
+    return kept.join(names, [key, "form"]).select(key, "form", "name", "sentences")
+
+
 def facts_section(text: Column) -> Column:
     """From the facts header on; the whole text if there is none."""
     at = F.regexp_instr(text, F.lit("(?i)factual background|statement of facts"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweft.session import cut
+
 
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The row of each key that is largest by order; rows equal in order are told apart by all columns.
@@ -28,10 +30,28 @@ def top_k(df: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def running_total(df: DataFrame, keys: list[str], value: Column, *order: Column) -> DataFrame:
+    """df with running: the sum of value over the rows of the key up to this one by order, which must be total.
+
+    Rows are sorted into ranges of keys and order, so a key with most rows is spread over many tasks: each range is summed by itself, and the sums of the
+    ranges before it, a table of a row per key and range, are added.
+    """
+    names = [f"__o{i}" for i in range(len(order))]
+    ranged = df.withColumns(dict(zip(names, order))).withColumn("__v", value)
+    ranged = cut(ranged.repartitionByRange(*keys, *names).withColumn("__range", F.spark_partition_id()))
+    sums = ranged.groupBy(*keys, "__range").agg(F.sum("__v").alias("__s"))
+    before = F.sum("__s").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__range").alias("__r"), F.coalesce(before, F.lit(0)).alias("__before"))
+    same = F.col("__range") == F.col("__r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    inside = F.sum("__v").over(Window.partitionBy(*keys, "__range").orderBy(*names).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("__in", inside).join(sums, same).withColumn("running", F.col("__before") + F.col("__in")).select(*df.columns, "running")
+
+
 def within_budget(df: DataFrame, keys: list[str], size: str, budget: int, *order: Column) -> DataFrame:
     """Rows in order while the running total of size stays within the budget of their key."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("running", F.sum(size).over(w)).filter(F.col("running") <= budget)
+    return running_total(df, keys, F.col(size), *order).filter(F.col("running") <= budget)
 
 
 def skyline(df: DataFrame, quality: str, cost: str, buckets: int = 256) -> DataFrame:
@@ -52,10 +72,14 @@ def skyline(df: DataFrame, quality: str, cost: str, buckets: int = 256) -> DataF
 
 def stratified_split(df: DataFrame, strata: list[str], order: Column, train: float, validation: float) -> DataFrame:
     """df with split: in each stratum, by order, the first share to train, the next to validation, the rest to test (shares rounded half even)."""
-    w = Window.partitionBy(*strata)
-    k, n = F.row_number().over(w.orderBy(order)), F.count("*").over(w)
-    a, b = F.bround(n * train), F.bround(n * validation)
-    return df.withColumn("split", F.when(k <= a, "train").when(k <= a + b, "validation").otherwise("test"))
+    placed = running_total(df, strata, F.lit(1), order)
+    sizes = df.groupBy(*strata).agg(F.count("*").alias("__n")).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(strata)], "__n")
+    same = F.lit(True)
+    for i, k in enumerate(strata):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    a, b = F.bround(F.col("__n") * train), F.bround(F.col("__n") * validation)
+    k = F.col("running")
+    return placed.join(sizes, same).withColumn("split", F.when(k <= a, "train").when(k <= a + b, "validation").otherwise("test")).select(*df.columns, "split")
 
 
 def balanced_counts(lengths: DataFrame, key: str, length: str, limit: int) -> DataFrame:

@@ -95,6 +95,7 @@ def graph_retrieval(
     Events within some hops of these follow; all of them count as one hop away, whichever hop found them, and have no entity and structure part. All
     questions go through each step together; every join is on document and event.
     """
+    events = events.select("doc_id", "event_id", "event_type", "lexical_text", "evidence_text", "time_raw", "time_normalized", "confidence", "is_supporting_fact")
     key = F.concat_ws("\u0001", "doc_id", "event_id")
     indexed = events.select(key.alias("key"), "lexical_text")
     seeds = best(bm25(indexed, "key", "lexical_text", questions, "idx", "question", T.fts_terms), "idx", "key", SEEDS).select("idx", "key", "rank")

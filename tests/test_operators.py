@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from docweft import catalogue
 from docweft.functions import rules as R
 from docweft.functions import text as T
-from docweft.operators import adapters, chunking, ekg, graphs, linking, metrics, pairs, ranking, vectors
+from docweft.operators import adapters, chunking, clusters, ekg, graphs, linking, metrics, pairs, ranking, vectors
 from docweft.sources import readers, sinks
 from docweft.streaming import windows
 
@@ -272,3 +272,53 @@ def test_facts_of_all_scripts(spark, tmp_path):
     got = {r.case_id: r.facts for r in catalogue.queries()["facts_sections_all"](spark, str(tmp_path)).collect()}
     assert got == {k: hashlib.md5(t.encode()).hexdigest() for k, t in (("a", "Il a été licencié."), ("b", "Суд решил"))}
     assert one(spark, F.substring(chunking.facts_section(F.col("t")), 1, 18), t="İİİ Statement of Facts: é") == "Statement of Facts"
+
+
+def test_running_total_over_ranges(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "a", None, "b"]), k, rng.randrange(5)) for k in rng.sample(range(1000), 200)]
+    df = spark.createDataFrame(rows, "g string, o int, v int").repartition(5)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {(r.g, r.o): r.running for r in ranking.running_total(df, ["g"], F.col("v"), F.col("o")).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got == {(g, o): sum(w for h, p, w in rows if h == g and p <= o) for g, o, v in rows}
+
+
+def test_chunk_strategies(spark):
+    df = spark.createDataFrame([("d", "one two\n\nthree", ["a", "b", "c"])], "id string, t string, s array<string>")
+    assert chunking.chunk(df, "char", "id", "t", 5, 1).count() > 1 and chunking.chunk(df, "paragraph", "id", "t", 8).count() == 2
+    assert chunking.chunk(df, "sentence", "id", "t", sentences="s", sentence_width=2, sentence_overlap=1).count() == 2 and chunking.chunk(df, "section", "id", "t").count() == 1
+    for bad in ("other", "sentence"):
+        with pytest.raises(ValueError):
+            chunking.chunk(df, bad, "id", "t")
+
+
+def test_clusters(spark):
+    rng = random.Random(2)
+    rows = [(k, [10.0 * (k % 3) + rng.random(), rng.random(), 5.0 * (k % 2) + rng.random()]) for k in range(90)] + [(999, None)]
+    df = spark.createDataFrame(rows, "id int, v array<double>")
+    c = clusters.balanced(df, "id", "v", 3, [1, 2])
+    sizes = sorted(r["count"] for r in c.groupBy("cluster").count().collect())
+    assert sum(sizes) == 90 and sizes[0] >= 10
+    r = clusters.robustness(df, "id", "v", [2, 3], [1, 2]).collect()
+    assert {x.k for x in r} == {2, 3} and all(-1 <= x.least <= x["mean"] <= x.most <= 1 for x in r)
+    w = [x.whitened for x in clusters.whiten(df, "id", "v", 2).collect()]
+    for a in range(2):
+        for b in range(2):
+            assert sum(x[a] * x[b] for x in w) / 89 == pytest.approx(float(a == b), abs=1e-6)
+    f = clusters.fused([(df, "v", 1.0), (df, "v", 0.5)], "id").first().fused
+    assert len(f) == 6 and f[3:] == pytest.approx([x / 2 for x in f[:3]])
+
+
+@pytest.mark.parametrize(
+    "f, text, expected",
+    [
+        (T.time_key, "May 2020", "may 2020"), (T.time_key, '{"start": [null, " 2020-05 "], "end": "x"}', "2020-05"), (T.time_key, "[[], 2019]", "2019"), (T.time_key, " ", None), (T.time_key, None, None),
+        (T.url_path, "https://a.org/x/y?q=1#z", "/x/y"), (lambda c: T.url_page(c, F.lit(3)), "/s?page=2&q=a#top", "/s?q=a&page=3"), (lambda c: T.url_page(c, F.lit(3)), "/s", "/s?page=3"), (T.case_docket, "2_19-CV-01234", "19-cv-01234"), (T.case_docket, "x", None),
+        (lambda c: T.caption_parties(c), "Roe v. Acme V. Co", ["Roe", "Acme V. Co"]),
+    ],
+)
+def test_small_functions(spark, f, text, expected):
+    assert spark.createDataFrame([(text,)], "t string").select(f(F.col("t")).alias("x")).first().x == expected
