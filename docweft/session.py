@@ -25,14 +25,24 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _cuts(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/docweft/{spark.sparkContext.applicationId}"
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Removes what cut wrote in this application; to be called once the results that read it are taken."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_cuts(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and read back from the shared folder, its lineage cut; it survives lost executors.
 
     Written as Parquet, not as an RDD checkpoint, so that later reads still prune columns and the
-    optimiser knows the size. The files lie under <shared dir>/docweft and may go when the job is over.
+    optimiser knows the size. The files lie under <shared dir>/docweft/<application>; drop_cuts removes them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/docweft/{uuid.uuid4().hex}"
+    path = f"{_cuts(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
 
