@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,3 +93,91 @@ def anonymise(text: Column, names: Column) -> Column:
     numbered = F.transform(F.array_distinct(names), lambda x, i: F.struct(F.length(x).alias("n"), x.alias("name"), F.concat(F.lit("[NAME_"), (i + 1).cast("string"), F.lit("]")).alias("tag")))
     ordered = F.reverse(F.array_sort(F.filter(numbered, lambda x: x["n"] > 0)))
     return F.aggregate(ordered, text, lambda acc, x: F.replace(acc, x["name"], x["tag"]))
+
+
+#: Events that a cell of a document's grid holds of each side.
+CELL = 512
+FIELDS = ("main_verb", "event_type", "trigger_text", "time_normalized")
+_NEIGHBOURS = "doc_id string, event_id string, other string, bucket string, priority double, similarity double"
+
+
+def _cosines(a: list, b: list) -> np.ndarray:
+    x, y = (np.array([list(v) for v in side], np.float64) for side in (a, b))
+    n, m = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+    return np.divide(x @ y.T, np.outer(n, m), out=np.zeros((len(a), len(b))), where=np.outer(n, m) > 0)
+
+
+def _shared(a: list, b: list) -> np.ndarray:
+    """How many members two sets share, for all pairs of rows, by products of 0-1 matrices."""
+    ids: dict = {}
+    for s in (*a, *b):
+        for v in s:
+            ids.setdefault(v, len(ids))
+    x, y = np.zeros((len(a), len(ids) + 1), np.float32), np.zeros((len(b), len(ids) + 1), np.float32)
+    for m, side in ((x, a), (y, b)):
+        for k, s in enumerate(side):
+            m[k, [ids[v] for v in s]] = 1
+    return x @ y.T
+
+
+def _neighbours(k: int, least: float):
+    """Of a cell the best k // 2 duplicates and the best other half of related events of each event, by the priorities of the features that two share."""
+    rescue = max(0.42, least - 0.18)
+    quota = {"duplicate": max(1, k // 2), "relation": max(1, k - max(1, k // 2))}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
+        a, b = pdf[pdf["part"] == x], pdf[pdf["part"] == y]
+        col = lambda t, c: [() if v is None else tuple(v) for v in t[c]]
+        sim = np.round(_cosines(col(a, "vector"), col(b, "vector")), 9)
+        same = {f: (lambda p, q: (p[:, None] == q[None, :]) & (p[:, None] != ""))(a[f].fillna("").to_numpy(), b[f].fillna("").to_numpy()) for f in FIELDS}
+        people = _shared(col(a, "participants"), col(b, "participants"))
+        sentence = _shared(col(a, "sentences"), col(b, "sentences")) > 0
+        near = _shared([{v + d for v in s for d in (-2, -1, 0, 1, 2)} for s in col(a, "sentences")], col(b, "sentences")) > 0
+        verb, kind, trigger, time = (same[f] for f in FIELDS)
+        may = (_shared(col(a, "chunks"), col(b, "chunks")) == 0) & (a["event_id"].to_numpy()[:, None] != b["event_id"].to_numpy()[None, :])
+        duplicate = may & (sentence | ((sim >= least) & (verb | kind | trigger | (people > 0))) | ((sim >= rescue) & trigger & (people > 0)))
+        related = may & ~sentence & (((sim >= rescue) & ((people > 0) | time | verb | kind | trigger | near)) | ((sim >= max(0.30, rescue - 0.08)) & (time | (people >= 2) | near)))
+        worth = {
+            "duplicate": sim + 0.40 * sentence + 0.10 * verb + 0.08 * kind + 0.09 * trigger + 0.06 * (people > 0),
+            "relation": sim + 0.18 * time + 0.12 * (people > 0) + 0.08 * (people >= 2) + 0.05 * verb + 0.06 * trigger + 0.10 * near,
+        }
+        out = []
+        for bucket, ok in (("duplicate", duplicate), ("relation", related)):
+            for rows, cols, good, value, s in ((a, b, ok, worth[bucket], sim), (b, a, ok.T, worth[bucket].T, sim.T))[: 1 if x == y else 2]:
+                names, ids, doc = cols["event_id"].to_numpy(), rows["event_id"].to_numpy(), rows["doc_id"].to_numpy()
+                for i in range(len(rows)):
+                    at = np.nonzero(good[i])[0]
+                    at = at[np.lexsort((names[at].astype(str), -np.round(value[i, at], 6)))][: quota[bucket]]
+                    out += [(doc[i], ids[i], names[j], bucket, float(round(value[i, j], 6)), float(s[i, j])) for j in at]
+        return pd.DataFrame(out, columns=["doc_id", "event_id", "other", "bucket", "priority", "similarity"])
+
+    return run
+
+
+def candidate_pairs(events: DataFrame, k: int = 8, least: float = 0.6, cell: int = CELL) -> DataFrame:
+    """(doc_id, a, b, bucket, priority, similarity, rescue): pairs of events of a document that may be the same or related, each event's best k.
+
+    events: (doc_id, event_id, vector, main_verb, event_type, trigger_text, time_normalized, participants, sentences, chunks), one row an event. A pair with a chunk in common is
+    skipped. A pair in both buckets is related, with that priority. A document's events lie in cells of a grid of bounded sides, compared by matrix products; a cell hands on each
+    event's best only, so no document is in one task and pairs never leave a cell.
+    """
+    e = events.filter("doc_id is not null and event_id is not null").select("doc_id", "event_id", "vector", *FIELDS, "participants", "sentences", "chunks")
+    parts = e.groupBy("doc_id").agg(F.ceil(F.count("*") / cell).cast("int").alias("parts"))
+    placed = e.join(parts, "doc_id").withColumn("part", F.pmod(F.xxhash64("event_id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = placed.withColumns({"x": F.least("part", "other"), "y": F.greatest("part", "other")}).drop("parts", "other")
+    told = placed.groupBy("doc_id", "x", "y").applyInPandas(_neighbours(k, least), _NEIGHBOURS)
+    rank = F.row_number().over(Window.partitionBy("doc_id", "event_id", "bucket").orderBy(F.desc("priority"), "other"))
+    quota = F.when(F.col("bucket") == "duplicate", max(1, k // 2)).otherwise(max(1, k - max(1, k // 2)))
+    kept = told.withColumn("rank", rank).filter(F.col("rank") <= quota)
+    pairs = kept.groupBy("doc_id", F.least("event_id", "other").alias("a"), F.greatest("event_id", "other").alias("b")).agg(F.max(F.struct("bucket", "priority", "similarity")).alias("p"))
+    return pairs.select("doc_id", "a", "b", "p.bucket", "p.priority", "p.similarity", (F.col("p.similarity") < least).alias("rescue"))
+
+
+def rescue_pairs(events: DataFrame, chosen: DataFrame, k: int = 8, least: float = 0.6, most: int = 200) -> DataFrame:
+    """(doc_id, a, b, bucket, priority, similarity): of the related pairs by a lower floor that are not chosen yet and have an anchor, the first most of
+    each document by priority, if the cosine of their vectors (of an embedding model) is at least max(0.56, least - 0.04)."""
+    wide = candidate_pairs(events, k, least - 0.30 + 0.18).join(chosen.select("doc_id", "a", "b"), ["doc_id", "a", "b"], "left_anti")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("priority"), "a", "b"))
+    wide = wide.filter(F.col("similarity") >= max(0.24, least - 0.30)).withColumn("rank", first).filter(F.col("rank") <= most)
+    return wide.filter(F.col("similarity") >= max(0.56, least - 0.04)).select("doc_id", "a", "b", F.concat("bucket", F.lit("_semantic_rescue")).alias("bucket"), "priority", "similarity")

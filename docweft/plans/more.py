@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from docweft.catalogue import query
 from docweft.functions import text as T
-from docweft.operators import linking, metrics
+from docweft.operators import linking, metrics, ranking
 from docweft.plans.metrics import JUDGED, judged
-from docweft.session import table
+from docweft.session import cut, table
 
 MATCHED = """m AS (SELECT least(upper(trim(event_a)), upper(trim(event_b))) AS a, greatest(upper(trim(event_a)), upper(trim(event_b))) AS b, max(similarity) AS s FROM event_matches WHERE similarity IS NOT NULL AND upper(trim(event_a)) <> upper(trim(event_b)) GROUP BY 1, 2)"""
 
@@ -174,3 +174,30 @@ def spectral_clusters(spark: SparkSession, d: str) -> DataFrame:
     if g.isEmpty():
         return spark.createDataFrame([], "cluster int, n long")
     return PowerIterationClustering(k=4, maxIter=10, weightCol="similarity").assignClusters(g).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+def _event_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Events with what candidate pairs are told by: a bag of their words, who is named in their evidence, and where it stands."""
+    from docweft.plans import retrieval as R
+
+    e = ranking.latest(table(spark, d, "ekg_events").filter("doc_id is not null and event_id is not null"), ["doc_id", "event_id"], F.col("created_at"))
+    e = e.select(
+        "doc_id", "event_id", "evidence_text", F.lower(T.strip(F.col("main_verb"))).alias("main_verb"), F.upper("event_type").alias("event_type"), T.norm_text(F.col("trigger_text")).alias("trigger_text"), "time_normalized",
+        linking.hashed_bag(F.concat_ws(" ", "event_type", "main_verb", "trigger_text", "evidence_text"), 64).alias("vector"), T.sentence_numbers(F.col("evidence_sentence_ids_json")).alias("sentences"),
+    )
+    people = R._mentions(e, table(spark, d, "entities").filter("doc_id is not null")).groupBy("doc_id", "event_id").agg(F.collect_set("entity_id").alias("participants"))
+    chunks = R.event_chunks(spark, d).groupBy("event_id").agg(F.collect_set("chunk_id").alias("chunks"))
+    return e.join(people, ["doc_id", "event_id"], "left").join(chunks, "event_id", "left")
+
+
+@query()
+def event_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of events of a document that may be the same or related, from a self-join of each document's events. No SQL; tested against brute force."""
+    return linking.candidate_pairs(_event_profiles(spark, d))
+
+
+@query()
+def rescued_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Further pairs by a lower floor, with an anchor and alike vectors."""
+    e = cut(_event_profiles(spark, d))
+    return linking.rescue_pairs(e, linking.candidate_pairs(e))

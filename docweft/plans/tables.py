@@ -201,9 +201,11 @@ def semi_big_spenders(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").join(big, "c_custkey", "left_semi").select("c_custkey", "c_name")
 
 
-@query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT')")
 def anti_customers(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").join(table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left_anti").select("c_custkey")
+    """Customers without an urgent order."""
+    urgent = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").join(urgent, "c_custkey", "left_anti").select("c_custkey")
 
 
 @query("SELECT n_name, r_name, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)")
@@ -251,14 +253,16 @@ def json_property_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    WITH c AS (SELECT DISTINCT doc_id, case_id, text FROM documents WHERE text IS NOT NULL AND case_id IS NOT NULL), p AS (SELECT DISTINCT case_id, docket_number FROM courtlistener_recap WHERE docket_number IS NOT NULL AND docket_number <> '')
-    SELECT c.doc_id, p.docket_number FROM c JOIN p ON c.case_id = p.case_id WHERE contains(c.text, p.docket_number)
+    WITH u AS (SELECT DISTINCT case_id, absolute_url FROM courtlistener_recap WHERE absolute_url IS NOT NULL), p AS (SELECT DISTINCT docket_id FROM courtlistener_recap WHERE docket_id IS NOT NULL)
+    SELECT u.case_id, u.absolute_url, p.docket_id FROM u JOIN p ON contains(u.absolute_url, '/' || p.docket_id || '/')
 """)
 def docket_mentions(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that quote a docket number of their own case: a substring test behind an equality join."""
-    c = table(spark, d, "documents").filter("text is not null and case_id is not null").select("doc_id", "case_id", "text").distinct()
-    p = table(spark, d, "courtlistener_recap").filter("docket_number <> ''").select("case_id", "docket_number").distinct()
-    return c.join(p, "case_id").filter(F.contains("text", F.col("docket_number"))).select("doc_id", "docket_number")
+    """URLs that hold the id of a docket: the numbers of each URL are joined by equality, so no URL meets all dockets."""
+    r = table(spark, d, "courtlistener_recap")
+    u = r.filter("absolute_url is not null").select("case_id", "absolute_url").distinct()
+    u = u.select("*", F.explode(F.array_distinct(F.regexp_extract_all("absolute_url", F.lit("(?<=/)([0-9]+)(?=/)"), F.lit(1)))).alias("number"))
+    p = r.filter("docket_id is not null").select("docket_id", F.col("docket_id").cast("string").alias("number")).distinct()
+    return u.join(p, "number").select("case_id", "absolute_url", "docket_id")
 
 
 @query("""

@@ -322,3 +322,49 @@ def test_clusters(spark):
 )
 def test_small_functions(spark, f, text, expected):
     assert spark.createDataFrame([(text,)], "t string").select(f(F.col("t")).alias("x")).first().x == expected
+
+
+def brute_candidates(events, k, least):
+    """The same rules, pair by pair."""
+    rescue, best = max(0.42, least - 0.18), {}
+    quota = {"duplicate": max(1, k // 2), "relation": max(1, k - max(1, k // 2))}
+    for e in events:
+        for f in events:
+            if e["doc_id"] != f["doc_id"] or e["event_id"] == f["event_id"] or set(e["chunks"] or ()) & set(f["chunks"] or ()):
+                continue
+            u, v = e["vector"], f["vector"]
+            size = (sum(x * x for x in u) * sum(x * x for x in v)) ** 0.5
+            sim = round(sum(x * y for x, y in zip(u, v)) / size, 9) if size else 0.0
+            verb, kind, trigger, time = (bool(e[c]) and e[c] == f[c] for c in linking.FIELDS)
+            people = len(set(e["participants"] or ()) & set(f["participants"] or ()))
+            sentence = bool(set(e["sentences"] or ()) & set(f["sentences"] or ()))
+            near = any(abs(x - y) <= 2 for x in e["sentences"] or () for y in f["sentences"] or ())
+            found = {}
+            if sentence or (sim >= least and (verb or kind or trigger or people)) or (sim >= rescue and trigger and people):
+                found["duplicate"] = sim + 0.4 * sentence + 0.1 * verb + 0.08 * kind + 0.09 * trigger + 0.06 * (people > 0)
+            if not sentence and ((sim >= rescue and (people or time or verb or kind or trigger or near)) or (sim >= max(0.3, rescue - 0.08) and (time or people >= 2 or near))):
+                found["relation"] = sim + 0.18 * time + 0.12 * (people > 0) + 0.08 * (people >= 2) + 0.05 * verb + 0.06 * trigger + 0.1 * near
+            for b, p in found.items():
+                best.setdefault((e["doc_id"], e["event_id"], b), []).append((-round(p, 6), f["event_id"], sim))
+    out = {}
+    for (d, e, b), rows in best.items():
+        for p, f, sim in sorted(rows)[: quota[b]]:
+            key = (d, min(e, f), max(e, f))
+            out[key] = max(out.get(key, ("", 0.0, 0.0)), (b, -p, sim))
+    return {(*k, b, round(p, 5), round(s, 6)) for k, (b, p, s) in out.items()}
+
+
+@pytest.mark.parametrize("cell", [4, 512])
+def test_candidate_pairs(spark, cell):
+    rng = random.Random(8)
+    some = lambda values, n: rng.choice([None, [], rng.sample(values, rng.randrange(1, n))])
+    events = [
+        {"doc_id": f"d{k % 2}", "event_id": f"e{k:02d}", "vector": [float(rng.randrange(3)) for _ in range(4)], "main_verb": rng.choice(["a", "b", None, ""]), "event_type": rng.choice(["X", "Y"]), "trigger_text": rng.choice(["t", "u", None]),
+         "time_normalized": rng.choice(["2020", None]), "participants": some(["p", "q", "r"], 3), "sentences": some(list(range(30)), 3), "chunks": some(["c1", "c2", "c3", "c4"], 2)}
+        for k in range(36)
+    ]
+    schema = "doc_id string, event_id string, vector array<double>, main_verb string, event_type string, trigger_text string, time_normalized string, participants array<string>, sentences array<int>, chunks array<string>"
+    df = spark.createDataFrame([tuple(e.values()) for e in events], schema)
+    got = linking.candidate_pairs(df, 4, 0.6, cell).collect()
+    assert {(r.doc_id, r.a, r.b, r.bucket, round(r.priority, 5), round(r.similarity, 6)) for r in got} == brute_candidates(events, 4, 0.6)
+    assert any(r.rescue for r in got) and any(r.bucket == "duplicate" for r in got)
