@@ -9,6 +9,9 @@ from docweft.functions import text as T
 from docweft.operators import graphs
 from docweft.session import cut
 
+#: Sets with a prefix token that one task compares with the others.
+SLICE = 1000
+
 
 def jaccard_classes(df: DataFrame, key: str, tokens: Column, threshold: float = 0.8) -> DataFrame:
     """(key, class_id, n_links): rows whose token sets reach the Jaccard threshold, as one row per key.
@@ -24,12 +27,15 @@ def jaccard_classes(df: DataFrame, key: str, tokens: Column, threshold: float =
     ranked = words.join(words.groupBy("w").agg(F.count("*").alias("df")), "w")
     place = F.row_number().over(Window.partitionBy("digest").orderBy("df", "w"))
     prefix = ranked.withColumn("k", place).filter(F.col("k") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).select("digest", "n", "w", "k")
-    a = prefix.select(F.col("digest").alias("a"), F.col("n").alias("na"), "w", F.col("k").alias("ka"))
-    b = prefix.select(F.col("digest").alias("b"), F.col("n").alias("nb"), "w", F.col("k").alias("kb"))
+    # A token in very many prefixes is met in slices, so no task holds all of its sets.
+    slices = prefix.groupBy("w").agg(F.count("*").alias("m")).filter("m > 1").select("w", F.ceil(F.col("m") / SLICE).cast("int").alias("slices"))
+    prefix = cut(prefix.join(slices, "w"))
+    a = prefix.select(F.col("digest").alias("a"), F.col("n").alias("na"), "w", F.col("k").alias("ka"), F.pmod(F.xxhash64("digest"), F.col("slices")).cast("int").alias("slice"))
+    b = prefix.select(F.col("digest").alias("b"), F.col("n").alias("nb"), "w", F.col("k").alias("kb"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
     # Sizes must agree, and what is left after the shared token must still suffice.
     rest = 1 + F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb"))
     need = threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9
-    near = a.join(b, "w").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9) & (F.least("ka", "kb") - 1 + rest >= need)).select("a", "b").distinct()
+    near = a.join(b, ["w", "slice"]).filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9) & (F.least("ka", "kb") - 1 + rest >= need)).select("a", "b").distinct()
     full = near.join(reps.select(F.col("digest").alias("a"), F.col("t").alias("ta")), "a").join(reps.select(F.col("digest").alias("b"), F.col("t").alias("tb")), "b")
     linked = cut(full.filter(T.jaccard(F.col("ta"), F.col("tb")) >= threshold - 1e-12).select("a", "b"))
     size = reps.select("digest", "copies")

@@ -25,13 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def _cuts(spark: SparkSession) -> str:
+def cuts_dir(spark: SparkSession) -> str:
+    """Where this application cuts lineage and runs streams."""
     return f"{shared_dir(spark).rstrip('/')}/docweft/{spark.sparkContext.applicationId}"
 
 
 def drop_cuts(spark: SparkSession) -> None:
     """Removes what cut wrote in this application; to be called once the results that read it are taken."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_cuts(spark))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cuts_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -42,7 +43,7 @@ def cut(df: DataFrame) -> DataFrame:
     optimiser knows the size. The files lie under <shared dir>/docweft/<application>; drop_cuts removes them.
     """
     spark = df.sparkSession
-    path = f"{_cuts(spark)}/{uuid.uuid4().hex}"
+    path = f"{cuts_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
 

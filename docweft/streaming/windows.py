@@ -9,8 +9,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from docweft.session import shared_dir
+from docweft.session import cuts_dir
 
 
 def read_stream(spark: SparkSession, path: str, time: str, files_per_batch: int = 1000) -> DataFrame:
@@ -44,18 +45,27 @@ def distinct_within(df: DataFrame, time: str, delay: str, *keys: str) -> DataFra
     return df.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def run_to_end(df: DataFrame, mode: str = "append") -> DataFrame:
+def run_to_end(df: DataFrame, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
     """All that the stream gives from what is there now, exactly once, written to the shared folder and read back.
 
-    Windows that the watermark has not passed stay open, unless mode is complete, which writes the last state.
+    append: windows that the watermark has not passed stay open. update: every batch writes the rows that changed into a folder of its own, and the last state of
+    each of the keys is read, so windows still open come out too, while the state behind the watermark is dropped. complete: the last state as a whole.
     """
     spark = df.sparkSession
-    base = f"{shared_dir(spark).rstrip('/')}/docweft/{uuid.uuid4().hex}"
+    base = f"{cuts_dir(spark)}/{uuid.uuid4().hex}"
     out, state = f"{base}/out", f"{base}/state"
     writer = df.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
     if mode == "append":
         q = writer.format("parquet").option("path", out).outputMode("append").start()
+    elif mode == "update":
+        # A batch that runs again overwrites its own folder.
+        q = writer.outputMode(mode).foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")).start()
     else:
         q = writer.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
     q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(out)
+    if mode != "update":
+        return spark.read.schema(df.schema).parquet(out)
+    rows = spark.read.schema(StructType([*df.schema.fields, StructField("batch", LongType())])).parquet(out)
+    rest = [c for c in df.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max(F.struct("batch", *rest)).alias("x"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"x.{c}").alias(c) for c in df.columns])
