@@ -368,3 +368,15 @@ def test_candidate_pairs(spark, cell):
     got = linking.candidate_pairs(df, 4, 0.6, cell).collect()
     assert {(r.doc_id, r.a, r.b, r.bucket, round(r.priority, 5), round(r.similarity, 6)) for r in got} == brute_candidates(events, 4, 0.6)
     assert any(r.rescue for r in got) and any(r.bucket == "duplicate" for r in got)
+
+
+@pytest.mark.parametrize(
+    "measure, units, value",
+    [
+        ("kappa", ["MMMMM", "MMMMM", "TBTMT", "MMMMM"], 0.477612), ("kappa", ["MMMTM", "MMMMM", "TTBTT", "MMMMM"], 0.550562), ("kappa", ["HHHHB", "HHHHH", "HHHHH", "HHHHH"], -0.052632),
+        ("alpha", ["MMMMM", "MMMMM", "MMMMM", "TBTMT", "MMMMM"], 0.497126), ("alpha", ["MMMTM", "BMMMB", "MMMMM", "TTBTT", "MMMMM"], 0.420530),
+    ],
+)
+def test_agreement_of_known_ratings(spark, measure, units, value):
+    f = metrics.fleiss_kappa if measure == "kappa" else metrics.krippendorff_alpha
+    assert f(ratings(spark, units), ["item"], "c").first()[measure] == pytest.approx(value, abs=1e-6)
