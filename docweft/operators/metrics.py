@@ -64,13 +64,16 @@ def fleiss_kappa(ratings: DataFrame, item: list[str], category: str) -> DataFram
 
 
 def krippendorff_alpha(ratings: DataFrame, unit: list[str], category: str) -> DataFrame:
-    """One row (n_units, alpha), nominal; units with one rating are skipped; all alike gives 1."""
+    """One row (n_units, alpha), nominal; units with one rating are skipped; all alike gives 1.
+
+    The expected disagreement is that of draws with replacement, 1 less the sum of the squared shares of the categories, as in the published values.
+    """
     n = ratings.filter(F.col(category).isNotNull()).select(F.struct(*unit).alias("__i"), F.col(category).alias("__k")).groupBy("__i", "__k").agg(F.count("*").alias("c"))
     per = n.groupBy("__i").agg(F.sum("c").alias("m"), F.collect_list(F.struct(F.col("__k").alias("cat"), "c")).alias("l")).filter("m > 1")
     inner = F.aggregate("l", F.lit(0).cast("long"), lambda acc, x: acc + x["c"] * (x["c"] - 1))
     agree = per.agg(F.count("*").alias("n_units"), F.sum("m").alias("n"), F.sum(inner / (F.col("m") - 1)).alias("same"))
-    cats = per.select(F.explode("l").alias("x")).groupBy("x.cat").agg(F.sum("x.c").alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("chance"))
-    do, de = 1 - F.col("same") / F.col("n"), 1 - F.col("chance") / (F.col("n") * (F.col("n") - 1))
+    cats = per.select(F.explode("l").alias("x")).groupBy("x.cat").agg(F.sum("x.c").alias("c")).agg(F.sum(F.col("c") * F.col("c")).alias("chance"))
+    do, de = 1 - F.col("same") / F.col("n"), 1 - F.col("chance") / (F.col("n") * F.col("n"))
     return agree.crossJoin(cats).select("n_units", F.when(de <= 1e-15, F.when(do <= 1e-15, 1.0)).otherwise(1 - do / de).alias("alpha"))
 
 

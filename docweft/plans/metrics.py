@@ -70,8 +70,8 @@ def fleiss_kappa(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
     WITH {JUDGED}, n AS (SELECT dataset_id, item_index, y, count(*) AS c FROM w GROUP BY 1, 2, 3), p AS (SELECT dataset_id, item_index, sum(c) AS m, sum(c * (c - 1)) AS same FROM n GROUP BY 1, 2 HAVING sum(c) > 1),
-    a AS (SELECT count(*) AS n_units, sum(m) AS n, sum(same / (m - 1)) AS same FROM p), c AS (SELECT sum(c * (c - 1)) AS chance FROM (SELECT y, sum(c) AS c FROM n JOIN p USING (dataset_id, item_index) GROUP BY 1))
-    SELECT n_units, round(1 - (1 - same / n) / (1 - chance / (n * (n - 1))), 6) AS alpha FROM a, c
+    a AS (SELECT count(*) AS n_units, sum(m) AS n, sum(same / (m - 1)) AS same FROM p), c AS (SELECT sum(c * c) AS chance FROM (SELECT y, sum(c) AS c FROM n JOIN p USING (dataset_id, item_index) GROUP BY 1))
+    SELECT n_units, round(1 - (1 - same / n) / (1 - chance / (n * n)), 6) AS alpha FROM a, c
 """)
 def krippendorff_alpha(spark: SparkSession, d: str) -> DataFrame:
     return metrics.krippendorff_alpha(votes(spark, d), ["dataset_id", "item_index"], "y").select("n_units", F.round("alpha", 6).alias("alpha"))
