@@ -102,6 +102,49 @@ def nearest(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int, me
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _label_sums(ids: np.ndarray, q: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for pdf in batches:
+            for label, part in pdf.groupby("label", dropna=False):
+                x = np.stack(part["v"].to_numpy()).astype(np.float64)
+                d = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T, 0)).sum(1)
+                label = None if pd.isna(label) else label
+                total, n = sums.get(label, (0.0, 0))
+                sums[label] = (total + d, n + len(part))
+        for label, (total, n) in sums.items():
+            yield pd.DataFrame({"query_id": ids, "label": [label] * len(ids), "total": total, "n": n})
+
+    return run
+
+
+def label_distances(df: DataFrame, queries: DataFrame, key: str, vector: str, label: str) -> DataFrame:
+    """(query_id, label, mean, n): the mean Euclidean distance of each query to all rows of each label, itself included.
+
+    Blocks of queries go to all partitions, which send one sum for each query and label; no pair leaves a task. Null vectors are left out.
+    """
+    rows = df.filter(F.col(vector).isNotNull()).select(F.col(label).alias("label"), F.col(vector).alias("v"))
+    q = queries.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
+    schema = f"query_id long, label {dict(rows.dtypes)['label']}, total double, n long"
+    out, held = None, []
+
+    def flush() -> None:
+        nonlocal out, held
+        ids, x = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.float64)
+        part = rows.mapInPandas(_label_sums(ids, x), schema)
+        out, held = (part if out is None else out.unionByName(part)), []
+
+    for r in q.toLocalIterator():
+        held.append(r)
+        if len(held) == QUERY_BLOCK:
+            flush()
+    if held:
+        flush()
+    if out is None:
+        out = rows.limit(0).select(F.lit(0).cast("long").alias("query_id"), "label", F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("n"))
+    return out.groupBy("query_id", "label").agg((F.sum("total") / F.sum("n")).alias("mean"), F.sum("n").alias("n"))
+
+
 def davies_bouldin(df: DataFrame, label: str, vector: str) -> DataFrame:
     """One row (n_clusters, index): the mean over clusters of the worst ratio of scatter to centroid distance. Clusters are few."""
     c = centroids(df, label, vector)

@@ -74,9 +74,9 @@ def standardised(spark: SparkSession, d: str) -> DataFrame:
 def silhouettes(spark: SparkSession, d: str) -> DataFrame:
     """Silhouettes of the rows whose id is divisible by 100 against all rows; a includes the row itself."""
     e = table(spark, d, "embeddings")
-    q = e.filter("vec_id % 100 = 0").select("vec_id", F.col("label").alias("own"), F.col("embedding").alias("qv"))
-    p = e.select("label", "embedding").crossJoin(F.broadcast(q))
-    m = p.groupBy("vec_id", "own", "label").agg(F.avg(vectors.distance(F.col("embedding"), F.col("qv").cast("array<double>"))).alias("m"))
+    q = e.filter("vec_id % 100 = 0")
+    m = vectors.label_distances(e, q, "vec_id", "embedding", "label").select(F.col("query_id").alias("vec_id"), "label", F.col("mean").alias("m"))
+    m = m.join(q.select("vec_id", F.col("label").alias("own")).distinct(), "vec_id")
     s = m.groupBy("vec_id").agg(F.max(F.when(F.col("label") == F.col("own"), F.col("m"))).alias("a"), F.min(F.when(F.col("label") != F.col("own"), F.col("m"))).alias("b"))
     return s.select("vec_id", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round((F.col("b") - F.col("a")) / F.greatest("a", "b"), 6).alias("silhouette"))
 
