@@ -2,48 +2,192 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweft.functions import text as T
 from docweft.operators import graphs
 from docweft.session import cut
 
-#: Sets with a prefix token that one task compares with the others.
-SLICE = 1000
+#: Cells in which the tokens are counted, for an order from rare to common.
+COUNTED = 1 << 16
+#: Shared tokens that a group of sets may be told by.
+DEPTH = 4
+#: Sets with a token from which groups are split by a second shared token.
+SLICE = 50_000
+#: Sets that a task takes in at once, and pairs and longer groups that it makes of them at once.
+BATCH, AT_ONCE = 50_000, 2_000_000
+#: By how much a step that splits a group costs more than a comparison of two sets.
+COST = 16
+_ENTRY = "w long, slice int, id long, n int, tail array<long>, b0 long, b1 long"
+
+
+def _depth(threshold: float) -> int:
+    """Two sets that are alike but not equal share so many tokens at least, DEPTH at most."""
+    return DEPTH if threshold >= 1 else max(1, min(DEPTH, math.ceil(threshold / (1 - threshold) - 1e-9)))
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of an array column, and where each row's begin and the last ends."""
+    at = column.offsets.to_numpy()
+    return column.values.to_numpy()[at[0] : at[-1]], at - at[0]
+
+
+def _ranges(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For sizes (2, 3): rows 0 0 1 1 1, and 0 1 0 1 2."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _entries(counts: np.ndarray, threshold: float) -> Callable:
+    """Of (id, hashes of the tokens) one row for each token of the prefix, with the tokens of the longer prefix after it and the set as 128 bits."""
+    depth = _depth(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, (h, at) = batch.column(0).to_numpy(), _flat(batch.column(1))
+            n = np.diff(at)
+            row, _ = _ranges(n)
+            order = np.lexsort((h, counts[h & (COUNTED - 1)], row))
+            h = h[order]
+            bit = (h >> 20).view(np.uint64) & np.uint64(127)
+            flags = np.left_shift(np.uint64(1), bit & np.uint64(63))
+            bits = [np.bitwise_or.reduceat(np.where((bit >= 64) == high, flags, np.uint64(0)), at[:-1]).view(np.int64) for high in (False, True)]
+            prefix = (n - np.ceil(threshold * n - 1e-9) + 1).astype(np.int64)
+            row, k = _ranges(np.minimum(prefix, n))
+            first = at[row] + k
+            tails = np.minimum(prefix + depth - 1, n)[row] - k - 1
+            # A common token is met in slices of the tokens that are shared next.
+            slices = counts[h[first] & (COUNTED - 1)] // SLICE + 1 if depth > 1 else np.ones(len(row), np.int64)
+            of, i = _ranges(np.where(slices > 1, np.minimum(tails, prefix[row] - k), 1))
+            cell = np.where(slices[of] > 1, (h[np.minimum(first[of] + 1 + i, len(h) - 1)] >> 8) % slices[of], 0)
+            of, cell = np.divmod(np.unique(of * slices.max() + cell), slices.max())
+            row, first, tails = row[of], first[of], tails[of]
+            _, i = _ranges(tails)
+            tail = pa.ListArray.from_arrays(np.r_[0, np.cumsum(tails)].astype(np.int32), pa.array(h[np.repeat(first, tails) + 1 + i]))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[first], cell.astype(np.int32), ids[row], n[row].astype(np.int32))] + [tail] + [pa.array(b[row]) for b in bits], names=[c.split()[0] for c in _ENTRY.split(", ")])
+
+    return run
+
+
+class _Meeting:
+    """Sets with a token in common: those that may reach the threshold, by pairs of ids.
+
+    A group of sets that share their first tokens is split by the token that they share next, as long as that costs less than to compare all pairs
+    and the sets must share as many. Sets are compared as bits: a bit that one of them has needs a token that the other has not.
+    """
+
+    def __init__(self, threshold: float, ids: np.ndarray, n: np.ndarray, tail: np.ndarray, at: np.ndarray, bits: list[np.ndarray]):
+        self.threshold, self.depth = threshold, _depth(threshold)
+        self.ids, self.n, self.tail, self.at, self.bits = ids, n, tail, at, bits
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def split(self, group: np.ndarray, row: np.ndarray, k: np.ndarray, level: int) -> None:
+        """Entries (group, row, how many tokens of the row's tail are used), sorted by group."""
+        start = np.nonzero(np.r_[True, group[1:] != group[:-1]])[0]
+        m = np.diff(np.r_[start, len(group)])
+        steps = np.maximum(0, np.diff(self.at)[row] - k - (self.depth - 1 - level))
+        wide = (m.astype(float) ** 2 > COST * np.add.reduceat(steps, start)) & (m > 1) if level < self.depth else np.zeros(len(m), bool)
+        self.compare(start[(m > 1) & ~wide], m[(m > 1) & ~wide], row)
+        of = np.repeat(wide, m)
+        group, row, k, steps = group[of], row[of], k[of], steps[of]
+        if not len(group):
+            return
+        # Whole groups at once, as many as fit.
+        firsts = np.nonzero(np.r_[True, group[1:] != group[:-1]])[0]
+        before = (np.cumsum(steps) - steps)[firsts]
+        for part in np.split(np.arange(len(firsts)), np.nonzero(np.diff(before // AT_ONCE))[0] + 1):
+            lo, hi = firsts[part[0]], firsts[part[-1] + 1] if part[-1] + 1 < len(firsts) else len(group)
+            e, i = _ranges(steps[lo:hi])
+            g, r, used = group[lo:hi][e], row[lo:hi][e], k[lo:hi][e] + i
+            token = self.tail[self.at[r] + used]
+            order = np.lexsort((token, g))
+            g, token = g[order], token[order]
+            new = np.cumsum(np.r_[True, (g[1:] != g[:-1]) | (token[1:] != token[:-1])]) if len(g) else g
+            if len(g):
+                self.split(new, r[order], used[order] + 1, level + 1)
+
+    def compare(self, start: np.ndarray, m: np.ndarray, row: np.ndarray) -> None:
+        """All pairs of each group, a part of the pairs at once."""
+        _, i = _ranges(m)
+        left, at = np.repeat(m, m) - 1 - i, np.repeat(start, m) + i
+        before = np.cumsum(left) - left
+        for part in np.split(np.arange(len(at)), np.nonzero(np.diff(before // AT_ONCE))[0] + 1):
+            e, i = _ranges(left[part])
+            a, b = row[at[part][e]], row[at[part][e] + 1 + i]
+            na, nb = self.n[a], self.n[b]
+            differ = sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in self.bits)
+            ok = (differ <= (1 - self.threshold) / (1 + self.threshold) * (na + nb) + 1e-9) & (np.minimum(na, nb) >= self.threshold * np.maximum(na, nb) - 1e-9) & (self.ids[a] != self.ids[b])
+            x, y = self.ids[a[ok]], self.ids[b[ok]]
+            self.found.append((np.minimum(x, y), np.maximum(x, y)))
+
+
+def _meet(threshold: float) -> Callable:
+    """Rows of _ENTRY come sorted by token and slice, and a group may span batches; whole groups are met, BATCH sets or more at once."""
+
+    def met(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        w, cell, ids, n, b0, b1 = (t[c].combine_chunks().to_numpy() if t.num_rows else np.zeros(0, np.int64) for c in ("w", "slice", "id", "n", "b0", "b1"))
+        pairs = np.zeros((2, 0), np.int64)
+        if len(w):
+            tail, at = _flat(t["tail"].combine_chunks())
+            meeting = _Meeting(threshold, ids, n.astype(np.int64), tail, at, [b0, b1])
+            group = np.cumsum(np.r_[True, (w[1:] != w[:-1]) | (cell[1:] != cell[:-1])])
+            meeting.split(group, np.arange(len(w)), np.zeros(len(w), np.int64), 1)
+            if meeting.found:
+                pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*meeting.found)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= BATCH:
+                w, cell = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                last = np.nonzero((w != w[-1]) | (cell != cell[-1]))[0]
+                if len(last):  # the last group may go on
+                    held[-1] = batch.slice(0, last[-1] + 1)
+                    yield met(held)
+                    held = [batch.slice(last[-1] + 1)]
+        if held:
+            yield met(held)
+
+    return run
 
 
 def jaccard_classes(df: DataFrame, key: str, tokens: Column, threshold: float = 0.8) -> DataFrame:
     """(key, class_id, n_links): rows whose token sets reach the Jaccard threshold, as one row per key.
 
-    Equal sets are one class first, so copies are never paired; representatives of classes are joined on the rare tokens of
-    their prefixes, which every pair over the threshold must share, and verified. class_id is the smallest key linked
-    directly or through others, n_links the number of other keys linked directly. Empty and null sets link to nothing.
+    Equal sets are one class first, so copies are never paired. Representatives of classes that reach the threshold share their first tokens, from rare
+    to common, within prefixes that are as much longer; they meet by these, what passes as bits is verified, and only that is shuffled. class_id is
+    the smallest key linked directly or through others, n_links the number of other keys linked directly. Empty and null sets link to nothing.
     """
-    sets = df.select(key, F.array_sort(F.array_distinct(tokens)).alias("t")).withColumn("digest", F.sha2(F.to_json("t"), 256))
-    members = cut(sets.filter("size(t) > 0").select(key, "digest"))
-    reps = cut(sets.filter("size(t) > 0").groupBy("digest").agg(F.first("t").alias("t"), F.min(key).alias("rep"), F.count_distinct(key).alias("copies")))
-    words = reps.select("digest", F.size("t").alias("n"), F.explode("t").alias("w"))
-    ranked = words.join(words.groupBy("w").agg(F.count("*").alias("df")), "w")
-    place = F.row_number().over(Window.partitionBy("digest").orderBy("df", "w"))
-    prefix = ranked.withColumn("k", place).filter(F.col("k") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).select("digest", "n", "w", "k")
-    # A token in very many prefixes is met in slices, so no task holds all of its sets.
-    slices = prefix.groupBy("w").agg(F.count("*").alias("m")).filter("m > 1").select("w", F.ceil(F.col("m") / SLICE).cast("int").alias("slices"))
-    prefix = cut(prefix.join(slices, "w"))
-    a = prefix.select(F.col("digest").alias("a"), F.col("n").alias("na"), "w", F.col("k").alias("ka"), F.pmod(F.xxhash64("digest"), F.col("slices")).cast("int").alias("slice"))
-    b = prefix.select(F.col("digest").alias("b"), F.col("n").alias("nb"), "w", F.col("k").alias("kb"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
-    # Sizes must agree, and what is left after the shared token must still suffice.
-    rest = 1 + F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb"))
-    need = threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9
-    near = a.join(b, ["w", "slice"]).filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9) & (F.least("ka", "kb") - 1 + rest >= need)).select("a", "b").distinct()
-    full = near.join(reps.select(F.col("digest").alias("a"), F.col("t").alias("ta")), "a").join(reps.select(F.col("digest").alias("b"), F.col("t").alias("tb")), "b")
+    sets = df.select(key, F.array_sort(F.array_distinct(tokens)).alias("t")).filter("size(t) > 0").withColumn("digest", F.unhex(F.sha2(F.to_json("t"), 256)))
+    members = cut(sets.select(key, "digest"))
+    reps = cut(sets.groupBy("digest").agg(F.first("t").alias("t"), F.min(key).alias("rep"), F.count_distinct(key).alias("copies")).withColumn("id", F.monotonically_increasing_id()))
+    hashes = reps.select("id", F.transform("t", lambda x: F.xxhash64(x)).alias("h"))
+    counts = np.zeros(COUNTED, np.int64)
+    for cell, m in hashes.select(F.explode("h").alias("h")).groupBy((F.col("h").bitwiseAND(F.lit(COUNTED - 1))).alias("cell")).agg(F.count("*")).collect():
+        counts[cell] = m
+    entries = hashes.mapInArrow(_entries(counts, threshold), _ENTRY).repartition("w", "slice").sortWithinPartitions("w", "slice")
+    near = entries.mapInArrow(_meet(threshold), "a long, b long").distinct()
+    full = near.join(reps.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(reps.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
     linked = cut(full.filter(T.jaccard(F.col("ta"), F.col("tb")) >= threshold - 1e-12).select("a", "b"))
-    size = reps.select("digest", "copies")
-    partners = graphs.both_ways(linked).join(size.withColumnRenamed("digest", "dst"), "dst").groupBy(F.col("src").alias("digest")).agg(F.sum("copies").alias("others"))
-    groups = graphs.components(linked).select(F.col("id").alias("digest"), "component")
-    of = reps.select("digest", "rep", "copies").join(groups, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    size = reps.select("id", "copies")
+    partners = graphs.both_ways(linked).join(size.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("copies").alias("others"))
+    groups = graphs.components(linked).select(F.col("id").cast("long").alias("id"), F.col("component").cast("long").alias("component"))
+    of = reps.select("id", "digest", "rep", "copies").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     heads = of.groupBy("component").agg(F.min("rep").alias("class_id"))
-    info = of.join(heads, "component").join(partners, "digest", "left").select("digest", "class_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    info = of.join(heads, "component").join(partners, "id", "left").select("digest", "class_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return members.join(info, "digest").select(key, "class_id", "n_links").distinct()
 
 

@@ -134,6 +134,39 @@ def test_jaccard_classes_against_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("threshold, slice", [(0.4, 3), (0.7, 3), (0.8, 50_000)])
+def test_jaccard_pairs_of_few_words(spark, monkeypatch, threshold, slice):
+    """A common token is met in slices; links are those of brute force."""
+    monkeypatch.setattr(pairs, "SLICE", slice)
+    rng = random.Random(5)
+    sets = {k: {f"w{min(rng.randrange(1, 15), rng.randrange(1, 15))}" for _ in range(rng.randrange(1, 14))} for k in range(150)}
+    df = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "id long, t array<string>").coalesce(1)
+    got = {r.id: r.n_links for r in pairs.jaccard_classes(df, "id", F.col("t"), threshold).collect()}
+    assert got == {k: sum(1 for j, w in sets.items() if j != k and len(v & w) / len(v | w) >= threshold - 1e-12) for k, v in sets.items()}
+
+
+@pytest.mark.parametrize("cost", [0, 16, 1e9])
+def test_alike_templates_make_few_candidates(monkeypatch, cost):
+    """Sentences of a few patterns share rare words with many others; hardly any pair is handed on, whether groups are split as far as may be or not at all."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng, n = np.random.default_rng(1), 6000
+    h = np.array([[*rng.choice(40, 3, replace=False), *(100 + rng.choice(60, 4, replace=False)), *range(1000 + 20 * (k % 5), 1009 + 20 * (k % 5))] for k in range(n)], np.int64) * 0x9E3779B97F4A7C1
+    h[3000:3300] = h[:300]
+    h[3000:3300, 2] = np.arange(300)
+    monkeypatch.setattr(pairs, "COST", cost)
+    counts = np.bincount(h.ravel() & (pairs.COUNTED - 1), minlength=pairs.COUNTED)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.ListArray.from_arrays(np.arange(0, h.size + 1, h.shape[1], dtype=np.int32), pa.array(h.ravel()))], names=["id", "h"])
+    entries = pa.Table.from_batches(list(pairs._entries(counts, 0.8)([batch]))).sort_by([("w", "ascending"), ("slice", "ascending")])
+    got = {(a, b) for out in pairs._meet(0.8)(entries.combine_chunks().to_batches(max_chunksize=1000)) for a, b in zip(*(c.to_pylist() for c in out.columns))}
+    one = np.zeros((n, len(names := np.unique(h))), np.float32)
+    one[np.arange(n)[:, None], np.searchsorted(names, h)] = 1
+    both = one @ one.T
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(both / (2 * h.shape[1] - both) >= 0.8, 1)))}
+    assert len(want) >= 300 and want <= got and len(got) < 3 * len(want)
+
+
 def test_capped_pairs_equal_one_pass(spark):
     import random
 
