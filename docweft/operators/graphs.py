@@ -74,21 +74,26 @@ def _unite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that is linked directly or through others; ids are compared as strings.
 
-    Every task first unites the edges that it holds. Labels then go to neighbours and jump to the label of the label, so rounds grow with
-    the logarithm of the longest chain. Partial minima are taken before each shuffle. Each round is written to the shared folder.
+    Every task first unites the edges that it holds. Each vertex then becomes the neighbour of the lowest rank, and edges lie between what their ends became. Ranks
+    are drawn anew each round, so about half of the vertices of a chain go, however its ids are ordered, and rounds grow with the logarithm of its length. Partial
+    minima are taken before each shuffle. Each round is written to the shared folder.
     """
     known = edges.filter("a is not null and b is not null").select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
-    links = cut(both_ways(known.distinct().mapInPandas(_unite, "a string, b string")).distinct())
-    labels = cut(links.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("near")).select("id", F.least("id", "near").alias("component")))
-    while True:
-        heard = links.join(labels, F.col("dst") == F.col("id")).groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
-        near = labels.join(heard, "id", "left").select("id", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("old"))
-        # Whoever is a label tells its new label to all that carry it; that is the jump.
-        jump = near.filter("component <> id").select(F.col("id").alias("component"), F.col("component").alias("next"))
-        after = cut(near.join(jump, "component", "left").select("id", F.least("component", F.coalesce("next", "component")).alias("component"), (F.least("component", F.coalesce("next", "component")) != F.col("old")).alias("moved")))
-        labels = after.select("id", "component")
-        if after.filter("moved").isEmpty():
-            return labels
+    united = lambda x: x.distinct().mapInPandas(_unite, "a string, b string")
+    left = cut(united(known))
+    labels = left.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct()
+    left, k = left.filter("a <> b"), 0
+    while not left.isEmpty():
+        ranked = lambda c: F.struct(F.xxhash64(c, F.lit(k)).alias("rank"), F.col(c).alias("id"))  # noqa: B023, E731
+        lowest = both_ways(left).groupBy("src").agg(F.min(ranked("dst")).alias("near"))
+        step = cut(lowest.select(F.col("src").alias("was"), F.least(ranked("src"), "near")["id"].alias("next")))
+        of = lambda c: step.select(F.col("was").alias(c), F.col("next").alias(f"{c}_next"))  # noqa: B023, E731
+        moved = left.join(of("a"), "a").join(of("b"), "b").filter("a_next <> b_next")
+        left = cut(united(moved.select(F.least("a_next", "b_next").alias("a"), F.greatest("a_next", "b_next").alias("b"))).filter("a <> b"))
+        labels = cut(labels.join(of("label"), "label", "left").select("id", F.coalesce("label_next", "label").alias("label")))
+        k += 1
+    heads = labels.groupBy("label").agg(F.min("id").alias("component"))
+    return labels.join(heads, "label").select("id", "component")
 
 
 #: Levels of ids that one written round of on_cycles peels off.

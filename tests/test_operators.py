@@ -10,7 +10,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from docweft import catalogue
+from docweft import catalogue, session
 from docweft.functions import rules as R
 from docweft.functions import text as T
 from docweft.operators import adapters, chunking, clusters, ekg, graphs, linking, metrics, pairs, ranking, vectors
@@ -118,6 +118,28 @@ def test_vectors(spark):
     assert vectors.nearest(df, df.filter("id = 99"), "id", "v", 2).count() == 0
 
 
+def test_components_of_long_chains_in_few_rounds(spark, monkeypatch):
+    """Edges of a chain lie in many tasks, so no task unites it; rounds must not grow with its length."""
+    rng, n, cuts = random.Random(4), 400, []
+    ids = [f"{k:04d}" for k in rng.sample(range(n), n)]
+    chain = list(zip(ids, ids[1:])) + [("x", "x"), ("y", "z"), (None, "y")]
+
+    def counted(df):
+        cuts.append(1)
+        assert len(cuts) <= 31
+        return session.cut(df)
+
+    monkeypatch.setattr(graphs, "cut", counted)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = {(r.id, r.component) for r in graphs.components(spark.createDataFrame(chain, "a string, b string")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == {(v, "0000") for v in ids} | {("x", "x"), ("y", "y"), ("z", "y")}
+
+
 def test_jaccard_classes_against_brute_force(spark):
     import random
 
