@@ -167,6 +167,16 @@ def test_jaccard_pairs_of_few_words(spark, monkeypatch, threshold, slice):
     assert got == {k: sum(1 for j, w in sets.items() if j != k and len(v & w) / len(v | w) >= threshold - 1e-12) for k, v in sets.items()}
 
 
+def test_jaccard_classes_of_chains(spark):
+    """A class goes on through links, is named by its smallest key, and holds copies of its sets."""
+    words = [f"w{j}" for j in range(30)]
+    sets = {f"k{90 - i}": words[i : i + 10] for i in range(12)} | {"k00": words[11:21], "k50": ["x"] * 3, "k51": ["x"], "k52": ["y", "z"], "k53": []}
+    df = spark.createDataFrame(list(sets.items()), "id string, t array<string>")
+    got = {r.id: (r.class_id, r.n_links) for r in pairs.jaccard_classes(df, "id", F.col("t")).collect()}
+    chain = {f"k{90 - i}": ("k00", (i > 0) + (i < 11) + (i in (10, 11))) for i in range(12)} | {"k00": ("k00", 2)}
+    assert got == chain | {"k50": ("k50", 1), "k51": ("k50", 1), "k52": ("k52", 0)}
+
+
 @pytest.mark.parametrize("cost", [0, 16, 1e9])
 def test_alike_templates_make_few_candidates(monkeypatch, cost):
     """Sentences of a few patterns share rare words with many others; hardly any pair is handed on, whether groups are split as far as may be or not at all."""
