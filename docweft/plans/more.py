@@ -186,7 +186,13 @@ def _event_profiles(spark: SparkSession, d: str) -> DataFrame:
         linking.hashed_bag(F.concat_ws(" ", "event_type", "main_verb", "trigger_text", "evidence_text"), 64).alias("vector"), T.sentence_numbers(F.col("evidence_sentence_ids_json")).alias("sentences"),
     )
     people = R._mentions(e, table(spark, d, "entities").filter("doc_id is not null")).groupBy("doc_id", "event_id").agg(F.collect_set("entity_id").alias("participants"))
-    chunks = R.event_chunks(spark, d).groupBy("event_id").agg(F.collect_set("chunk_id").alias("chunks"))
+    # As event_chunks, by hashes of sentences and chunks: only whether two events share a chunk counts.
+    ids = F.transform(F.regexp_extract_all("evidence_sentence_ids_json", F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("int"))
+    at = table(spark, d, "ekg_events").filter("doc_id is not null and event_id is not null").select("event_id", "doc_id", F.explode(F.array_distinct(ids)).alias("sid"))
+    stretch = lambda c: F.floor(F.col(c) / 16)  # noqa: E731  a row for 16 sentences of a chunk
+    c = table(spark, d, "chunks").filter("doc_id is not null and chunk_id is not null and start_sentence_id <= end_sentence_id").select("doc_id", F.xxhash64("chunk_id").alias("chunk"), F.col("start_sentence_id").alias("first"), F.col("end_sentence_id").alias("last"))
+    c = c.withColumn("stretch", F.explode(F.sequence(stretch("first"), stretch("last")))).select(F.xxhash64("doc_id", "stretch").alias("at"), "chunk", "first", "last")
+    chunks = at.select("event_id", "sid", F.xxhash64("doc_id", stretch("sid")).alias("at")).join(c, "at").filter("sid between first and last").groupBy("event_id").agg(F.collect_set("chunk").alias("chunks"))
     return e.join(people, ["doc_id", "event_id"], "left").join(chunks, "event_id", "left")
 
 

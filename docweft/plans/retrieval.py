@@ -107,12 +107,20 @@ def entities_of_events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "entities").join(e, "doc_id", "left_semi").select("doc_id", "entity_id", "name").distinct()
 
 
+#: Cells of hashes that last words of names are told apart by.
+NAME_CELLS = 1 << 20
+
+
 def _mentions(events: DataFrame, entities: DataFrame) -> DataFrame:
     """(doc_id, event_id, mention_text): entities of the document whose name is in the evidence; candidates by an equal last word of the name."""
-    said = events.select("doc_id", "event_id", F.lower("evidence_text").alias("said")).select("*", F.explode(T.token_set(F.col("said"))).alias("word"))
+    said = events.select("doc_id", "event_id", F.lower("evidence_text").alias("said"))
     names = entities.select("doc_id", "entity_id", F.trim("name").alias("mention_text")).filter("mention_text <> ''").distinct()
     names = names.withColumn("word", F.try_element_at(T.tokens(F.col("mention_text")), F.lit(-1)))
-    both = said.join(names, ["doc_id", "word"]).filter(F.contains(F.col("said"), F.lower("mention_text")))
+    # Words that no name of the document can end with are dropped before texts are shuffled by words; a cell for each hash, so the broadcast is bounded.
+    cell = F.pmod(F.xxhash64("doc_id", "word"), F.lit(NAME_CELLS)).cast("int").alias("cell")
+    words = said.select("*", F.explode(T.token_set(F.col("said"))).alias("word")).withColumn("cell", cell)
+    words = words.join(F.broadcast(names.filter("word is not null").select(cell).distinct()), "cell", "left_semi").drop("cell")
+    both = words.join(names, ["doc_id", "word"]).filter(F.contains(F.col("said"), F.lower("mention_text")))
     return both.select("doc_id", "event_id", "entity_id", "mention_text").distinct()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -48,6 +49,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def stored(df: DataFrame, by: str) -> str:
+    """Where df lies in the shared folder, as cut writes it, with a folder by=value for each value; for tasks that read it by pyarrow."""
+    path = f"{cuts_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.partitionBy(by).parquet(path)
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return re.sub("^file:/+", "/", full)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The distinct rows of df, hashed over at least four tasks a core, so that costly rows don't pile up in few tasks.
 

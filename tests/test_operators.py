@@ -14,6 +14,7 @@ from docweft import catalogue, session
 from docweft.functions import rules as R
 from docweft.functions import text as T
 from docweft.operators import adapters, chunking, clusters, ekg, graphs, linking, metrics, pairs, ranking, vectors
+from docweft.plans import retrieval as retrieval_plans
 from docweft.sources import readers, sinks
 from docweft.streaming import windows
 
@@ -435,6 +436,41 @@ def test_candidate_pairs(spark, cell):
     assert any(r.rescue for r in got) and any(r.bucket == "duplicate" for r in got)
 
 
+def shuffled_rows(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_candidate_pairs_of_a_large_document(spark):
+    """Its events are shuffled once, not once for each part; vectors may be negative."""
+    rng = random.Random(9)
+    events = [
+        {"doc_id": "d", "event_id": f"e{k:03d}", "vector": [float(rng.randrange(-1, 4)) for _ in range(6)], "main_verb": rng.choice("abcdef"), "event_type": rng.choice("XYZ"), "trigger_text": f"t{rng.randrange(99)}",
+         "time_normalized": rng.choice([None, f"{rng.randrange(50)}"]), "participants": [f"p{rng.randrange(40)}" for _ in range(rng.randrange(3))], "sentences": rng.sample(range(200), rng.randrange(3)), "chunks": [f"c{rng.randrange(60)}"]}
+        for k in range(300)
+    ]
+    schema = "doc_id string, event_id string, vector array<double>, main_verb string, event_type string, trigger_text string, time_normalized string, participants array<string>, sentences array<int>, chunks array<string>"
+    df = spark.createDataFrame([tuple(e.values()) for e in events], schema)
+    before = shuffled_rows(spark)
+    pairs_ = linking.candidate_pairs(df, 4, 0.6, 10)
+    assert "Generate" not in pairs_._jdf.queryExecution().optimizedPlan().toString()  # no copies of events
+    got = pairs_.collect()
+    assert shuffled_rows(spark) - before < 10 * len(events)
+    assert {(r.doc_id, r.a, r.b, r.bucket, round(r.priority, 5), round(r.similarity, 6)) for r in got} == brute_candidates(events, 4, 0.6)
+
+
+def test_mentions_shuffle_few_words(spark):
+    """Only words that end a name of the document leave their task; names that are in the text only as words apart, or inside a word, are none."""
+    texts = [f"Bob Stone{'s' * (k % 3 == 0)} met the Acme Co of {' '.join(f'w{k}x{n}' for n in range(60))}" for k in range(50)]
+    events = spark.createDataFrame([(f"d{k % 2}", f"e{k}", t) for k, t in enumerate(texts)] + [("d0", "none", None)], "doc_id string, event_id string, evidence_text string")
+    names = spark.createDataFrame([("d0", "n1", "bob stone"), ("d0", "n2", "Stone Co"), ("d1", "n3", " Acme Co"), ("d1", "n4", " "), ("d0", "n5", None), ("d2", "n6", "w1x1")], "doc_id string, entity_id string, name string")
+    before = shuffled_rows(spark)
+    got = {(r.event_id, r.entity_id, r.mention_text) for r in retrieval_plans._mentions(events, names).collect()}
+    assert shuffled_rows(spark) - before < 10 * len(texts)
+    assert got == {(f"e{k}", "n1", "bob stone") for k in range(0, 50, 2) if k % 3} | {(f"e{k}", "n3", "Acme Co") for k in range(1, 50, 2)}
+
+
 @pytest.mark.parametrize(
     "measure, units, value",
     [
