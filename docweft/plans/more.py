@@ -193,7 +193,7 @@ def _event_profiles(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "chunks").filter("doc_id is not null and chunk_id is not null and start_sentence_id <= end_sentence_id").select("doc_id", F.xxhash64("chunk_id").alias("chunk"), F.col("start_sentence_id").alias("first"), F.col("end_sentence_id").alias("last"))
     c = c.withColumn("stretch", F.explode(F.sequence(stretch("first"), stretch("last")))).select(F.xxhash64("doc_id", "stretch").alias("at"), "chunk", "first", "last")
     chunks = at.select("event_id", "sid", F.xxhash64("doc_id", stretch("sid")).alias("at")).join(c, "at").filter("sid between first and last").groupBy("event_id").agg(F.collect_set("chunk").alias("chunks"))
-    return e.join(people, ["doc_id", "event_id"], "left").join(chunks, "event_id", "left")
+    return e.drop("evidence_text").join(people, ["doc_id", "event_id"], "left").join(chunks, "event_id", "left")
 
 
 @query()
