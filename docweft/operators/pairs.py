@@ -25,6 +25,10 @@ BATCH, AT_ONCE = 50_000, 2_000_000
 #: By how much a step that splits a group costs more than a comparison of two sets.
 COST = 16
 _ENTRY = "w long, slice int, id long, n int, tail array<long>, b0 long, b1 long"
+#: Entries that a task packs at once, and tokens of all sets for which there is one more part to pack them in.
+PACKED, TOKENS = 400_000, 1_000_000
+#: Bits of the table that tells which values may be among others.
+MARKS = 1 << 22
 
 
 def _depth(threshold: float) -> int:
@@ -164,31 +168,129 @@ def _meet(threshold: float) -> Callable:
     return run
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones, and so on."""
+    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+
+
+def _pack(parts: int) -> Callable:
+    """Entries as (part, block): those of a part are sorted and compressed by column. A token of a tail keeps 16 bits; a clash only gives a group to split less."""
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        w, cell, ids, n, b0, b1 = (t[c].combine_chunks().to_numpy() for c in ("w", "slice", "id", "n", "b0", "b1"))
+        tail, at = _flat(t["tail"].combine_chunks())
+        tail, sizes = tail.astype(np.uint16), np.diff(at).astype(np.int32)
+        part = (((w >> 20) + cell) % parts).astype(np.int32)
+        first = np.where(sizes > 0, np.r_[tail, np.uint16(0)][at[:-1]], 0)
+        order = np.lexsort((first, cell, w, part))
+        part, blocks = part[order], []
+        start = np.nonzero(np.r_[True, part[1:] != part[:-1]])[0]
+        for rows in np.split(order, start[1:]):
+            row, i = _ranges(sizes[rows])
+            own = tail[at[rows][row] + i]
+            raw = np.array([len(rows), len(own)], np.int64).tobytes() + b"".join(_planes(x[rows]) for x in (w, cell, ids, n, sizes)) + own.tobytes() + b0[rows].tobytes() + b1[rows].tobytes()
+            blocks.append(np.int64(len(raw)).tobytes() + pa.compress(raw, "zstd", asbytes=True))
+        return pa.RecordBatch.from_arrays([pa.array(part[start]), pa.array(blocks, pa.binary())], names=["part", "block"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= PACKED:
+                yield packed(held)
+                held = []
+        if sum(b.num_rows for b in held):
+            yield packed(held)
+
+    return run
+
+
+def _unpacked(block: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(memoryview(block)[8:], int(np.frombuffer(block, np.int64, 1)[0]), "zstd", asbytes=True)
+    m, k = np.frombuffer(raw, np.int64, 2)
+    out, at = [], 16
+    for kind in (np.int64, np.int32, np.int64, np.int32, np.int32):
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, m * size, at).reshape(size, m).T).view(kind).ravel())
+        at += m * size
+    for kind, n in ((np.uint16, k), (np.int64, m), (np.int64, m)):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return out
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks come sorted by part: the entries of each part, sorted by token and slice."""
+
+    def entries(held: list[bytes]) -> pa.RecordBatch:
+        w, cell, ids, n, sizes, tail, b0, b1 = (np.concatenate(x) for x in zip(*map(_unpacked, held)))
+        order, at = np.lexsort((cell, w)), np.cumsum(sizes) - sizes
+        row, i = _ranges(sizes[order])
+        tails = pa.ListArray.from_arrays(np.r_[0, np.cumsum(sizes[order])].astype(np.int32), pa.array(tail[at[order][row] + i].astype(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(x[order]) for x in (w, cell, ids, n)] + [tails] + [pa.array(b[order]) for b in (b0, b1)], names=[c.split()[0] for c in _ENTRY.split(", ")])
+
+    held: list[bytes] = []
+    last = None
+    for batch in batches:
+        for part, block in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if held and part != last:
+                yield entries(held)
+                held = []
+            last = part
+            held.append(block.as_py())
+    if held:
+        yield entries(held)
+
+
+def _marked(df: DataFrame, column: str, among: DataFrame) -> DataFrame:
+    """df with may: false only where the column's value is not in the same column of among. The marks are broadcast and of a fixed size, so nothing of df is shuffled."""
+    cell = F.pmod(F.xxhash64(column), F.lit(MARKS))
+    bit = F.expr("shiftleft(1L, cast(cell % 64 as int))")
+    marks = cut(among.select(cell.alias("cell")).groupBy(F.expr("cell div 64").alias("word")).agg(F.bit_or(bit).alias("bits")))
+    there = df.withColumn("cell", cell).withColumn("word", F.expr("cell div 64")).join(F.broadcast(marks), "word", "left")
+    return there.withColumn("may", F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False))).drop("cell", "word", "bits")
+
+
 def jaccard_classes(df: DataFrame, key: str, tokens: Column, threshold: float = 0.8) -> DataFrame:
     """(key, class_id, n_links): rows whose token sets reach the Jaccard threshold, as one row per key.
 
-    Equal sets are one class first, so copies are never paired. Representatives of classes that reach the threshold share their first tokens, from rare
-    to common, within prefixes that are as much longer; they meet by these, what passes as bits is verified, and only that is shuffled. class_id is
-    the smallest key linked directly or through others, n_links the number of other keys linked directly. Empty and null sets link to nothing.
+    Equal sets are one class first, so copies are never paired; sets without a copy are not shuffled for that. Representatives of classes that reach the threshold
+    share their first tokens, from rare to common, within prefixes that are as much longer; they meet by these, packed in blocks. What passes as bits is verified, and
+    only sets that may be in such a pair are shuffled for it. class_id is the smallest key linked directly or through others, n_links the number of other keys linked
+    directly. Empty and null sets link to nothing.
     """
-    sets = df.select(key, F.array_sort(F.array_distinct(tokens)).alias("t")).filter("size(t) > 0").withColumn("digest", F.unhex(F.sha2(F.to_json("t"), 256)))
-    members = cut(sets.select(key, "digest"))
-    reps = cut(sets.groupBy("digest").agg(F.first("t").alias("t"), F.min(key).alias("rep"), F.count_distinct(key).alias("copies")).withColumn("id", F.monotonically_increasing_id()))
+    sets = df.select(F.col(key).alias("key"), F.array_sort(F.array_distinct(tokens)).alias("t")).filter("size(t) > 0")
+    sets = cut(sets.withColumn("digest", F.substring(F.unhex(F.sha2(F.to_json("t"), 256)), 1, 16)).distinct(), "zstd")
+    sets = _marked(sets, "digest", sets.groupBy("digest").agg(F.count("*").alias("copies")).filter("copies > 1"))
+    one = sets.filter("not may").select("digest", "t", F.col("key").alias("rep"), F.lit(1).cast("long").alias("copies"))
+    more = sets.filter("may").groupBy("digest").agg(F.first(F.to_json("t")).alias("t"), F.min("key").alias("rep"), F.count("*").alias("copies"))
+    reps = cut(one.unionByName(more.withColumn("t", F.from_json("t", "array<string>"))).withColumn("id", F.monotonically_increasing_id()), "zstd")
     hashes = reps.select("id", F.transform("t", lambda x: F.xxhash64(x)).alias("h"))
     counts = np.zeros(COUNTED, np.int64)
     for cell, m in hashes.select(F.explode("h").alias("h")).groupBy((F.col("h").bitwiseAND(F.lit(COUNTED - 1))).alias("cell")).agg(F.count("*")).collect():
         counts[cell] = m
-    entries = hashes.mapInArrow(_entries(counts, threshold), _ENTRY).repartition("w", "slice").sortWithinPartitions("w", "slice")
-    near = entries.mapInArrow(_meet(threshold), "a long, b long").distinct()
-    full = near.join(reps.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(reps.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-    linked = cut(full.filter(T.jaccard(F.col("ta"), F.col("tb")) >= threshold - 1e-12).select("a", "b"))
-    size = reps.select("id", "copies")
+    entries, pack, meet = _entries(counts, threshold), _pack(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // TOKENS)), _meet(threshold)
+    blocks = hashes.mapInArrow(lambda batches: pack(entries(batches)), "part int, block binary").repartition("part").sortWithinPartitions("part")
+    near = cut(blocks.mapInArrow(lambda batches: meet(_unpack(batches)), "a long, b long").distinct())
+    reps = _marked(reps, "id", near.select(F.explode(F.array("a", "b")).alias("id")))
+    met = cut(reps.filter("may").drop("may"), "zstd")
+    # A text is shorter than an array, when shuffled.
+    full = near.join(met.select(F.col("id").alias("a"), F.to_json("t").alias("ta")), "a").join(met.select(F.col("id").alias("b"), F.to_json("t").alias("tb")), "b")
+    ta, tb = (F.from_json(c, "array<string>") for c in ("ta", "tb"))
+    linked = cut(full.filter(T.jaccard(ta, tb) >= threshold - 1e-12).select("a", "b"))
+    size = met.select("id", "copies")
     partners = graphs.both_ways(linked).join(size.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("copies").alias("others"))
     groups = graphs.components(linked).select(F.col("id").cast("long").alias("id"), F.col("component").cast("long").alias("component"))
-    of = reps.select("id", "digest", "rep", "copies").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    of = met.select("id", "digest", "rep", "copies").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     heads = of.groupBy("component").agg(F.min("rep").alias("class_id"))
-    info = of.join(heads, "component").join(partners, "id", "left").select("digest", "class_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return members.join(info, "digest").select(key, "class_id", "n_links").distinct()
+    others = F.coalesce("others", F.lit(0)) + F.col("copies") - 1
+    info = cut(of.join(heads, "component").join(partners, "id", "left").select("digest", "rep", "copies", "class_id", others.alias("n_links")))
+    info = info.unionByName(reps.filter("not may").select("digest", "rep", "copies", F.col("rep").alias("class_id"), (F.col("copies") - 1).alias("n_links")))
+    # Only sets with copies have more keys than their own.
+    own = info.filter("copies = 1").select(F.col("rep").alias("key"), "class_id", "n_links")
+    copies = sets.filter("may").select("key", "digest").join(info.filter("copies > 1").select("digest", "class_id", "n_links"), "digest")
+    return own.unionByName(copies.select("key", "class_id", "n_links")).distinct().withColumnRenamed("key", key)
 
 
 def tf_idf(df: DataFrame, key: str, text: str, top: int = 3000) -> DataFrame:

@@ -178,6 +178,29 @@ def test_jaccard_classes_of_chains(spark):
     assert got == chain | {"k50": ("k50", 1), "k51": ("k50", 1), "k52": ("k52", 0)}
 
 
+def test_jaccard_classes_shuffle_little(spark):
+    """A set is shuffled as its digest, as packed entries, and whole only where it may have a copy or a partner."""
+    sc, n = spark.sparkContext, 20_000
+    word = lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64(F.col("id") - F.when(F.col("id") % 20 == 1, 1).otherwise(0), i), F.lit(3000)).cast("string"))
+    df = spark.range(n).select("id", F.transform(F.sequence(F.lit(1), F.lit(16)), word).alias("t"))
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        all_ = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {(s := all_.apply(i)).stageId(): s.shuffleWriteBytes() for i in range(all_.size())}
+
+    before = max(stages(), default=-1)
+    got = {r.id: (r.class_id, r.n_links) for r in pairs.jaccard_classes(df, "id", F.col("t")).collect()}
+    assert got == {k: (k - (k % 20 == 1), int(k % 20 < 2)) for k in range(n)}
+    assert sum(size for k, size in stages().items() if k > before) < 320 * n
+
+
+def test_jaccard_links_count_a_row_without_a_key(spark):
+    """As the equal SQL does: a null key is a row of its class."""
+    df = spark.createDataFrame([("a", ["x", "y"]), (None, ["y", "x"]), ("b", ["z"])], "id string, t array<string>")
+    assert {r.id: (r.class_id, r.n_links) for r in pairs.jaccard_classes(df, "id", F.col("t")).collect()} == {"a": ("a", 1), None: ("a", 1), "b": ("b", 0)}
+
+
 @pytest.mark.parametrize("cost", [0, 16, 1e9])
 def test_alike_templates_make_few_candidates(monkeypatch, cost):
     """Sentences of a few patterns share rare words with many others; hardly any pair is handed on, whether groups are split as far as may be or not at all."""
