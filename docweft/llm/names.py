@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweft.session import cut, spread
+from docweft.session import cut, spread, tidy
 
 # Words that are roles or placeholders, titles, suffixes, legal forms, abbreviations and nicknames.
 ROLES = (
@@ -391,12 +391,24 @@ def name_groups(entities: DataFrame) -> DataFrame:
     told = told.filter(((F.length("n_first") == 1) | (F.length("a_first") == 1)) & (F.left("n_first", F.lit(1)) == F.left("a_first", F.lit(1))))
     near = forms.select(F.col("core").alias("n_core"), "form").join(forms.select(F.col("core").alias("a_core"), "form"), "form").select("n_core", "a_core").distinct()
     told = cut(told.join(near, ["n_core", "a_core"], "left_semi").select("n_pid", "a_pid").distinct())
-    group = cut(parts.select("pid").distinct().withColumn("to", F.col("pid")))  # first profile, and what it is in now
+    group = cut(parts.select("pid").distinct().withColumn("to", F.col("pid")))  # first profile, and what it is in now, but for the steps
+    steps: list[DataFrame] = []
+
+    def settled() -> DataFrame:
+        """group with all steps taken, in one job."""
+        after = group
+        for step in steps:
+            after = after.join(step, F.col("to") == F.col("was"), "left").select("pid", F.coalesce("then", "to").alias("to"))
+        steps.clear()
+        return cut(after)
+
     while True:
+        tidy(profiles.sparkSession)
         found = proposals(profiles, forms)
         sure = found.filter("sure is not null").select("pid", F.col("sure").alias("to"))
-        moves = _accepted(sure, profiles)
-        if moves.isEmpty():
+        moves = None if sure.isEmpty() else _accepted(sure, profiles)
+        if moves is None or moves.isEmpty():
+            group = settled()
             now = lambda c, p: group.select(F.col("pid").alias(c), F.col("to").alias(p))
             bridge = told.join(now("n_pid", "x"), "n_pid").join(now("a_pid", "y"), "a_pid").filter("x <> y").select("x", "y")
             bridge = bridge.unionByName(bridge.select(F.col("y").alias("x"), F.col("x").alias("y"))).join(profiles.filter("size(firsts) = 0").select(F.col("pid").alias("x")), "x", "left_semi")
@@ -406,7 +418,7 @@ def name_groups(entities: DataFrame) -> DataFrame:
             if moves.isEmpty():
                 break
         step = moves.withColumnsRenamed({"pid": "was", "to": "then"})
-        group = cut(group.join(step, F.col("to") == F.col("was"), "left").select("pid", F.coalesce("then", "to").alias("to")))
+        steps.append(step)
         profiles = cut(_united(profiles.join(step, F.col("pid") == F.col("was"), "left").withColumn("pid", F.coalesce("then", "pid")).drop("was", "then")))
     named = cut(parts.join(group, "pid").select("name", "kind", "core", "first", F.col("to").alias("group")))
     return named.filter("kind = 'O' or first <> ''").select("name", "group").unionByName(_lone(named, forms))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -49,6 +50,12 @@ def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """For loops of many small jobs: plans, classes, broadcasts and shuffle files of past rounds go, which else stay until the driver's heap is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, by: str) -> str:
     """Where df lies in the shared folder, as cut writes it, with a folder by=value for each value; for tasks that read it by pyarrow."""
     path = f"{cuts_dir(df.sparkSession)}/{uuid.uuid4().hex}"

@@ -385,3 +385,16 @@ def test_pairs_of_large_groups(spark, monkeypatch):
 def test_distance():
     assert names.distance("abcd", "abdc", 2) == 1 and names.distance("abc", "xyz", 2) == 3 and names.distance("abc", "ab", 1) == 1
     assert pd.notna(names.parse("Smith, John", {}))
+
+
+def test_rounds_of_names_are_few_jobs(spark):
+    """Steps are joined to the groups at once, and a round without sure matches starts no job to accept them; each job leaves plans in the driver's memory."""
+    rows = [("e1", "John Smith", None), ("e2", "J. Smith", None), ("e3", "Jon Smith", None), ("e4", "Acme Holdings LLC", None), ("e5", "Acme Holdings Inc.", None), ("e6", "Mary Jones", None)]
+    sc = spark.sparkContext
+    sc.setJobGroup("names", "")
+    try:
+        got = {(r.entity_id, r.group_id) for r in names.entity_groups(spark.createDataFrame(rows, "entity_id string, name string, aliases_json string")).collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {("e1", "e1"), ("e2", "e2"), ("e3", "e3"), ("e4", "e4"), ("e5", "e4"), ("e6", "e6")}
+    assert len(sc.statusTracker().getJobIdsForGroup("names")) < 78
